@@ -314,6 +314,15 @@ def read(store: Store, model: str, pk, select=None) -> Result:
     return _attach(records, m.pk, pending, restrict)
 
 
+def read_many(store: Store, model: str, keys: DataFrame, select=None) -> Result:
+    """The records whose primary key occurs in ``keys`` (its first column)."""
+    m = store.catalog.model(model)
+    wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias("__wanted"))
+    base = store.scan(model).join(wanted, F.col(m.pk) == F.col("__wanted"), "left_semi")
+    records, pending = _project(store, m, base, select)
+    return _attach(records, m.pk, pending, _among(records))
+
+
 def list_(
     store: Store,
     model: str,

@@ -58,7 +58,7 @@ CATALOG = Catalog(
             "Customer",
             3,
             (
-                Field("c_custkey", INT, 1, primary=True),
+                Field("c_custkey", INT, 1, primary=True, auto_increment=True),
                 Field("c_name", STRING, 2, public_credential=True),
                 Field("nation", Ref("Nation"), 3),
                 Field("c_acctbal", FLOAT, 4, default=0.0),
