@@ -504,7 +504,7 @@ def has_data(spark, folder):
 @query(
     """
     SELECT '{"o_orderkey":' || o_orderkey || ',"state":"' || o_orderstatus || '","day":"'
-        || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}' AS json FROM orders
+        || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS json FROM orders
     """
 )
 def response_json(spark, folder):

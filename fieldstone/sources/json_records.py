@@ -46,5 +46,5 @@ def to_response(df: DataFrame, aliases: Mapping[str, str] | None = None, name: s
     """One JSON text per row, fields renamed by ``aliases`` (field -> alias), dates in ISO form."""
     aliases = aliases or {}
     columns = [F.col(f"`{c}`").alias(aliases.get(c, c)) for c in df.columns]
-    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     return df.select(F.to_json(F.struct(*columns), options).alias(name))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from fieldstone.catalog import Catalog
 
 LinkKey = tuple[str, str]
+# A frame, or how to open it when it is first scanned.
+Table = DataFrame | Callable[[], DataFrame]
 
 _VERSION_SCHEMA = "version bigint, catalog string, tables map<string,string>, created_at timestamp"
 
@@ -37,8 +39,8 @@ class Store:
         self,
         spark: SparkSession,
         catalog: Catalog,
-        tables: Mapping[str, DataFrame] | None = None,
-        links: Mapping[LinkKey, DataFrame] | None = None,
+        tables: Mapping[str, Table] | None = None,
+        links: Mapping[LinkKey, Table] | None = None,
         path: str | None = None,
         locations: Mapping[str, str] | None = None,
     ):
@@ -55,7 +57,7 @@ class Store:
     def scan(self, model: str, fields: Iterable[str] | None = None) -> DataFrame:
         """The model's table, only the named columns."""
         m = self.catalog.model(model)
-        df = self.tables.get(model)
+        df = _opened(self.tables, model)
         if df is None:
             df = self.spark.createDataFrame([], self.catalog.struct(model))
         names = [f.name for f in m.stored] if fields is None else list(fields)
@@ -66,7 +68,7 @@ class Store:
         f = self.catalog.model(model).field(field)
         if not f.is_array:
             raise ValueError(f"`{model}.{field}` is not an array")
-        df = self.link_tables.get((model, field))
+        df = _opened(self.link_tables, (model, field))
         if df is None:
             return self.spark.createDataFrame([], self.catalog.link_struct(model, field))
         return df.select("source", "target")
@@ -118,13 +120,11 @@ class Store:
         tables, links = {}, {}
         for m in catalog.models:
             if m.name in locations:
-                schema = _stored_schema(spark, locations[m.name], catalog.struct(m.name))
-                tables[m.name] = spark.read.schema(schema).parquet(locations[m.name])
+                tables[m.name] = _reader(spark, locations[m.name], catalog.struct(m.name))
             for f in m.arrays:
                 name = _link_name((m.name, f.name))
                 if name in locations:
-                    schema = _stored_schema(spark, locations[name], catalog.link_struct(m.name, f.name))
-                    links[(m.name, f.name)] = spark.read.schema(schema).parquet(locations[name])
+                    links[(m.name, f.name)] = _reader(spark, locations[name], catalog.link_struct(m.name, f.name))
         return Store(spark, catalog, tables, links, path, locations)
 
     def write(self, model: str, df: DataFrame, version: int) -> str:
@@ -194,9 +194,17 @@ def _link_name(key: LinkKey) -> str:
     return f"{key[0]}.{key[1]}"
 
 
-def _stored_schema(spark: SparkSession, location: str, declared: T.StructType) -> T.StructType:
-    # Dates may be stored as timestamps; every other type is as declared.
-    stored = {f.name: f.dataType for f in spark.read.parquet(location).schema}
-    return T.StructType(
-        [T.StructField(f.name, stored.get(f.name, f.dataType), True, f.metadata) for f in declared]
-    )
+def _opened(tables: dict, key) -> DataFrame | None:
+    table = tables.get(key)
+    if table is not None and not isinstance(table, DataFrame):
+        table = tables[key] = table()
+    return table
+
+
+def _reader(spark: SparkSession, location: str, declared: T.StructType) -> Callable[[], DataFrame]:
+    def open_table() -> DataFrame:
+        df = spark.read.parquet(location)
+        # Types are as stored (a Date may be a timestamp); the metadata is as declared.
+        return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in declared])
+
+    return open_table

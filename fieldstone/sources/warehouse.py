@@ -156,50 +156,48 @@ def open_warehouse(spark: SparkSession, folder: str) -> Store:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    def link(name: str, source: str, target: str) -> DataFrame:
-        return read(name).select(
-            F.col(source).cast("bigint").alias("source"),
-            F.col(target).cast("bigint" if target.endswith("key") else "string").alias("target"),
-        )
-
-    def renamed(name: str, **columns: str) -> DataFrame:
-        df = read(name)
-        return df.select(*[F.col(old).alias(new) for new, old in columns.items()])
-
-    big = lambda c: F.col(c).cast("bigint").alias(c)
-    labels = read("labels").select(
-        "doc_id", big("quality"), (F.col("toxic") == 1).alias("toxic")
-    )
-    documents = read("documents")
+    def big(column: str):
+        return F.col(column).cast("bigint").alias(column)
+
+    def key(column: str, name: str):
+        return F.col(column).cast("bigint").alias(name)
+
+    def link(name: str, source: str, target: str):
+        kind = "bigint" if target.endswith("key") else "string"
+        columns = key(source, "source"), F.col(target).cast(kind).alias("target")
+        return lambda: read(name).select(*columns)
+
+    def table(name: str, *columns):
+        return lambda: read(name).select(*columns)
+
+    labels = table("labels", "doc_id", big("quality"), (F.col("toxic") == 1).alias("toxic"))
+
+    def documents() -> DataFrame:
+        labelled = labels().select(F.col("doc_id").alias("label"))
+        joined = read("documents").join(labelled, F.col("doc_id") == F.col("label"), "left")
+        return joined.select("doc_id", "text", "lang", "source", "n_chars", "label")
+
     tables = {
-        "Region": read("region").select(big("r_regionkey"), "r_name"),
-        "Nation": read("nation").select(
-            big("n_nationkey"), "n_name", F.col("n_regionkey").cast("bigint").alias("region")
-        ),
-        "Customer": read("customer").select(
-            "c_custkey", "c_name", F.col("c_nationkey").cast("bigint").alias("nation"), "c_acctbal", "c_mktsegment"
+        "Region": table("region", big("r_regionkey"), "r_name"),
+        "Nation": table("nation", big("n_nationkey"), "n_name", key("n_regionkey", "region")),
+        "Customer": table(
+            "customer", "c_custkey", "c_name", key("c_nationkey", "nation"), "c_acctbal", "c_mktsegment"
         ),
-        "Supplier": read("supplier").select(
-            "s_suppkey", "s_name", F.col("s_nationkey").cast("bigint").alias("nation"), "s_acctbal"
-        ),
-        "Part": read("part").select("p_partkey", "p_name", "p_brand", "p_type", big("p_size"), "p_retailprice"),
-        "Order": renamed(
+        "Supplier": table("supplier", "s_suppkey", "s_name", key("s_nationkey", "nation"), "s_acctbal"),
+        "Part": table("part", "p_partkey", "p_name", "p_brand", "p_type", big("p_size"), "p_retailprice"),
+        "Order": table(
             "orders",
-            o_orderkey="o_orderkey",
-            customer="o_custkey",
-            o_orderstatus="o_orderstatus",
-            o_totalprice="o_totalprice",
-            o_orderdate="o_orderdate",
-            o_orderpriority="o_orderpriority",
-        ),
-        "Event": renamed(
-            "events", event_id="event_id", ts="ts", user="user_id", event_type="event_type", value="value", props="props"
+            "o_orderkey",
+            key("o_custkey", "customer"),
+            "o_orderstatus",
+            "o_totalprice",
+            "o_orderdate",
+            "o_orderpriority",
         ),
+        "Event": table("events", "event_id", "ts", key("user_id", "user"), "event_type", "value", "props"),
         "Label": labels,
-        "Document": documents.join(
-            labels.select(F.col("doc_id").alias("label")), F.col("doc_id") == F.col("label"), "left"
-        ).select("doc_id", "text", "lang", "source", "n_chars", "label"),
-        "Conversation": read("conversations").select("conv_id").distinct(),
+        "Document": documents,
+        "Conversation": lambda: read("conversations").select("conv_id").distinct(),
     }
     links = {
         ("Region", "nations"): link("nation", "n_regionkey", "n_nationkey"),
