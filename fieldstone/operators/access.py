@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from fieldstone.catalog import Catalog, Field
 from fieldstone.functions.registry import resolve
 from fieldstone.functions.secrets import verify_secret
+from fieldstone.session import local_frame
 from fieldstone.sources.json_records import record_schema
 from fieldstone.sources.store import Store
 
@@ -67,7 +68,7 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
         (i, r.role, r.model, r.field, list(r.permissions), r.kind, r.is_self, r.predicate)
         for i, r in enumerate(rules)
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return local_frame(spark, rows, RULE_SCHEMA)
 
 
 # -- expansion ---------------------------------------------------------------
@@ -90,7 +91,7 @@ def _kinds(catalog: Catalog):
 
 def _applicability(spark: SparkSession, catalog: Catalog) -> DataFrame:
     rows = [(m, f, list(every), list(named)) for (m, f), every, named in _kinds(catalog)]
-    return spark.createDataFrame(rows, "a_model string, a_field string, every array<string>, named array<string>")
+    return local_frame(spark, rows, "a_model string, a_field string, every array<string>, named array<string>")
 
 
 def _judged(rules: DataFrame, catalog: Catalog) -> DataFrame:
@@ -373,14 +374,21 @@ def authorize(
         named = F.when(setting | updating, h["field"])
         return _error(cause, named, message)
 
-    own = hits(F.col("own_keys"))
+    # Looked up once and named, so that the lookups are not repeated in each use.
+    ops = ops.withColumns(
+        {
+            "own_hits": hits(F.col("own_keys")),
+            "read_hits": F.transform("read_keys", lambda r: F.struct(r["name"], hits(r["keys"]).alias("hits"))),
+        }
+    )
+    own = F.col("own_hits")
     own_errors = F.concat(no_allow(own, event == "LOGIN", event, model, none), denials(own, own_error))
 
     arrays = {f"{m.name}|{f.name}": "LIST" for m in catalog.models for f in m.arrays}
     inner_models = {f"{m.name}|{f.name}": f.ref_model for m in catalog.models for f in m.fields if f.ref_model}
 
     def read_errors(r: Column) -> Column:
-        found = hits(r["keys"])
+        found = r["hits"]
         place = F.concat_ws("|", model, r["name"])
         what = F.coalesce(_lookup(arrays, place), F.lit("READ"))
         on = F.coalesce(_lookup(inner_models, place), model)
@@ -395,7 +403,7 @@ def authorize(
 
         return F.concat(no_allow(found, creating, what, on, r["name"]), denials(found, describe))
 
-    inner = F.flatten(F.transform("read_keys", read_errors))
+    inner = F.flatten(F.transform("read_hits", read_errors))
     known = F.coalesce(F.col("role").isin(*[m.name for m in catalog.models]), F.lit(True))
     unknown = F.array(
         _error(

@@ -25,7 +25,7 @@ from fieldstone.functions.registry import apply_hooks
 from fieldstone.functions.secrets import hash_secret, too_long
 from fieldstone.operators.quality import dangling, ensure, enum_violations, required_violations, violation_rows
 from fieldstone.operators.query import Result, next_key, read_many
-from fieldstone.session import checkpointed
+from fieldstone.session import checkpointed, local_frame
 from fieldstone.sources.json_records import PRESENT
 from fieldstone.sources.store import Changes, LinkKey, Store
 
@@ -192,7 +192,7 @@ def frame(store: Store, model: str, record: Mapping) -> DataFrame:
     m = store.catalog.model(model)
     typed = {n: _typed(store.catalog, m.field(n), v) for n, v in record.items()}
     schema = T.StructType([T.StructField(n, t) for n, (t, _) in typed.items()])
-    return store.spark.createDataFrame([tuple(v for _, v in typed.values())], schema)
+    return local_frame(store.spark, [tuple(v for _, v in typed.values())], schema)
 
 
 # -- create ------------------------------------------------------------------
@@ -562,7 +562,7 @@ def push_to(store: Store, model: str, field: str, pk, item, select=None, check:
             T.StructField("item", dtype.elementType),
         ]
     )
-    return push_many_to(store, model, field, store.spark.createDataFrame([(pk, value[0])], schema), select, check)
+    return push_many_to(store, model, field, local_frame(store.spark, [(pk, value[0])], schema), select, check)
 
 
 def push_many_to(
@@ -579,7 +579,7 @@ def push_many_to(
 def remove_from(store: Store, model: str, field: str, pk, target, select=None) -> Changes:
     """Remove an element; every equal link goes, the target record stays and is returned."""
     schema = store.catalog.link_struct(model, field)
-    return remove_many_from(store, model, field, store.spark.createDataFrame([(pk, target)], schema), select)
+    return remove_many_from(store, model, field, local_frame(store.spark, [(pk, target)], schema), select)
 
 
 def remove_many_from(store: Store, model: str, field: str, pairs: DataFrame, select=None) -> Changes:

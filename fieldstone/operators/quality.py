@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import BOOL, DATE, FILE, FLOAT, INT, STRING, Catalog, Enumeration, Field, Model
+from fieldstone.session import local_frame
 from fieldstone.sources.store import Store
 
 VIOLATION = "model string, field string, key string, rule string, value string"
@@ -46,7 +47,7 @@ def violation_rows(df: DataFrame, model: str, field: str, rule: str, key: Column
 
 def _union(store: Store, parts: Sequence[DataFrame]) -> DataFrame:
     if not parts:
-        return store.spark.createDataFrame([], VIOLATION)
+        return local_frame(store.spark, [], VIOLATION)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Runtime settings the library relies on; a value the user has set stays.
 _DEFAULTS = {
@@ -58,3 +62,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table that a job writes."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def local_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows from the driver. Unlike rows sent through an RDD their size is
+    known to the optimizer, so joins with them are broadcast."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    rows = [_plain(tuple(r), schema) for r in rows]
+    table = pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
+def _plain(value, dtype: T.DataType):
+    """Rows as the dicts that Arrow expects."""
+    if value is None:
+        return None
+    if isinstance(dtype, T.StructType):
+        return {f.name: _plain(v, f.dataType) for f, v in zip(dtype, value)}
+    if isinstance(dtype, T.ArrayType):
+        return [_plain(v, dtype.elementType) for v in value]
+    if isinstance(dtype, T.MapType):
+        return list(value.items())
+    return value

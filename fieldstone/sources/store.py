@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstone.catalog import Catalog
+from fieldstone.session import local_frame
 
 LinkKey = tuple[str, str]
 # A frame, or how to open it when it is first scanned.
@@ -59,7 +60,7 @@ class Store:
         m = self.catalog.model(model)
         df = _opened(self.tables, model)
         if df is None:
-            df = self.spark.createDataFrame([], self.catalog.struct(model))
+            df = local_frame(self.spark, [], self.catalog.struct(model))
         names = [f.name for f in m.stored] if fields is None else list(fields)
         return df.select(*names)
 
@@ -70,7 +71,7 @@ class Store:
             raise ValueError(f"`{model}.{field}` is not an array")
         df = _opened(self.link_tables, (model, field))
         if df is None:
-            return self.spark.createDataFrame([], self.catalog.link_struct(model, field))
+            return local_frame(self.spark, [], self.catalog.link_struct(model, field))
         return df.select("source", "target")
 
     # -- composition ---------------------------------------------------
@@ -170,7 +171,7 @@ def record_version(
     """Append one row to the version history."""
     row = [(version, json.dumps(catalog.to_dict()), dict(locations))]
     (
-        spark.createDataFrame(row, "version bigint, catalog string, tables map<string,string>")
+        local_frame(spark, row, "version bigint, catalog string, tables map<string,string>")
         .withColumn("created_at", F.current_timestamp())
         .coalesce(1)
         .write.mode("append")
