@@ -44,9 +44,11 @@ class Result:
     lists: dict[str, Result] = field(default_factory=dict)
     # Where in the parent row the key of each list is found.
     parent_keys: dict[str, str] = field(default_factory=dict)
-    # The records before the final sort, still with their sort column, and that sort.
-    unsorted: DataFrame | None = None
+    # The records with columns that only joins and the final sort need, that sort,
+    # and which columns those are.
+    full: DataFrame | None = None
     sort: list[Column] = field(default_factory=list)
+    hidden: list[str] = field(default_factory=list)
 
     def nested(self, max_items: int = 10_000) -> DataFrame:
         """Records with their lists as arrays of structs, ``[]`` when empty.
@@ -56,7 +58,7 @@ class Result:
         """
         if not self.lists:
             return self.records
-        df = self.unsorted if self.unsorted is not None else self.records
+        df = self.full if self.full is not None else self.records
         packed = {path: child._packed(max_items) for path, child in self.lists.items()}
         if any(split for _, split in packed.values()):
             df = self._with_parts(df, packed)
@@ -74,9 +76,9 @@ class Result:
             head, *rest = path.split(".")
             value = F.col(head).withField(".".join(rest), items) if rest else items
             df = df.withColumn(head, value).drop("__k", "__p", "__items")
-        if self.unsorted is not None:
-            df = df.orderBy(*self.sort, *([F.col(PART)] if PART in df.columns else [])).drop("__by")
-        return df
+        if self.sort:
+            df = df.orderBy(*self.sort, *([F.col(PART)] if PART in df.columns else []))
+        return _without(df, self.hidden)
 
     def _with_parts(self, df: DataFrame, packed: dict) -> DataFrame:
         """One row per part: as many as the longest of the record's arrays needs."""
@@ -110,6 +112,16 @@ class Result:
         return arrays.withColumn("items", F.col("items")["item"]), split
 
 
+def _without(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
+    """Drop columns and, by dotted path, fields of structs."""
+    df = df.drop(*[h for h in hidden if "." not in h])
+    for path in hidden:
+        head, _, rest = path.partition(".")
+        if rest:
+            df = df.withColumn(head, F.col(f"`{head}`").dropFields(rest))
+    return df
+
+
 def _column(path: str) -> Column:
     head, *rest = path.split(".")
     column = F.col(f"`{head}`")
@@ -161,33 +173,50 @@ class _PendingList:
 
     path: str
     parent_key: str
+    # Paths of struct fields that exist for this list alone.
+    hidden: tuple[str, ...]
     build: Callable[[Callable[[DataFrame], DataFrame] | None], Result]
 
 
-def _project(
+def project(
     store: Store, model: Model, base: DataFrame, select, carry: Sequence[str] = ()
-) -> tuple[DataFrame, list[_PendingList]]:
-    """Selected columns of ``base`` (which holds the model's stored columns), to-one paths joined in."""
+) -> tuple[DataFrame, list[_PendingList], str]:
+    """Selected columns of ``base`` (which holds the model's stored columns), to-one paths
+    joined in; also the pending lists and the column with the stored key.
+
+    A read hook may rewrite the key, so under hooks the stored one is kept beside it.
+    """
     df, pending = base, []
+    raw = model.pk
+    if model.on_read:
+        raw = _RAW_KEY
+        df, carry = df.withColumn(raw, F.col(model.pk)), [*carry, raw]
     staged: dict[str, Column] = {model.pk: F.col(model.pk)}
     output: dict[str, str] = {model.pk: model.pk}
     for i, pick in enumerate(_picks(model, select)):
         f = model.field(pick.field)
         if f.is_array:
-            pending.append(_pending_list(store, model, f, pick))
+            pending.append(_pending_list(store, model, f, pick, raw))
         elif f.is_ref and pick.select is not None:
             child = store.catalog.model(f.ref_model)
-            child_df, child_lists = _project(store, child, store.scan(child.name), pick.select)
+            child_df, child_lists, child_key = project(store, child, store.scan(child.name), pick.select)
             key, value = f"__k{i}", f"__v{i}"
+            keep = [c for c in child_df.columns if c != _RAW_KEY or child_lists]
             packed = child_df.select(
-                F.col(child.pk).alias(key), F.struct(*[F.col(f"`{c}`") for c in child_df.columns]).alias(value)
+                F.col(child_key).alias(key), F.struct(*[F.col(f"`{c}`") for c in keep]).alias(value)
             )
             df = df.join(packed, F.col(f"`{f.name}`") == F.col(key), "left")
             stage = f.name if f.name not in staged else f"{f.name}#{i}"
             staged[stage] = F.when(F.col(key).isNotNull(), F.col(value))
             output[pick.alias] = stage
+            inside = (_RAW_KEY,) if _RAW_KEY in keep else ()
             pending += [
-                _PendingList(f"{pick.alias}.{p.path}", f"{pick.alias}.{p.parent_key}", p.build)
+                _PendingList(
+                    f"{pick.alias}.{p.path}",
+                    f"{pick.alias}.{p.parent_key}",
+                    tuple(f"{pick.alias}.{h}" for h in (*p.hidden, *inside)),
+                    p.build,
+                )
                 for p in child_lists
             ]
         else:
@@ -201,11 +230,17 @@ def _project(
         }
         df = apply_read_hooks(model.on_read, df, absent)
     df = df.select(*carry, *[F.col(f"`{stage}`").alias(alias) for alias, stage in output.items()])
-    return df, pending
+    return df, pending, raw
+
 
+# The stored key, where a read hook may have rewritten the visible one.
+_RAW_KEY = "__raw"
 
-def _attach(records: DataFrame, key: str, pending: list[_PendingList], restrict) -> Result:
-    result = Result(records, key)
+
+def _attach(full: DataFrame, key: str, pending: list[_PendingList], restrict, hidden=()) -> Result:
+    hidden = [*hidden, *([_RAW_KEY] if _RAW_KEY in full.columns else [])]
+    hidden += dict.fromkeys(h for p in pending for h in p.hidden)
+    result = Result(_without(full, hidden), key, full=full, hidden=hidden)
     for p in pending:
         limit = restrict(p.parent_key) if restrict else None
         result.lists[p.path] = p.build(limit)
@@ -223,7 +258,7 @@ def _among(records: DataFrame):
     return restrict
 
 
-def _pending_list(store: Store, model: Model, f: Field, pick: _Pick) -> _PendingList:
+def _pending_list(store: Store, model: Model, f: Field, pick: _Pick, key: str) -> _PendingList:
     def build(limit) -> Result:
         links = store.links(model.name, f.name).select(
             F.col("source").alias(SOURCE), F.col("target").alias("_target")
@@ -234,7 +269,7 @@ def _pending_list(store: Store, model: Model, f: Field, pick: _Pick) -> _Pending
             return _reference_list(store, f, links, pick)
         return _value_list(f, links, pick)
 
-    return _PendingList(pick.alias, model.pk, build)
+    return _PendingList(pick.alias, key, (), build)
 
 
 def _range(options: Mapping) -> tuple[int, int | None]:
@@ -283,7 +318,7 @@ def _reference_list(store: Store, f: Field, links: DataFrame, pick: _Pick) -> Re
     # Trim before populating, so that only kept elements are joined further.
     rows = _ranked_list(rows, options, order, F.col(by), F.col(child.pk))
     carry = [c for c in (SOURCE, POSITION) if c in rows.columns]
-    records, pending = _project(store, child, rows, pick.select, carry)
+    records, pending, _ = project(store, child, rows, pick.select, carry)
     return _attach(records, child.pk, pending, _among(records))
 
 
@@ -302,12 +337,12 @@ def read(store: Store, model: str, pk, select=None) -> Result:
     """The record whose primary key is ``pk``; raises ``RecordNotFound`` when there is none."""
     m = store.catalog.model(model)
     key = F.lit(pk).cast(store.catalog.value_type(m.primary.type))
-    records, pending = _project(store, m, store.scan(model).where(F.col(m.pk) == key), select)
-    if records.select(m.pk).isEmpty():
+    records, pending, raw = project(store, m, store.scan(model).where(F.col(m.pk) == key), select)
+    if store.scan(model, [m.pk]).where(F.col(m.pk) == key).isEmpty():
         raise RecordNotFound(f"{model} of key {pk!r} does not exist")
 
     def restrict(parent_key: str):
-        if parent_key == m.pk:
+        if parent_key == raw:
             return lambda links: links.where(F.col(SOURCE) == key)
         return _among(records)(parent_key)
 
@@ -319,7 +354,7 @@ def read_many(store: Store, model: str, keys: DataFrame, select=None) -> Result:
     m = store.catalog.model(model)
     wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias("__wanted"))
     base = store.scan(model).join(wanted, F.col(m.pk) == F.col("__wanted"), "left_semi")
-    records, pending = _project(store, m, base, select)
+    records, pending, _ = project(store, m, base, select)
     return _attach(records, m.pk, pending, _among(records))
 
 
@@ -356,15 +391,17 @@ def list_(
         base = _page(base, sort, offset, limit)
         if order is not None and order[1] == "SHUFFLED":
             base = checkpointed(base)  # the nested lists must see the same draw
-    records, pending = _project(store, m, base, select, carry)
+    if ranged or order is not None:
+        base, carry = base.withColumn("__tie", F.col(m.pk)), [*carry, "__tie"]
+        sort[-1] = F.col("__tie").asc()
+    records, pending, _ = project(store, m, base, select, carry)
     narrowed = ranged or bool(filter)
     # Stored links have sources that exist (see quality.check_refs), so an
     # unfiltered list needs no semi-join.
-    plain = records.drop(*carry)
-    result = _attach(plain, m.pk, pending, _among(plain) if narrowed else None)
+    result = _attach(records, m.pk, pending, _among(records) if narrowed else None, carry)
     if ranged or order is not None:
-        result.unsorted, result.sort = records, sort
-        result.records = records.orderBy(*sort).drop(*carry)
+        result.sort = sort
+        result.records = _without(records.orderBy(*sort), result.hidden)
     return result
 
 

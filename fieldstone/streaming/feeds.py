@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from fieldstone.catalog import Catalog
 from fieldstone.operators.predicates import filter_model
-from fieldstone.operators.query import _project
+from fieldstone.operators.query import project
 from fieldstone.sources.store import Store
 
 NEW, CHANGE, REMOVE = "NEW", "CHANGE", "REMOVE"
@@ -31,10 +31,10 @@ def stream_list(sdf: DataFrame, store: Store, model: str, filter=None, select=No
 
 
 def _selected(sdf: DataFrame, store: Store, model: str, select) -> DataFrame:
-    records, lists = _project(store, store.catalog.model(model), sdf, select)
+    records, lists, _ = project(store, store.catalog.model(model), sdf, select)
     if lists:
         raise ValueError("a stream cannot populate to-many fields")
-    return records
+    return records.drop("__raw")
 
 
 def change_feed(prev: DataFrame, curr: DataFrame, catalog: Catalog, model: str) -> DataFrame:
