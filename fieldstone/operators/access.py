@@ -1,8 +1,10 @@
 """Allow and deny rules over logs of operations, and as secured views of tables.
 
-Rules are grouped to one row per role. An operation looks up its rules in that
-row, so a whole log is authorized without exploding or shuffling it; only
-predicates that look at user or target records join those tables in.
+Rules are grouped to one row per role, and a kind of operation (who does what to
+which fields) looks up its rules there. Without predicates every kind is decided
+once, so a log of any length is only hashed against few outcomes. With predicates
+each operation is decided on its own, after joining the user and target records
+they look at. The log is never exploded or shuffled by role.
 
 An operation is on *self* when it targets the user's own record: the role is
 the target's model and the target's key is the user's.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from fieldstone.catalog import Catalog, Field
 from fieldstone.functions.registry import resolve
 from fieldstone.functions.secrets import verify_secret
-from fieldstone.session import local_frame
+from fieldstone.session import checkpointed, local_frame
 from fieldstone.sources.json_records import record_schema
 from fieldstone.sources.store import Store
 
@@ -183,7 +185,7 @@ def rules_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
     """Add ``own_keys`` (rule keys of each operation), ``read_keys`` (per selected field)
     and ``child_model`` (of a push that creates)."""
     event, model, none = F.col("event"), F.col("model"), F.lit("")
-    on_self = _is_self()
+    on_self = F.col("on_self") if "on_self" in ops.columns else _is_self()
     fields = F.coalesce("set_fields", F.array().cast("array<string>"))
     array_field = F.coalesce("field", none)
 
@@ -331,8 +333,39 @@ def authorize(
     An operation, and each field it selects, needs an allow that holds and no
     deny that holds. Each error names its cause, field and message.
     """
-    ops = rules_of(_complete(ops), catalog)
-    ops = match_rules(_predicate_values(ops, rules, store, predicates or {}), rules, catalog)
+    ops = _complete(ops).withColumn("on_self", _is_self())
+    conditional = not rules.where(F.col("predicate_id").isNotNull()).isEmpty()
+    if conditional:
+        ops = _predicate_values(rules_of(ops, catalog), rules, store, predicates or {})
+        decided = _decided(ops, rules, catalog).select("op_id", "errors")
+    else:
+        decided = _decided_by_kind(ops, rules, catalog)
+    return decided.select("op_id", (F.size("errors") == 0).alias("allowed"), "errors")
+
+
+# All that a decision without predicates depends on.
+_KIND = ("role", "event", "model", "field", "set_fields", "selected_fields", "creates_child", "on_self")
+# Decided kinds of operations that may be broadcast; a log has few, whatever its length.
+BROADCAST_KINDS = 50_000
+
+
+def _decided_by_kind(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
+    """Decide each kind of operation once and hand the outcome to its operations.
+
+    The log itself is only hashed and looked up; distinct kinds are combined map-side.
+    """
+    kinds = ops.select(*_KIND).distinct().withColumn("passed", F.array().cast("array<string>"))
+    decided = _decided(rules_of(kinds, catalog), rules, catalog)
+    decided = checkpointed(decided.select(*[F.col(c).alias(f"__{c}") for c in _KIND], "errors"))
+    if decided.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS:
+        decided = F.broadcast(decided)
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KIND]
+    return ops.select("op_id", *_KIND).join(decided, on).select("op_id", "errors")
+
+
+def _decided(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
+    """Add ``errors`` to operations that carry their rule keys and passed predicates."""
+    ops = match_rules(ops, rules, catalog)
     event, model = F.col("event"), F.col("model")
     creating = event.isin("CREATE", "CREATE_MANY")
     role_part = F.coalesce(F.concat(F.lit(" for role `"), F.col("role"), F.lit("`")), F.lit(""))
@@ -417,8 +450,7 @@ def authorize(
         .when(~known, unknown)
         .otherwise(F.array_distinct(F.concat(own_errors, inner)))
     )
-    decided = ops.select("op_id", errors.alias("errors"))
-    return decided.select("op_id", (F.size("errors") == 0).alias("allowed"), "errors")
+    return ops.withColumn("errors", errors)
 
 
 def _error(cause: Column, field: Column, message: Column) -> Column:

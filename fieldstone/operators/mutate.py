@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstone.catalog import DATE, DefinitionError, Enumeration, Field, Model
+from fieldstone.functions.joins import fits_broadcast, rows_without, written_side
 from fieldstone.functions.numbering import dense_ids, number_rows
 from fieldstone.functions.registry import apply_hooks
 from fieldstone.functions.secrets import hash_secret, too_long
@@ -39,17 +40,33 @@ class EmptyRecord(ValueError):
 
 
 class _Work:
-    """The store as it becomes, with the rows that changed and the checks they need."""
+    """The store as it becomes, with the rows that changed and the checks they need.
 
-    def __init__(self, store: Store):
+    The batch is written once, because several plans read it. If it fits a
+    broadcast, so does everything derived from it, and the stored tables are
+    never shuffled for it.
+    """
+
+    def __init__(self, store: Store, batch: DataFrame, local: bool = False):
+        # A local batch is a few rows that came from the driver.
+        self.batch = batch if local else checkpointed(batch)
+        self.small = local or fits_broadcast(self.batch)
         self.before = store
         self.store = store
         self.tables: dict[str, DataFrame] = {}
         self.links: dict[LinkKey, DataFrame] = {}
-        self.changed: list[tuple[str, DataFrame]] = []
-        self.new_links: list[tuple[LinkKey, DataFrame]] = []
+        # Model, changed rows and the fields whose values came from outside.
+        self.changed: list[tuple[str, DataFrame, set[str]]] = []
+        self.new_links: list[tuple[LinkKey, DataFrame, frozenset[str]]] = []
         self.violations: list[DataFrame] = []
 
+    def near(self, df: DataFrame) -> DataFrame:
+        """A frame derived from the batch, as the side of a join."""
+        return F.broadcast(df) if self.small else df
+
+    def missing(self, rows: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
+        return rows_without(rows, column, keys, self.small)
+
     def set_table(self, model: str, df: DataFrame) -> None:
         self.tables[model] = df
         self.store = self.store.apply(Changes({model: df}))
@@ -58,55 +75,72 @@ class _Work:
         self.links[key] = df
         self.store = self.store.apply(Changes(links={key: df}))
 
-    def add_links(self, key: LinkKey, links: DataFrame) -> None:
+    def add_links(self, key: LinkKey, links: DataFrame, unchecked: frozenset[str] = frozenset()) -> None:
+        """Append links; ends in ``unchecked`` exist by construction."""
         schema = self.store.catalog.link_struct(*key)
         links = links.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        self.new_links.append((key, links))
+        self.new_links.append((key, links, unchecked))
         self.set_links(key, self.store.links(*key).unionByName(links))
 
     def finish(self, check: bool, result=None) -> Changes:
         if check:
             found = [*self.violations]
-            for model, rows in self.changed:
-                found += _row_violations(self.store, model, rows)
-            for key, links in self.new_links:
-                found += _link_violations(self.store, key, links)
+            for model, rows, fields in self.changed:
+                found += _row_violations(self, model, rows, fields)
+            for key, links, unchecked in self.new_links:
+                found += _link_violations(self, key, links, unchecked)
             if found:
                 ensure(reduce(DataFrame.unionByName, found))
         return Changes(self.tables, self.links, result)
 
 
-def _row_violations(store: Store, model: str, rows: DataFrame) -> list[DataFrame]:
-    """Constraint checks on the changed rows alone; the table is only probed by key."""
+def _row_violations(work: _Work, model: str, rows: DataFrame, fields: set[str]) -> list[DataFrame]:
+    """Constraint checks on the changed rows alone; the table is only probed by key.
+
+    Defaults and nulls need no look at other tables, so references and members
+    are checked for the supplied ``fields`` only.
+    """
+    store = work.store
     m = store.catalog.model(model)
     found = [required_violations(rows, m)]
     found.append(violation_rows(rows.where(F.col(m.pk).isNull()), model, m.pk, "primary_missing", F.lit(None), F.lit(None)))
     for f in m.stored:
         column = F.col(f"`{f.name}`")
-        if f.primary or f.is_unique:
+        if (f.primary and not f.uuid or f.is_unique) and (f.name in fields or f.has_default):
             values = rows.where(column.isNotNull()).select(column.alias("__value"))
-            same = store.scan(model, [f.name]).join(values, column == F.col("__value"), "left_semi")
+            same = store.scan(model, [f.name]).join(
+                work.near(values), column == F.col("__value"), "left_semi"
+            )
             twice = same.groupBy(f.name).agg(F.count("*").alias("__n")).where("__n > 1")
             rule = "primary_duplicate" if f.primary else "unique"
             found.append(violation_rows(twice, model, f.name, rule, F.lit(None), column))
-        if f.is_ref:
+        if f.is_ref and f.name in fields:
             target = store.catalog.model(f.ref_model)
             keys = store.scan(target.name, [target.pk])
-            found.append(dangling(rows, f.name, keys, model, f.name, F.col(f"`{m.pk}`"), "reference"))
-        if isinstance(f.type, Enumeration):
+            found.append(
+                dangling(rows, f.name, keys, model, f.name, F.col(f"`{m.pk}`"), "reference", work.small)
+            )
+        if isinstance(f.type, Enumeration) and f.name in fields:
             found.append(enum_violations(rows, model, m.pk, f.name, f.type, f.name))
     return found
 
 
-def _link_violations(store: Store, key: LinkKey, links: DataFrame) -> list[DataFrame]:
-    model, field = key
+def _link_violations(
+    work: _Work, key: LinkKey, links: DataFrame, unchecked: frozenset[str]
+) -> list[DataFrame]:
+    store, (model, field) = work.store, key
     m = store.catalog.model(model)
     f = m.field(field)
-    found = [dangling(links, "source", store.scan(model, [m.pk]), model, field, F.col("source"), "link_source")]
+    found = []
+    if "source" not in unchecked:
+        own = store.scan(model, [m.pk])
+        found.append(dangling(links, "source", own, model, field, F.col("source"), "link_source", work.small))
+    if "target" in unchecked:
+        return found
     if f.is_ref_array:
         target = store.catalog.model(f.ref_model)
         keys = store.scan(target.name, [target.pk])
-        found.append(dangling(links, "target", keys, model, field, F.col("source"), "link_target"))
+        found.append(dangling(links, "target", keys, model, field, F.col("source"), "link_target", work.small))
     elif isinstance(f.type.of, Enumeration):
         found.append(enum_violations(links, model, "source", "target", f.type.of, field))
     return found
@@ -201,16 +235,19 @@ def frame(store: Store, model: str, record: Mapping) -> DataFrame:
 def create(store: Store, model: str, record: Mapping, select=None, check: bool = True) -> Changes:
     if not record:
         raise EmptyRecord(f"cannot create an empty record of `{model}`")
-    return create_many(store, model, frame(store, model, record), select, check)
+    return _create(store, model, frame(store, model, record), select, check, local=True)
 
 
 def create_many(store: Store, model: str, records: DataFrame, select=None, check: bool = True) -> Changes:
     """Insert records; defaults, generated keys, nested objects and arrays included."""
+    return _create(store, model, records, select, check, local=False)
+
+
+def _create(store: Store, model: str, records: DataFrame, select, check: bool, local: bool) -> Changes:
     m = store.catalog.model(model)
-    records = apply_hooks(m.on_write, records)
-    work = _Work(store)
-    keys = _insert(work, m, records)
-    created = read_many(work.store, model, keys.select(m.pk), select)
+    work = _Work(store, apply_hooks(m.on_write, records), local and not m.on_write)
+    keys = _insert(work, m, work.batch)
+    created = read_many(work.store, model, work.near(keys.select(m.pk)), select)
     return work.finish(check, created)
 
 
@@ -228,7 +265,7 @@ def _insert(work: _Work, m: Model, df: DataFrame) -> DataFrame:
         if _struct_of(df, f.name) is not None:
             df = _insert_reference(work, m, f, df)
     rows = df.select(*[_stored_value(work.store, m, f, df).alias(f.name) for f in m.stored])
-    work.changed.append((m.name, rows))
+    work.changed.append((m.name, rows, {*supplied, *([m.pk] if m.pk in df.columns else [])}))
     work.set_table(m.name, work.store.scan(m.name).unionByName(rows))
     for f in m.arrays:
         if f.name in df.columns:
@@ -236,10 +273,11 @@ def _insert(work: _Work, m: Model, df: DataFrame) -> DataFrame:
                 F.col(m.pk).alias("source"),
                 F.explode(F.when(_present(df, f.name), F.col(f"`{f.name}`"))).alias("item"),
             )
-            _insert_items(work, m, f, items)
+            _insert_items(work, m, f, items, frozenset({"source"}))
         elif f.has_default and f.default:
             values = F.array(*[F.lit(v) for v in f.default])
-            work.add_links((m.name, f.name), df.select(F.col(m.pk).alias("source"), F.explode(values).alias("target")))
+            links = df.select(F.col(m.pk).alias("source"), F.explode(values).alias("target"))
+            work.add_links((m.name, f.name), links, frozenset({"source", "target"}))
     return df.select(m.pk, *[c for c in df.columns if c.startswith("__")])
 
 
@@ -293,6 +331,8 @@ def _number(work: _Work, m: Model, f: Field, df: DataFrame) -> DataFrame:
             return number_rows(rows, [F.col(ORDER).asc()], "__no", ties=True)
         return dense_ids(rows, "__no")
 
+    if f.name in df.columns and df.where(F.col(f"`{f.name}`").isNull()).isEmpty():
+        return df
     first = next_key(work.store.scan(m.name, [f.name]), f.name).first()["next_key"]
     if f.name not in df.columns:
         return numbered(df).withColumn(f.name, F.col("__no") + F.lit(first - 1)).drop("__no")
@@ -323,25 +363,30 @@ def _insert_reference(work: _Work, m: Model, f: Field, df: DataFrame) -> DataFra
     return joined.withColumn(f.name, F.coalesce(F.col("__child"), known)).drop("__child", "__parent")
 
 
-def _insert_items(work: _Work, m: Model, f: Field, items: DataFrame) -> DataFrame:
+def _insert_items(
+    work: _Work, m: Model, f: Field, items: DataFrame, unchecked: frozenset[str] = frozenset()
+) -> DataFrame:
     """Add array elements (``source``, ``item``): records, keys or plain values; returns the links."""
-    struct = _struct_of(items, "item")
+    key, struct = (m.name, f.name), _struct_of(items, "item")
     if struct is None:
         links = items.select("source", F.col("item").alias("target"))
-    else:
-        child = work.store.catalog.model(f.ref_model)
-        value = F.col("item")
-        only_key = _only_key(struct, value, child.pk)
-        links = []
-        if child.pk in struct.names:
-            links.append(items.where(only_key).select("source", value[child.pk].alias("target")))
-        if set(struct.names) - {PRESENT} != {child.pk}:
-            new = _unpack(items.where(~only_key), struct, "item", F.col("source").alias(_SOURCE))
-            keys = _insert(work, child, new)
-            links.append(keys.select(F.col(_SOURCE).alias("source"), F.col(child.pk).alias("target")))
-        links = reduce(DataFrame.unionByName, links)
-    work.add_links((m.name, f.name), links)
-    return links
+        work.add_links(key, links, unchecked)
+        return links
+    child = work.store.catalog.model(f.ref_model)
+    value = F.col("item")
+    only_key = _only_key(struct, value, child.pk)
+    added = []
+    if child.pk in struct.names:
+        known = items.where(only_key).select("source", value[child.pk].alias("target"))
+        work.add_links(key, known, unchecked)
+        added.append(known)
+    if set(struct.names) - {PRESENT} != {child.pk}:
+        new = _unpack(items.where(~only_key), struct, "item", F.col("source").alias(_SOURCE))
+        keys = _insert(work, child, new)
+        made = keys.select(F.col(_SOURCE).alias("source"), F.col(child.pk).alias("target"))
+        work.add_links(key, made, unchecked | {"target"})
+        added.append(made)
+    return reduce(DataFrame.unionByName, added)
 
 
 # -- update ------------------------------------------------------------------
@@ -355,15 +400,23 @@ def update(store: Store, model: str, pk, patch: Mapping, select=None, check: boo
         df = frame(store, model, patch).withColumn(KEY, key)
     else:
         df = store.spark.range(1).select(key.alias(KEY))
-    return update_many(store, model, df, select, check)
+    return _update(store, model, df, select, check, local=True)
 
 
 def update_many(store: Store, model: str, patches: DataFrame, select=None, check: bool = True) -> Changes:
     """Patch records by key; for one key, later items (by ``_ord``) win field by field."""
+    return _update(store, model, patches, select, check, local=False)
+
+
+def _update(store: Store, model: str, patches: DataFrame, select, check: bool, local: bool) -> Changes:
     m = store.catalog.model(model)
-    work = _Work(store)
-    keys = _patch(work, m, apply_hooks(m.on_write, patches))
-    return work.finish(check, read_many(work.store, model, keys, select))
+    patches = apply_hooks(m.on_write, patches)
+    if ORDER not in patches.columns:
+        # Written with the batch, so every plan sees the same order.
+        patches = patches.withColumn(ORDER, F.monotonically_increasing_id())
+    work = _Work(store, patches, local and not m.on_write)
+    keys = _patch(work, m, work.batch)
+    return work.finish(check, read_many(work.store, model, work.near(keys), select))
 
 
 def _patch(work: _Work, m: Model, df: DataFrame) -> DataFrame:
@@ -374,8 +427,6 @@ def _patch(work: _Work, m: Model, df: DataFrame) -> DataFrame:
         moves_key = False
     else:
         moves_key = m.pk in df.columns
-    if ORDER not in df.columns:
-        df = df.withColumn(ORDER, F.monotonically_increasing_id())
     if m.secret is not None and m.secret.name in df.columns:
         secret = F.col(f"`{m.secret.name}`").cast("string")
         work.violations.append(_secret_violations(m, m.secret, df))
@@ -399,7 +450,7 @@ def _patch(work: _Work, m: Model, df: DataFrame) -> DataFrame:
             for f in fields
         ],
     )
-    lost = folded.join(base.select(F.col(m.pk).alias("__pk")), F.col("__key") == F.col("__pk"), "left_anti")
+    lost = work.missing(folded, F.col("__key"), base.select(m.pk)).unionByName(folded.where("__key IS NULL"))
     work.violations.append(violation_rows(lost, m.name, m.pk, "not_found", F.col("__key"), F.lit(None)))
     if not fields:
         return folded.select(F.col("__key").alias(m.pk))
@@ -409,13 +460,13 @@ def _patch(work: _Work, m: Model, df: DataFrame) -> DataFrame:
         return F.when(new.isNotNull(), new["v"]).otherwise(F.col(f"`{f.name}`")).alias(f.name)
 
     changed = {f.name for f in fields}
-    joined = base.join(folded, F.col(m.pk) == F.col("__key"), "left")
+    joined = base.join(work.near(folded), F.col(m.pk) == F.col("__key"), "left")
     patched = joined.select(*[after(f) if f.name in changed else F.col(f"`{f.name}`") for f in m.stored])
     work.set_table(m.name, patched)
-    rows = base.join(folded, F.col(m.pk) == F.col("__key")).select(
+    rows = base.join(work.near(folded), F.col(m.pk) == F.col("__key")).select(
         *[after(f) if f.name in changed else F.col(f"`{f.name}`") for f in m.stored]
     )
-    work.changed.append((m.name, rows))
+    work.changed.append((m.name, rows, changed))
     if moves_key:
         moved = F.col(f"`__new.{m.pk}`")
         mapping = folded.where(moved.isNotNull() & (moved["v"] != F.col("__key"))).select(
@@ -443,7 +494,9 @@ def _patch_reference(work: _Work, m: Model, f: Field, df: DataFrame) -> DataFram
             F.col(m.pk).alias("__pk"), F.col(f"`{f.name}`").alias("__fk")
         )
         nested = df.where(_present(df, f.name) & value.isNotNull() & ~_only_key(struct, value, child.pk))
-        keyed = nested.join(current, F.col(KEY) == F.col("__pk"), "left")
+        wanted = nested.select(F.col(KEY).alias("__wanted"))
+        current = current.join(work.near(wanted), F.col("__pk") == F.col("__wanted"), "left_semi")
+        keyed = nested.join(work.near(current), F.col(KEY) == F.col("__pk"), "left")
         patches = _unpack(keyed, struct, f.name, F.coalesce(key, F.col("__fk")).alias(KEY), F.col(ORDER))
         _patch(work, child, patches.drop(child.pk))
     repoints = _present(df, f.name) & (value.isNull() | _only_key(struct, value, child.pk))
@@ -470,7 +523,7 @@ def _replace_items(work: _Work, m: Model, f: Field, df: DataFrame) -> None:
     )
     last = last.where(F.col("__items").isNotNull())
     links = work.store.links(m.name, f.name)
-    kept = links.join(last.select("__key"), F.col("source") == F.col("__key"), "left_anti")
+    kept = links.join(work.near(last.select("__key")), F.col("source") == F.col("__key"), "left_anti")
     work.set_links((m.name, f.name), kept)
     work.add_links(
         (m.name, f.name), last.select(F.col("__key").alias("source"), F.explode("__items").alias("target"))
@@ -482,10 +535,10 @@ def _move_keys(work: _Work, m: Model, mapping: DataFrame) -> None:
     catalog = work.store.catalog
     for other, f in catalog.referrers(m.name):
         table = work.store.scan(other.name)
-        work.set_table(other.name, _remapped(table, f.name, mapping))
+        work.set_table(other.name, _remapped(table, f.name, work.near(mapping)))
     for other, f, end in catalog.links_touching(m.name):
         key = (other.name, f.name)
-        work.set_links(key, _remapped(work.store.links(*key), end, mapping))
+        work.set_links(key, _remapped(work.store.links(*key), end, work.near(mapping)))
 
 
 def _remapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -501,7 +554,7 @@ def delete(store: Store, model: str, pk, select=None, cascade: bool = False, che
     m = store.catalog.model(model)
     key = F.lit(pk).cast(store.catalog.value_type(m.primary.type))
     keys = apply_hooks(m.on_delete, store.spark.range(1).select(key.alias(m.pk)))
-    return delete_many(store, model, keys, select, cascade, check)
+    return _delete(store, model, keys, select, cascade, check, local=not m.on_delete)
 
 
 def delete_many(
@@ -512,25 +565,33 @@ def delete_many(
     Optional references become null, required ones block. ``cascade`` also
     deletes the to-one records that the deleted ones refer to.
     """
+    return _delete(store, model, keys, select, cascade, check, local=False)
+
+
+def _delete(store: Store, model: str, keys: DataFrame, select, cascade: bool, check: bool, local: bool) -> Changes:
     m = store.catalog.model(model)
-    work = _Work(store)
-    keys = keys.select(F.col(m.pk).alias("__key")).distinct()
-    lost = keys.join(store.scan(model, [m.pk]), F.col("__key") == F.col(m.pk), "left_anti")
+    work = _Work(store, keys.select(F.col(m.pk).alias("__key")).distinct(), local)
+    keys = work.batch
+    lost = work.missing(keys, F.col("__key"), store.scan(model, [m.pk]))
     work.violations.append(violation_rows(lost, model, m.pk, "not_found", F.col("__key"), F.lit(None)))
     children = []
     if cascade:
         for f in m.refs:
-            doomed = store.scan(model, [m.pk, f.name]).join(keys, F.col(m.pk) == F.col("__key"), "left_semi")
+            doomed = store.scan(model, [m.pk, f.name]).join(
+                work.near(keys), F.col(m.pk) == F.col("__key"), "left_semi"
+            )
             doomed = doomed.where(F.col(f"`{f.name}`").isNotNull()).select(F.col(f"`{f.name}`").alias("__key"))
             children.append((store.catalog.model(f.ref_model), doomed.distinct()))
     _remove(work, m, keys)
     for child, doomed in children:
         _remove(work, child, doomed)
-    return work.finish(check, read_many(store, model, keys.withColumnRenamed("__key", m.pk), select))
+    gone = read_many(store, model, work.near(keys.withColumnRenamed("__key", m.pk)), select)
+    return work.finish(check, gone)
 
 
 def _remove(work: _Work, m: Model, keys: DataFrame) -> None:
     catalog = work.store.catalog
+    keys = work.near(keys)
     base = work.store.scan(m.name)
     work.set_table(m.name, base.join(keys, F.col(m.pk) == F.col("__key"), "left_anti"))
     for other, f in catalog.referrers(m.name):
@@ -562,18 +623,22 @@ def push_to(store: Store, model: str, field: str, pk, item, select=None, check:
             T.StructField("item", dtype.elementType),
         ]
     )
-    return push_many_to(store, model, field, local_frame(store.spark, [(pk, value[0])], schema), select, check)
+    return _push(store, model, field, local_frame(store.spark, [(pk, value[0])], schema), select, check, local=True)
 
 
 def push_many_to(
     store: Store, model: str, field: str, items: DataFrame, select=None, check: bool = True
 ) -> Changes:
     """Add elements given as (``source``, ``item``); the result holds the pushed records or values."""
+    return _push(store, model, field, items, select, check, local=False)
+
+
+def _push(store: Store, model: str, field: str, items: DataFrame, select, check: bool, local: bool) -> Changes:
     m = store.catalog.model(model)
     f = m.field(field)
-    work = _Work(store)
-    links = _insert_items(work, m, f, items.select("source", "item"))
-    return work.finish(check, _elements(work.store, f, links, select))
+    work = _Work(store, items.select("source", "item"), local)
+    links = _insert_items(work, m, f, work.batch)
+    return work.finish(check, _elements(work.store, f, work.near(links), select))
 
 
 def remove_from(store: Store, model: str, field: str, pk, target, select=None) -> Changes:
@@ -585,6 +650,7 @@ def remove_from(store: Store, model: str, field: str, pk, target, select=None) -
 def remove_many_from(store: Store, model: str, field: str, pairs: DataFrame, select=None) -> Changes:
     """Remove all links equal to one of the pairs (``source``, ``target``)."""
     f = store.catalog.model(model).field(field)
+    pairs = written_side(pairs.select("source", "target"))
     gone = pairs.select(F.col("source").alias("__source"), F.col("target").alias("__target")).distinct()
     links = store.links(model, field)
     kept = links.join(
@@ -606,12 +672,16 @@ def _elements(store: Store, f: Field, links: DataFrame, select) -> Result:
 def run_group(store: Store, operations: Iterable[Callable[[Store], Changes]]) -> tuple[Store, list]:
     """Run operations one after the other, each on the store the earlier ones left.
 
-    Nothing is written here: an operation that fails raises and the given store
-    is as before. Publish the returned store to make the whole group visible.
+    An operation that fails raises, and the given store is as before. With a
+    stored store, what an operation changed is written before the next one runs,
+    so that it is not worked out again; it stays invisible until the returned
+    store is published.
     """
     results = []
     for operation in operations:
         changes = operation(store)
         store = store.apply(changes)
+        if store.path is not None:
+            store = store.settle()
         results.append(changes.result)
     return store, results

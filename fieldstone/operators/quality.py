@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import BOOL, DATE, FILE, FLOAT, INT, STRING, Catalog, Enumeration, Field, Model
+from fieldstone.functions.joins import rows_without
 from fieldstone.session import local_frame
 from fieldstone.sources.store import Store
 
@@ -90,12 +91,18 @@ def check_required(store: Store, model: str) -> DataFrame:
     return required_violations(store.scan(model), store.catalog.model(model))
 
 
-def dangling(rows: DataFrame, column: str, keys: DataFrame, model: str, field: str, key: Column, rule: str):
+def dangling(
+    rows: DataFrame,
+    column: str,
+    keys: DataFrame,
+    model: str,
+    field: str,
+    key: Column,
+    rule: str,
+    small: bool = False,
+) -> DataFrame:
     """Rows whose non-null ``column`` is not among ``keys`` (one column)."""
-    target = keys.select(F.col(keys.columns[0]).alias("__target"))
-    lost = rows.where(F.col(f"`{column}`").isNotNull()).join(
-        target, F.col(f"`{column}`") == F.col("__target"), "left_anti"
-    )
+    lost = rows_without(rows, F.col(f"`{column}`"), keys, small)
     return violation_rows(lost, model, field, rule, key, F.col(f"`{column}`"))
 
 
@@ -183,6 +190,11 @@ def check_json(raw: DataFrame, catalog: Catalog, model: str, column: str = "valu
         F.col(column).alias("__text"),
         F.try_parse_json(F.col(column)).alias("__v"),
     ).withColumn("__keys", F.json_object_keys("__text"))
+    # Each value and its kind is taken out once and named, not once per use.
+    df = df.withColumns(
+        {f"__v.{f.name}": F.try_variant_get("__v", f"$.{f.name}", "variant") for f in m.fields}
+    )
+    df = df.withColumns({f"__kind.{f.name}": F.schema_of_variant(F.col(f"`__v.{f.name}`")) for f in m.fields})
     is_object = F.col("__keys").isNotNull() & F.col("__v").isNotNull()
     key = F.get_json_object("__text", f"$.{m.pk}")
     found = [
@@ -210,8 +222,8 @@ def _violation(field: Column, rule: str, value: Column) -> Column:
 
 def _field_violation(catalog: Catalog, f: Field) -> Column:
     present = F.array_contains("__keys", f.name)
-    value = F.try_variant_get(F.col("__v"), f"$.{f.name}", "variant")
-    kind = F.schema_of_variant(value)
+    value = F.col(f"`__v.{f.name}`")
+    kind = F.col(f"`__kind.{f.name}`")
     null = F.is_variant_null(value)
     text = F.get_json_object("__text", f"$.{f.name}")
     name = F.lit(f.name)

@@ -106,7 +106,10 @@ class Result:
         else:
             part = F.lit(0).cast("bigint")
         element = F.col(VALUE) if visible == [VALUE] else F.struct(*[F.col(f"`{c}`") for c in visible])
-        arrays = rows.groupBy(SOURCE, part.alias(PART)).agg(
+        # No task builds arrays for a parent whose elements are elsewhere: a map-side
+        # collect_list would only ship larger buffers. Groups are bounded by now.
+        rows = rows.withColumn(PART, part).repartition(SOURCE, PART)
+        arrays = rows.groupBy(SOURCE, PART).agg(
             F.sort_array(F.collect_list(F.struct(F.col(by).alias("by"), element.alias("item")))).alias("items")
         )
         return arrays.withColumn("items", F.col("items")["item"]), split

@@ -128,11 +128,9 @@ class Store:
                     links[(m.name, f.name)] = _reader(spark, locations[name], catalog.link_struct(m.name, f.name))
         return Store(spark, catalog, tables, links, path, locations)
 
-    def write(self, model: str, df: DataFrame, version: int) -> str:
-        """Persist rows of one model table below a version folder; returns its location."""
-        return self._write_table(model, df, version)
-
-    def _write_table(self, name: str, df: DataFrame, version: int) -> str:
+    def write(self, name: str, df: DataFrame, version: int) -> str:
+        """Persist one table (a model's, or an array's as ``Model.field``) below a version's
+        folder; returns its location."""
         # The random part keeps two writers of one version apart and never
         # overwrites a folder that this very job reads.
         location = f"{self.path}/v{version}/{name}-{uuid.uuid4().hex}"
@@ -146,23 +144,27 @@ class Store:
         rewritten. Nothing is visible until the version row is appended.
         """
         target = self if path is None or path == self.path else self.replaced(path=path, locations={})
-        if target.path is None:
+        settled = target.settle()
+        version = last_version(self.spark, settled.path) + 1
+        record_version(self.spark, settled.path, version, self.catalog, settled.locations)
+        return Store.open(self.spark, settled.path, self.catalog, version)
+
+    def settle(self) -> Store:
+        """Write the tables that no published version holds, without making them visible."""
+        if self.path is None:
             raise ValueError("the store has no path")
-        version = _next_version(self.spark, target.path)
-        locations = dict(target.locations)
+        version = last_version(self.spark, self.path) + 1
+        locations, tables, links = {}, {}, {}
         for m in self.catalog.models:
-            if m.name not in locations:
-                locations[m.name] = target._write_table(m.name, self.scan(m.name), version)
+            location = self.locations.get(m.name) or self.write(m.name, self.scan(m.name), version)
+            locations[m.name] = location
+            tables[m.name] = _reader(self.spark, location, self.catalog.struct(m.name))
             for f in m.arrays:
                 name = _link_name((m.name, f.name))
-                if name not in locations:
-                    locations[name] = target._write_table(name, self.links(m.name, f.name), version)
-        known = {m.name for m in self.catalog.models} | {
-            _link_name((m.name, f.name)) for m in self.catalog.models for f in m.arrays
-        }
-        locations = {k: v for k, v in locations.items() if k in known}
-        record_version(self.spark, target.path, version, self.catalog, locations)
-        return Store.open(self.spark, target.path, self.catalog, version)
+                location = self.locations.get(name) or self.write(name, self.links(m.name, f.name), version)
+                locations[name] = location
+                links[(m.name, f.name)] = _reader(self.spark, location, self.catalog.link_struct(m.name, f.name))
+        return self.replaced(tables=tables, links=links, locations=locations)
 
 
 def record_version(
@@ -187,10 +189,6 @@ def last_version(spark: SparkSession, path: str) -> int:
     return Store.versions(spark, path).agg(F.max("version").alias("v")).first()["v"] or 0
 
 
-def _next_version(spark: SparkSession, path: str) -> int:
-    return last_version(spark, path) + 1
-
-
 def _link_name(key: LinkKey) -> str:
     return f"{key[0]}.{key[1]}"
 
