@@ -1,10 +1,10 @@
 """Allow and deny rules over logs of operations, and as secured views of tables.
 
 Rules are grouped to one row per role, and a kind of operation (who does what to
-which fields) looks up its rules there. Without predicates every kind is decided
-once, so a log of any length is only hashed against few outcomes. With predicates
-each operation is decided on its own, after joining the user and target records
-they look at. The log is never exploded or shuffled by role.
+which fields) looks up its rules there. Every kind is decided once per outcome of
+the predicates, so a log of any length is only hashed against few decisions. The
+user and target records are joined in only for predicates that look at them. The
+log is never exploded or shuffled by role.
 
 An operation is on *self* when it targets the user's own record: the role is
 the target's model and the target's key is the user's.
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain, combinations
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,9 +182,15 @@ def _lookup(pairs: Mapping[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[key]
 
 
+def _child_model(catalog: Catalog) -> Column:
+    """The model of which a push creates a record; null for every other operation."""
+    targets = {f"{m.name}|{f.name}": f.ref_model for m in catalog.models for f in m.arrays if f.is_ref_array}
+    creates = F.coalesce("creates_child", F.lit(False)) & F.col("event").isin("PUSH_TO", "PUSH_MANY_TO")
+    return F.when(creates, _lookup(targets, F.concat_ws("|", "model", "field")))
+
+
 def rules_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
-    """Add ``own_keys`` (rule keys of each operation), ``read_keys`` (per selected field)
-    and ``child_model`` (of a push that creates)."""
+    """Add ``own_keys`` (rule keys of each operation) and ``read_keys`` (per selected field)."""
     event, model, none = F.col("event"), F.col("model"), F.lit("")
     on_self = F.col("on_self") if "on_self" in ops.columns else _is_self()
     fields = F.coalesce("set_fields", F.array().cast("array<string>"))
@@ -199,9 +206,7 @@ def rules_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
     def each(permission: str, keys) -> Column:
         return F.flatten(F.transform(fields, lambda f: keys(f, permission)))
 
-    targets = {f"{m.name}|{f.name}": f.ref_model for m in catalog.models for f in m.arrays if f.is_ref_array}
-    pushes_new = F.coalesce("creates_child", F.lit(False)) & event.isin("PUSH_TO", "PUSH_MANY_TO")
-    child = F.when(pushes_new, _lookup(targets, F.concat_ws("|", model, array_field)))
+    child = _child_model(catalog)
     create_child = F.when(child.isNotNull(), F.array(_key(child, none, "CREATE", "any"))).otherwise(
         F.array().cast("array<string>")
     )
@@ -238,9 +243,7 @@ def rules_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
         return F.struct(name.alias("name"), keys.alias("keys"))
 
     selected = F.coalesce("selected_fields", F.array().cast("array<string>"))
-    return ops.withColumns(
-        {"own_keys": own, "read_keys": F.transform(selected, read_keys), "child_model": child}
-    )
+    return ops.withColumns({"own_keys": own, "read_keys": F.transform(selected, read_keys)})
 
 
 def match_rules(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
@@ -255,47 +258,60 @@ def match_rules(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame
 # -- predicates --------------------------------------------------------------
 
 
+def _used_predicates(rules: DataFrame) -> list:
+    """Which predicate guards which model for which role: bounded by the definition."""
+    named = rules.where(F.col("predicate_id").isNotNull())
+    return named.select("role", "model", "predicate_id").distinct().collect()
+
+
 def _predicate_values(
-    ops: DataFrame, rules: DataFrame, store: Store | None, predicates: Mapping[str, Predicate | str]
+    ops: DataFrame,
+    used: list,
+    catalog: Catalog,
+    store: Store | None,
+    predicates: Mapping[str, Predicate | str],
 ) -> DataFrame:
-    """Add ``passed``: the ids of the predicates that are literally true for the operation."""
-    used = (
-        rules.where(F.col("predicate_id").isNotNull()).select("role", "model", "predicate_id").distinct().collect()
-    )
+    """Add ``passed``: the sorted ids of the predicates that are literally true for the operation."""
     if not used:
         return ops.withColumn("passed", F.array().cast("array<string>"))
     if store is None:
         raise ValueError("rules with predicates need a store")
-    catalog = store.catalog
+    schemas = {name: store.scan(name).schema for row in used for name in (row["role"], row["model"]) if name}
+    ops = ops.withColumn("child_model", _child_model(catalog))
     for role in sorted({r["role"] for r in used if r["role"] is not None}):
         pk = catalog.model(role).pk
         ops = _with_record(ops, store, role, pk, F.when(F.col("role") == role, F.col("user_id")), f"__user.{role}")
+    stored = F.col("event").isin("READ", "DELETE")
     for model in sorted({r["model"] for r in used}):
         pk = catalog.model(model).pk
-        stored = F.col("event").isin("READ", "DELETE")
         key = F.when((F.col("model") == model) & stored, F.col("target_id"))
         ops = _with_record(ops, store, model, pk, key, f"__stored.{model}")
-        given = F.from_json("arg", record_schema(catalog, model, nested=False))
-        record = store.scan(model).schema
-        target = F.struct(
+        # Parsed once, into a column of its own.
+        parsed = F.from_json("arg", record_schema(catalog, model, nested=False))
+        ops = ops.withColumn(f"__given.{model}", F.when(_concerns(model) & ~stored, parsed))
+
+    def user_of(role: str | None) -> Column:
+        if role is None:
+            return F.lit(None)
+        return F.struct(*[F.col(f"`__user.{role}.{c}`").alias(c) for c in schemas[role].names])
+
+    def target_of(model: str) -> Column:
+        given = F.col(f"`__given.{model}`")
+        return F.struct(
             *[
-                F.coalesce(
-                    F.col(f"`__stored.{model}`")[f.name],
-                    F.when(_concerns(model) & ~stored, given[f.name].cast(f.dataType)),
-                ).alias(f.name)
-                for f in record
+                F.coalesce(F.col(f"`__stored.{model}.{f.name}`"), given[f.name].cast(f.dataType)).alias(f.name)
+                for f in schemas[model]
             ]
         )
-        ops = ops.withColumn(f"__target.{model}", target)
+
     passed = []
     for row in used:
         role, model, name = row["role"], row["model"], row["predicate_id"]
-        user = F.col(f"`__user.{role}`") if role is not None else F.lit(None)
-        value = resolve(predicates.get(name, name))(user, F.col(f"`__target.{model}`"))
+        value = resolve(predicates.get(name, name))(user_of(role), target_of(model))
         here = F.col("role").eqNullSafe(F.lit(role)) & _concerns(model) & value.cast("boolean")
         passed.append(F.when(here, F.lit(name)))
-    ops = ops.withColumn("passed", F.array_compact(F.array(*passed)))
-    return ops.drop(*[c for c in ops.columns if c.startswith(("__user.", "__stored.", "__target."))])
+    ops = ops.withColumn("passed", F.array_sort(F.array_distinct(F.array_compact(F.array(*passed)))))
+    return ops.drop(*[c for c in ops.columns if c.startswith(("__user.", "__stored.", "__given."))])
 
 
 def _concerns(model: str) -> Column:
@@ -304,12 +320,13 @@ def _concerns(model: str) -> Column:
 
 
 def _with_record(ops: DataFrame, store: Store, model: str, pk: str, key: Column, name: str) -> DataFrame:
-    """Left-join one record of ``model`` as a struct. Operations without a key get one of
-    their own that matches nothing, so they spread instead of meeting at null."""
+    """Left-join the columns of one record of ``model``; those that no predicate reads are
+    pruned. Operations without a key get one of their own that matches nothing, so they
+    spread instead of meeting at null."""
     table = store.scan(model)
     side = table.select(
         F.concat(F.lit("="), F.col(pk).cast("string")).alias("__key"),
-        F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias(name),
+        *[F.col(f"`{c}`").alias(f"{name}.{c}") for c in table.columns],
     )
     own = F.coalesce(F.concat(F.lit("="), key), F.concat(F.lit("-"), F.col("op_id").cast("string")))
     return ops.join(side, own == F.col("__key"), "left").drop("__key")
@@ -334,12 +351,16 @@ def authorize(
     deny that holds. Each error names its cause, field and message.
     """
     ops = _complete(ops).withColumn("on_self", _is_self())
-    conditional = not rules.where(F.col("predicate_id").isNotNull()).isEmpty()
-    if conditional:
-        ops = _predicate_values(rules_of(ops, catalog), rules, store, predicates or {})
-        decided = _decided(ops, rules, catalog).select("op_id", "errors")
+    used = _used_predicates(rules)
+    judged = _predicate_values(ops, used, catalog, store, predicates or {})
+    ids = _ids_by_role(used)
+    if max(map(len, ids.values()), default=0) <= SUBSET_PREDICATES:
+        decisions = _decisions(ops.select(*_KIND).distinct(), rules, catalog, ids)
+        columns = [*_KIND, "passed"]
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+        decided = judged.select("op_id", *columns).join(decisions, on).select("op_id", "errors")
     else:
-        decided = _decided_by_kind(ops, rules, catalog)
+        decided = _decided(rules_of(judged, catalog), rules, catalog).select("op_id", "errors")
     return decided.select("op_id", (F.size("errors") == 0).alias("allowed"), "errors")
 
 
@@ -349,18 +370,41 @@ _KIND = ("role", "event", "model", "field", "set_fields", "selected_fields", "cr
 BROADCAST_KINDS = 50_000
 
 
-def _decided_by_kind(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
-    """Decide each kind of operation once and hand the outcome to its operations.
+# Up to this many predicates per role, every outcome of them is decided in advance.
+SUBSET_PREDICATES = 6
+
+
+def _ids_by_role(used) -> dict:
+    ids: dict = {}
+    for row in used:
+        ids.setdefault(row["role"], set()).add(row["predicate_id"])
+    return ids
+
+
+def _outcomes(ids: Mapping) -> Column:
+    """All sets of predicates that may hold for an operation of the row's role."""
+
+    def subsets(names) -> Column:
+        found = chain.from_iterable(combinations(sorted(names), n) for n in range(len(names) + 1))
+        return F.array(*[F.array(*[F.lit(n) for n in chosen]).cast("array<string>") for chosen in found])
+
+    outcomes = F.when(F.lit(False), subsets(()))
+    for role, names in ids.items():
+        outcomes = outcomes.when(F.col("role").eqNullSafe(F.lit(role)), subsets(names))
+    return outcomes.otherwise(subsets(()))
+
+
+def _decisions(kinds: DataFrame, rules: DataFrame, catalog: Catalog, ids: Mapping) -> DataFrame:
+    """Decide each kind of operation under every outcome of the predicates.
 
-    The log itself is only hashed and looked up; distinct kinds are combined map-side.
+    The log itself is then only hashed and looked up; its distinct kinds are
+    combined map-side and found without evaluating a predicate.
     """
-    kinds = ops.select(*_KIND).distinct().withColumn("passed", F.array().cast("array<string>"))
+    kinds = kinds.withColumn("passed", F.explode(_outcomes(ids)))
     decided = _decided(rules_of(kinds, catalog), rules, catalog)
-    decided = checkpointed(decided.select(*[F.col(c).alias(f"__{c}") for c in _KIND], "errors"))
-    if decided.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS:
-        decided = F.broadcast(decided)
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KIND]
-    return ops.select("op_id", *_KIND).join(decided, on).select("op_id", "errors")
+    decided = checkpointed(decided.select(*[F.col(c).alias(f"__{c}") for c in (*_KIND, "passed")], "errors"))
+    few = decided.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS
+    return F.broadcast(decided) if few else decided
 
 
 def _decided(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
