@@ -525,9 +525,9 @@ def _replace_items(work: _Work, m: Model, f: Field, df: DataFrame) -> None:
     links = work.store.links(m.name, f.name)
     kept = links.join(work.near(last.select("__key")), F.col("source") == F.col("__key"), "left_anti")
     work.set_links((m.name, f.name), kept)
-    work.add_links(
-        (m.name, f.name), last.select(F.col("__key").alias("source"), F.explode("__items").alias("target"))
-    )
+    added = last.select(F.col("__key").alias("source"), F.explode("__items").alias("target"))
+    # The source is the patched record itself, whose absence is reported as such.
+    work.add_links((m.name, f.name), added, frozenset({"source"}))
 
 
 def _move_keys(work: _Work, m: Model, mapping: DataFrame) -> None:
