@@ -80,10 +80,16 @@ def ranked(
     offset: int = 0,
     limit: int | None = None,
     ties: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of each group at positions offset+1 .. offset+limit, with their position."""
+    """Rows of each group at positions offset+1 .. offset+limit, with their position.
+
+    ``sizes`` is a cheaper frame whose groups are at least as large; it tells
+    whether one task may sort the largest of them.
+    """
     last = None if limit is None else offset + limit
-    if last is not None and last <= GROUP_LIMIT_ROWS or largest_group(df, group) <= WINDOW_GROUP_ROWS:
+    pruned = last is not None and last <= GROUP_LIMIT_ROWS
+    if pruned or largest_group(df if sizes is None else sizes, group) <= WINDOW_GROUP_ROWS:
         out = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
     else:
         out = number_rows(df, order, name, group, ties)

@@ -18,6 +18,7 @@ from functools import reduce
 from itertools import chain, combinations
 from operator import or_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -510,8 +511,11 @@ def _NO_HITS() -> Column:
 
 
 def require(decisions: DataFrame) -> None:
-    """Raise when any operation was refused."""
-    refused = decisions.where(~F.col("allowed")).take(1)
+    """Raise when any operation was refused, or a predicate failed."""
+    try:
+        refused = decisions.where(~F.col("allowed")).take(1)
+    except PySparkException as error:
+        raise AuthorizationError(f"a predicate failed: {error}") from error
     if refused:
         raise AuthorizationError("; ".join(e["message"] for e in refused[0]["errors"]))
 

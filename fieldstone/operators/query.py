@@ -49,8 +49,10 @@ class Result:
     full: DataFrame | None = None
     sort: list[Column] = field(default_factory=list)
     hidden: list[str] = field(default_factory=list)
+    # Of a list: how many elements a parent may have, or a cheap frame to count them in.
+    bound: int | DataFrame | None = None
 
-    def nested(self, max_items: int = 10_000) -> DataFrame:
+    def nested(self, max_items: int = 1_000) -> DataFrame:
         """Records with their lists as arrays of structs, ``[]`` when empty.
 
         An array holds at most ``max_items`` elements. A record with more comes
@@ -97,7 +99,14 @@ class Result:
 
     def _packed(self, max_items: int) -> tuple[DataFrame, bool]:
         rows = self.nested(max_items)
-        split = largest_group(rows, SOURCE) > max_items
+        if PART in rows.columns:
+            largest = largest_group(rows, SOURCE)
+        elif isinstance(self.bound, int) and self.bound <= max_items:
+            largest = self.bound
+        else:
+            sizes = self.bound if isinstance(self.bound, DataFrame) else self.records
+            largest = largest_group(sizes, SOURCE)
+        split = largest > max_items
         visible = [c for c in rows.columns if c not in (SOURCE, POSITION)]
         by = POSITION if POSITION in rows.columns else self.key
         if split:
@@ -300,7 +309,9 @@ _DIRECTIONS = {
 }
 
 
-def _ranked_list(df: DataFrame, options: Mapping, order, by: Column, tie: Column) -> DataFrame:
+def _ranked_list(
+    df: DataFrame, options: Mapping, order, by: Column, tie: Column, sizes: DataFrame
+) -> DataFrame:
     offset, limit = _range(options)
     if order is None and offset == 0 and limit is None:
         return df
@@ -308,7 +319,7 @@ def _ranked_list(df: DataFrame, options: Mapping, order, by: Column, tie: Column
     key = F.rand() if direction == "SHUFFLED" else by
     df = df.withColumn("__by", key)
     keys = [_DIRECTIONS[direction](F.col("__by")), tie.asc()]
-    return ranked(df, SOURCE, keys, POSITION, offset, limit, ties=True).drop("__by")
+    return ranked(df, SOURCE, keys, POSITION, offset, limit, ties=True, sizes=sizes).drop("__by")
 
 
 def _reference_list(store: Store, f: Field, links: DataFrame, pick: _Pick) -> Result:
@@ -319,18 +330,26 @@ def _reference_list(store: Store, f: Field, links: DataFrame, pick: _Pick) -> Re
     order = _order(options)
     by = child.field(order[0]).name if order and order[0] else child.pk
     # Trim before populating, so that only kept elements are joined further.
-    rows = _ranked_list(rows, options, order, F.col(by), F.col(child.pk))
+    rows = _ranked_list(rows, options, order, F.col(by), F.col(child.pk), links)
     carry = [c for c in (SOURCE, POSITION) if c in rows.columns]
     records, pending, _ = project(store, child, rows, pick.select, carry)
-    return _attach(records, child.pk, pending, _among(records))
+    result = _attach(records, child.pk, pending, _among(records))
+    result.bound = _bound(options, links)
+    return result
+
+
+def _bound(options: Mapping, links: DataFrame) -> int | DataFrame:
+    """The links of a parent are at least as many as its filtered or ranged elements."""
+    limit = _range(options)[1]
+    return links.select(SOURCE) if limit is None else limit
 
 
 def _value_list(f: Field, links: DataFrame, pick: _Pick) -> Result:
     rows = links.withColumnRenamed("_target", VALUE)
     rows = filter_values(rows, VALUE, f.type.of, pick.options.get("filter"))
-    rows = _ranked_list(rows, pick.options, _order(pick.options), F.col(VALUE), F.col(VALUE))
+    rows = _ranked_list(rows, pick.options, _order(pick.options), F.col(VALUE), F.col(VALUE), links)
     columns = [c for c in (SOURCE, POSITION, VALUE) if c in rows.columns]
-    return Result(rows.select(*columns), VALUE)
+    return Result(rows.select(*columns), VALUE, bound=_bound(pick.options, links))
 
 
 # -- entry points ----------------------------------------------------------

@@ -321,7 +321,8 @@ def acl_rule_errors(spark, folder):
     SELECT o_orderkey, o_custkey AS customer, o_orderstatus,
            CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice
     FROM orders WHERE o_custkey >= 7
-    """
+    """,
+    name="secure_view",
 )
 def secure_orders(spark, folder):
     """Orders as customer 7 sees them: rows by predicate, prices of finished ones hidden."""

@@ -56,7 +56,8 @@ def _latest(events: DataFrame) -> DataFrame:
     + """
     SELECT user_id AS "user", event, old_type, CASE WHEN event <> 'REMOVE' THEN new_type END AS new_type
     FROM later WHERE event IS NOT NULL
-    """
+    """,
+    name="change_feed",
 )
 def change_events(spark, folder):
     """Every user's last status at mid-month and at the end; an error ends the status."""
@@ -103,7 +104,7 @@ def _drained(spark: SparkSession, sdf: DataFrame) -> DataFrame:
     return spark.read.schema(sdf.schema).parquet(path)
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey = 7")
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey = 7", name="stream_read")
 def stream_one(spark, folder):
     """A subscription to one order."""
     store = open_warehouse(spark, folder)
@@ -115,7 +116,8 @@ def stream_one(spark, folder):
     """
     SELECT event_id, value, c_name FROM events JOIN customer ON c_custkey = user_id
     WHERE event_type = 'purchase' AND value > 50 AND ts > TIMESTAMP '2024-01-03' AND c_acctbal > 0
-    """
+    """,
+    name="stream_list",
 )
 def stream_filtered(spark, folder):
     """A subscription to a filtered list, with the user looked up in a table."""
@@ -135,7 +137,8 @@ def stream_filtered(spark, folder):
     SELECT user_id AS "user", 'NEW' AS event, event_type FROM was
     UNION ALL SELECT user_id, event, CASE WHEN event = 'REMOVE' THEN old_type ELSE new_type END
     FROM later WHERE event IS NOT NULL
-    """
+    """,
+    name="stream_changes",
 )
 def stream_events(spark, folder):
     """The events as a live feed: the first half of the month, then, resumed, the second."""

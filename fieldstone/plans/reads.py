@@ -479,7 +479,7 @@ def nested_shuffled(spark, folder):
 # -- aggregates --------------------------------------------------------------------
 
 
-@query("SELECT max(o_orderkey) + 1 AS next_key FROM orders")
+@query("SELECT max(o_orderkey) + 1 AS next_key FROM orders", name="next_key")
 def next_order_key(spark, folder):
     return next_key(open_warehouse(spark, folder).scan("Order", ["o_orderkey"]), "o_orderkey")
 

@@ -12,16 +12,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function, under its own name unless that is taken by the operator it runs."""
 
     def add(fn: Query) -> Query:
-        name = fn.__name__
-        if name in QUERIES:
-            raise ValueError(f"query `{name}` is registered twice")
-        QUERIES[name] = fn
+        key = name or fn.__name__
+        if key in QUERIES:
+            raise ValueError(f"query `{key}` is registered twice")
+        QUERIES[key] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[key] = sql
         return fn
 
     return add

@@ -388,7 +388,7 @@ def update_pk(spark, folder):
 # -- delete ----------------------------------------------------------------------
 
 
-@query("SELECT event_id, user_id AS \"user\", event_type FROM events WHERE event_type <> 'error'")
+@query("SELECT event_id, user_id AS \"user\", event_type FROM events WHERE event_type <> 'error'", name="delete_many")
 def delete_events(spark, folder):
     store = open_warehouse(spark, folder)
     keys = store.scan("Event").where("event_type = 'error'").select("event_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ LinkKey = tuple[str, str]
 # A frame, or how to open it when it is first scanned.
 Table = DataFrame | Callable[[], DataFrame]
 
+# Tables of a version that are written at the same time.
+WRITERS = 8
+
 _VERSION_SCHEMA = "version bigint, catalog string, tables map<string,string>, created_at timestamp"
 
 
@@ -118,15 +122,7 @@ class Store:
             raise ValueError(f"no such version in {path}")
         catalog = catalog or Catalog.from_dict(json.loads(row["catalog"]))
         locations = dict(row["tables"])
-        tables, links = {}, {}
-        for m in catalog.models:
-            if m.name in locations:
-                tables[m.name] = _reader(spark, locations[m.name], catalog.struct(m.name))
-            for f in m.arrays:
-                name = _link_name((m.name, f.name))
-                if name in locations:
-                    links[(m.name, f.name)] = _reader(spark, locations[name], catalog.link_struct(m.name, f.name))
-        return Store(spark, catalog, tables, links, path, locations)
+        return Store(spark, catalog, path=path, locations=locations, **_opened_at(spark, catalog, locations))
 
     def write(self, name: str, df: DataFrame, version: int) -> str:
         """Persist one table (a model's, or an array's as ``Model.field``) below a version's
@@ -134,7 +130,11 @@ class Store:
         # The random part keeps two writers of one version apart and never
         # overwrites a folder that this very job reads.
         location = f"{self.path}/v{version}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(location)
+        # A bloom filter on the column that records are looked up by lets a read
+        # by key, or of one parent's links, skip row groups.
+        key = "source" if "." in name else self.catalog.model(name).pk
+        options = {"parquet.bloom.filter.adaptive.enabled": "true", f"parquet.bloom.filter.enabled#{key}": "true"}
+        df.write.options(**options).parquet(location)
         return location
 
     def publish(self, path: str | None = None) -> Store:
@@ -154,17 +154,16 @@ class Store:
         if self.path is None:
             raise ValueError("the store has no path")
         version = last_version(self.spark, self.path) + 1
-        locations, tables, links = {}, {}, {}
+        frames = {m.name: self.scan(m.name) for m in self.catalog.models if m.name not in self.locations}
         for m in self.catalog.models:
-            location = self.locations.get(m.name) or self.write(m.name, self.scan(m.name), version)
-            locations[m.name] = location
-            tables[m.name] = _reader(self.spark, location, self.catalog.struct(m.name))
             for f in m.arrays:
-                name = _link_name((m.name, f.name))
-                location = self.locations.get(name) or self.write(name, self.links(m.name, f.name), version)
-                locations[name] = location
-                links[(m.name, f.name)] = _reader(self.spark, location, self.catalog.link_struct(m.name, f.name))
-        return self.replaced(tables=tables, links=links, locations=locations)
+                if _link_name((m.name, f.name)) not in self.locations:
+                    frames[_link_name((m.name, f.name))] = self.links(m.name, f.name)
+        # Independent jobs; small tables fill the executors that a large one leaves idle.
+        with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+            written = pool.map(lambda item: (item[0], self.write(*item, version)), frames.items())
+            locations = {**self.locations, **dict(written)}
+        return self.replaced(locations=locations, **_opened_at(self.spark, self.catalog, locations))
 
 
 def record_version(
@@ -193,6 +192,19 @@ def _link_name(key: LinkKey) -> str:
     return f"{key[0]}.{key[1]}"
 
 
+def _opened_at(spark: SparkSession, catalog: Catalog, locations: Mapping[str, str]) -> dict:
+    """Readers for the tables of a catalog that have a location."""
+    tables, links = {}, {}
+    for m in catalog.models:
+        if m.name in locations:
+            tables[m.name] = _reader(spark, locations[m.name], catalog.struct(m.name))
+        for f in m.arrays:
+            name = _link_name((m.name, f.name))
+            if name in locations:
+                links[(m.name, f.name)] = _reader(spark, locations[name], catalog.link_struct(m.name, f.name))
+    return {"tables": tables, "links": links}
+
+
 def _opened(tables: dict, key) -> DataFrame | None:
     table = tables.get(key)
     if table is not None and not isinstance(table, DataFrame):

@@ -5,10 +5,12 @@ import pytest
 from fieldstone.catalog import STRING, ArrayOf, Catalog, Field, Model, Ref
 from fieldstone.functions.secrets import hash_secret
 from fieldstone.operators.access import (
+    AuthorizationError,
     Rule,
     RuleError,
     authorize,
     expand_rules,
+    require,
     rules_frame,
     secure_view,
     verify_credentials,
@@ -205,6 +207,14 @@ def test_predicates_see_user_and_target(spark):
     assert got == {"secret": False, "open": True, "create": True, "friend": True, "no friend": False}
 
 
+def test_failing_predicate_fails_the_request(spark):
+    rules = rules_frame(spark, [Rule("allow", ("READ",), "Todo", role="User", predicate="broken")])
+    ops = spark.createDataFrame([(1, "User", "jo", "READ", "Todo", "a")], "op_id int, role string, user_id string, event string, model string, target_id string")
+    broken = {"broken": lambda user, target: F.raise_error(F.concat(F.lit("no "), target["title"])).cast("boolean")}
+    with pytest.raises(AuthorizationError):
+        require(authorize(ops, rules, CATALOG, _store(spark), broken))
+
+
 def test_secure_view(spark):
     store = _store(spark)
     rules = rules_frame(
