@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from fieldstone.session import checkpointed
 
-# Largest side that is sent to every executor, measured as JSON text.
+# Largest side that is sent to every executor: in rows, and measured as JSON text.
+BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Is the whole frame small enough to broadcast? One pass; two numbers reach the driver."""
+    """Is the whole frame small enough to broadcast? One number at a time reaches the driver."""
+    if df.count() > BROADCAST_ROWS:
+        return False
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     size = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)).alias("b")).first()["b"]
     return size <= BROADCAST_BYTES

@@ -251,7 +251,7 @@ def match_rules(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame
     """Join each operation with its role's rule set (``rules``, null when the role has none)."""
     expanded = expand_rules(rules, catalog)
     sets = rule_sets(expanded)
-    if expanded.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    if expanded.count() <= BROADCAST_RULES:
         sets = F.broadcast(sets)
     return ops.join(sets, F.coalesce(ops["role"], F.lit("")) == F.col("set_role"), "left").drop("set_role")
 
@@ -404,8 +404,7 @@ def _decisions(kinds: DataFrame, rules: DataFrame, catalog: Catalog, ids: Mappin
     kinds = kinds.withColumn("passed", F.explode(_outcomes(ids)))
     decided = _decided(rules_of(kinds, catalog), rules, catalog)
     decided = checkpointed(decided.select(*[F.col(c).alias(f"__{c}") for c in (*_KIND, "passed")], "errors"))
-    few = decided.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS
-    return F.broadcast(decided) if few else decided
+    return F.broadcast(decided) if decided.count() <= BROADCAST_KINDS else decided
 
 
 def _decided(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
@@ -544,8 +543,10 @@ def secure_view(
     if role is not None and not catalog.has(role):
         raise AuthorizationError(f"Request has role `{role}` that doesn't exist")
     mine = F.col("role").eqNullSafe(F.lit(role)) & (F.col("model") == model) & (F.col("permission") == "READ")
-    # The rules of one role on one model: bounded by the definition.
-    relevant = expand_rules(rules, catalog).where(mine).collect()
+    # Distinct grants of one role on one model: bounded by its fields and predicates,
+    # however many rules repeat them.
+    grants = expand_rules(rules, catalog).where(mine)
+    relevant = grants.select("field", "kind", "is_self", "predicate_id").distinct().collect()
     user = None
     if role is not None and any(r["predicate_id"] for r in relevant):
         owner = catalog.model(role)

@@ -190,7 +190,9 @@ def open_warehouse(spark: SparkSession, folder: str) -> Store:
     labels = table("labels", "doc_id", big("quality"), (F.col("toxic") == 1).alias("toxic"))
 
     def documents() -> DataFrame:
-        labelled = labels().select(F.col("doc_id").alias("label"))
+        # Distinct keys let the optimizer drop this join where the label is not read,
+        # so that texts are not shuffled for it.
+        labelled = labels().select(F.col("doc_id").alias("label")).distinct()
         joined = read("documents").join(labelled, F.col("doc_id") == F.col("label"), "left")
         return joined.select("doc_id", "text", "lang", "source", "n_chars", "label")
 
