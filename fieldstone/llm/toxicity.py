@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,26 +27,50 @@ _BAGS = bytes(
 )
 
 
+def features(word: bytes) -> list[bytes]:
+    """A word and its beginnings, since endings vary; the mark tells a beginning from a whole word."""
+    return [word, *(b"^" + word[:k] for k in (4, 5, 6) if len(word) > k)]
+
+
+class _Known(dict):
+    """Weights of whole words, found once each and forgotten when too many."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        total = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return total
+
+
 @dataclass
 class ToxicModel:
-    """Weights of words, and the score of a sentence without any of them."""
+    """Weights of features, and the score of a sentence without any of them."""
 
     weights: dict[bytes, float]
     bias: float
 
+    @cached_property
+    def known(self) -> _Known:
+        return _Known(self.weights)
+
     def sentences(self, text: bytes) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and place (bytes) and score of each sentence with a weighted word."""
-        known = self.weights.keys()
+        """The document's score, and place (bytes) and score of each sentence with a weighted feature."""
+        weight = self.known.__getitem__
         calm = math.log1p(-_sigmoid(self.bias))
         clean, out, at, n = 0.0, [], 0, 0
         for bag in text.translate(_BAGS).split(b"\n"):
             words = bag.split()
             if words:
                 n += 1
-                if known.isdisjoint(words):
+                total = sum(map(weight, words))
+                if total == 0.0:
                     clean += calm
                 else:
-                    p = _sigmoid(self.bias + sum(self.weights.get(w, 0.0) for w in words))
+                    p = _sigmoid(self.bias + total)
                     clean += math.log1p(-p)
                     out.append((at, at + len(bag), p))
             at += len(bag) + 1
@@ -56,29 +81,33 @@ def _sigmoid(z: float) -> float:
     return 1e-12 + (1 - 2e-12) / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_toxic(texts: list[bytes], labels: list[int], epochs: int = 120, shrink: float = 2e-4) -> ToxicModel:
+def fit_toxic(texts: list[bytes], labels: list[int], epochs: int = 120, shrink: float = 3e-4) -> ToxicModel:
     """Full-batch proximal gradient steps on the log-loss of the documents' noisy-or."""
     ids: dict[bytes, int] = {}
+    own: dict[bytes, list[int]] = {}
     words, sentence, doc = [], [], []
     n = 0
     for d, text in enumerate(texts):
         bags = [b.split() for b in text.translate(_BAGS).split(b"\n")]
         for bag in [b for b in bags if b] or [[]]:
-            words += [ids.setdefault(w, len(ids)) for w in bag]
-            sentence += [n] * len(bag)
+            for w in bag:
+                if w not in own:
+                    own[w] = [ids.setdefault(f, len(ids)) for f in features(w)]
+                words += own[w]
+                sentence += [n] * len(own[w])
             doc.append(d)
             n += 1
     word_of, sent_of, doc_of = np.array(words, np.int64), np.array(sentence, np.int64), np.array(doc)
-    # Words of fewer than five documents tell nothing that holds elsewhere.
+    # What fewer than five documents have tells nothing that holds elsewhere.
     pairs = np.unique(doc_of[sent_of] * max(1, len(ids)) + word_of) if len(word_of) else np.zeros(0, np.int64)
     spread = np.bincount(pairs % max(1, len(ids)), minlength=len(ids))
     keep = spread[word_of] >= 5 if len(word_of) else np.zeros(0, bool)
     word_of, sent_of = word_of[keep], sent_of[keep]
     y = np.array(labels, float)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    w, b = np.zeros(len(ids)), -3.0
-    gw, gb = np.full(len(ids), 1e-8), 1e-8
+    cost = np.where(y > 0, 0.25 / share, 0.75 / (1 - share)) / len(y)  # clean documents are the many
+    w, b = np.zeros(len(ids)), -9.0
+    gw, gb = np.full(len(ids), shrink**2), 1e-8
     for _ in range(epochs):
         z = b + np.bincount(sent_of, w[word_of], minlength=n)
         p = 1e-9 + (1 - 2e-9) / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -86,10 +115,12 @@ def fit_toxic(texts: list[bytes], labels: list[int], epochs: int = 120, shrink:
         whole = np.clip(-np.expm1(clean), 1e-9, 1)
         dz = (cost * np.where(y > 0, -(1 - whole) / whole, 1.0))[doc_of] * p
         dw, db = np.bincount(word_of, dz[sent_of], minlength=len(ids)), dz.sum()
-        gw += dw**2
+        # Adagrad with an L1 penalty: a word whose gradient stays within the penalty keeps no weight.
+        step = np.where(w != 0, dw + shrink * np.sign(w), np.sign(dw) * np.maximum(np.abs(dw) - shrink, 0))
+        gw += step**2
         gb += db**2
-        w -= 0.5 * dw / np.sqrt(gw)  # Adagrad, then the proximal step of an L1 penalty
-        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * shrink / np.sqrt(gw), 0)
+        moved = w - 0.5 * step / np.sqrt(gw)
+        w = np.where(w * moved < 0, 0, moved)
         b -= 0.5 * db / np.sqrt(gb)
     names = list(ids)
     return ToxicModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b))
