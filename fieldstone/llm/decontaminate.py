@@ -40,6 +40,10 @@ def _hash(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
+def _salted(n: int):
+    return lambda x: F.xxhash64(x, F.lit(n))
+
+
 def with_grams(df: DataFrame, k: int, short: list[int]) -> DataFrame:
     """``h`` (hash of each word), ``grams`` (of each k-gram) and ``short_n`` for the given lengths."""
     df = df.withColumn("h", F.transform("terms", lambda w: F.xxhash64(w)))
@@ -47,7 +51,7 @@ def with_grams(df: DataFrame, k: int, short: list[int]) -> DataFrame:
     df = df.withColumn("grams", F.col(name))
     for n in short:
         df, name = _window(df, "h", n, _hash)
-        df = df.withColumn(f"short_{n}", F.transform(name, lambda x, n=n: F.xxhash64(x, F.lit(n))))
+        df = df.withColumn(f"short_{n}", F.transform(name, _salted(n)))
     return df
 
 

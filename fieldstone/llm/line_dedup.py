@@ -61,7 +61,7 @@ def runs(value: np.ndarray, count: np.ndarray, unit_first: np.ndarray, min_words
     end = np.searchsorted(words, words[:-1] + min_words)  # one past the last unit
     limit = np.repeat(unit_first[1:], np.diff(unit_first))
     up, down = powers(n + 1, _BASE), powers(n + 1, _INVERSE)
-    total = np.concatenate([[0], np.cumsum(mix(value.view(np.uint64)) * up[:n], dtype=np.uint64)]).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value.view(np.uint64)) * up[:n], dtype=np.uint64)])
     whole = end <= limit
     at = np.where(whole, end, np.arange(n))
     out = mix((total[at] - total[:-1]) * down[:n] + at.astype(np.uint64) - np.arange(n, dtype=np.uint64))
@@ -152,8 +152,8 @@ def common_blocks(late: list[int], early: list[int], count: list[int], min_words
 
 
 def unit_table(docs: DataFrame, min_words: int, id_column: str, text_column: str) -> DataFrame:
-    """``id, mark, units, counts, runs`` of every document with an id and words; ``mark`` tells rows
-    of one id with different texts apart."""
+    """``id, mark, units, counts, runs`` of every row with an id and words; ``mark`` tells rows of
+    one id with different texts apart."""
     def run(texts: list[bytes]) -> list[pa.Array]:
         value, count, _, first = units(texts)
         columns = (value, count.astype(np.int32), runs(value, count, first, min_words))
@@ -164,39 +164,41 @@ def unit_table(docs: DataFrame, min_words: int, id_column: str, text_column: str
         F.col(f"`{text_column}`").alias("text"),
     )
     found = per_text(rows, "key", "text", run, "units array<long>, counts array<int>, runs array<long>")
-    return found.where(F.size("units") > 0)
+    return found.where(F.size("units") > 0).select("key.*", "units", "counts", "runs")
 
 
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``key`` (id, mark) and the numbers of the units that go, for every document that loses some.
+    """``id``, ``mark`` and the numbers of the units that go, for every document that loses some.
 
     Every stretch of ``min_words`` words is kept by the first document (smallest id) that has it; each
     later one is aligned with that keeper, so pairs grow with the number of stretches, however many
-    documents share one. An alignment sees only units that some stretch marks as shared in the pair.
+    documents share one.
     """
     table = written(unit_table(docs, min_words, id_column, text_column), "units")
-    posted = table.select("key", F.explode(F.array_distinct("runs")).alias("run")).where("run != 0")
-    keepers = posted.groupBy("run").agg(F.min("key").alias("keeper"), F.max("key").alias("most")).where("keeper != most")
+    posted = table.select("id", F.explode(F.array_distinct("runs")).alias("run")).where("run != 0")
+    keepers = posted.groupBy("run").agg(F.min("id").alias("keeper"), F.max("id").alias("most")).where("keeper != most")
     keepers = written(keepers.select("run", "keeper"), "keepers")
-    pairs = posted.join(keepers, "run").where("key != keeper").select("key", "keeper").distinct()
-    late = table.select("key", F.col("units").alias("late"), "counts")
-    early = table.select(F.col("key").alias("keeper"), F.col("units").alias("early")).dropDuplicates(["keeper"])
-    rows = pairs.join(late.dropDuplicates(["key"]), "key").join(early, "keeper").select("key", "late", "counts", "early")
-    kind = rows.schema["key"].dataType.simpleString()
+    pairs = written(posted.join(keepers, "run").where("id != keeper").select("id", "keeper").distinct(), "pairs")
+    paired = pairs.select("id").union(pairs.select("keeper")).distinct()
+    table = table.join(paired, "id", "left_semi").select("id", "mark", "units", "counts").dropDuplicates(["id", "mark"])
+    table = written(table, "paired")
+    early = table.select(F.col("id").alias("keeper"), F.col("units").alias("early"))
+    late = table.select("id", "mark", F.col("units").alias("late"), "counts")
+    rows = pairs.join(early, "keeper").join(late, "id").select("id", "mark", "late", "counts", "early")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                late, counts, early = (batch.column(i)[k].values.to_numpy().tolist() for i in (1, 2, 3))
-                both = set(late) & set(early)
-                # Units of only one side never align, but they part blocks: number them all alike.
-                out.append(common_blocks([x if x in both else -1 - 2 * i for i, x in enumerate(late)],
-                                         [x if x in both else -2 - 2 * i for i, x in enumerate(early)], counts, min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "gone"])
+                late, counts, early = (batch.column(i)[k].values.to_numpy().tolist() for i in (2, 3, 4))
+                out.append(common_blocks(late, early, counts, min_words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "mark", "gone"]
+            )
 
-    gone = rows.mapInArrow(run, f"key {kind}, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = rows.mapInArrow(run, f"id {kind}, mark long, gone array<int>").where(F.size("gone") > 0)
+    return gone.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def drop_units(text: bytes, gone: list[int]) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -228,16 +230,15 @@ def dedup_lines(
     A unit is a line, cut further after sentences. Blocks of ``min_words`` words or more that align
     with a document of smaller id go. One row for each row of ``docs``. A null text stays null and an
     empty one empty; a row with a null id stays as it is and keeps nothing from others; rows that
-    repeat both id and text are one document; of rows that share an id, the one whose text has the
-    smaller hash comes first.
+    repeat both id and text are one document; rows that share an id take nothing from each other.
     """
     gone = written(removed_units(docs, min_words, id_column, text_column), "gone")
     docs = docs.drop("removed_spans", "removed_words")
     names = docs.columns
     i, t = names.index(id_column), names.index(text_column)
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    plain = plain.withColumn("key", F.struct(F.col(f"c{i}").alias("id"), F.xxhash64(f"c{t}").alias("mark")))
-    joined = plain.join(gone, "key", "left").drop("key").withColumn(f"c{t}", F.col(f"c{t}").cast("binary"))
+    own = (F.col(f"c{i}") == F.col("id")) & (F.xxhash64(f"c{t}") == F.col("mark"))
+    joined = plain.join(gone, own, "left").drop("id", "mark").withColumn(f"c{t}", F.col(f"c{t}").cast("binary"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def place(text: bytes, at: int) -> int:

@@ -72,4 +72,38 @@ _ALL = (
     op6_packing, op7_licenses, op8_secrets, op9_pii, op10_ppm,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+
+#: SQL for what SQL can express; the other queries are tested against plain Python or on held-out rows.
+ORACLES: dict[str, str] = {
+    "op2_winnowing": f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS t FROM documents),
+    i AS (SELECT item_id, t, least(len(t), 10) AS n FROM (SELECT item_id, {_TERMS} AS t FROM benchmark WHERE item_id IS NOT NULL) WHERE len(t) > 0),
+    iw AS (SELECT DISTINCT item_id, n, array_to_string(t[s : s + n - 1], ' ') AS g
+           FROM (SELECT item_id, t, n, unnest(range(1, len(t) - n + 2)) AS s FROM i)),
+    sizes AS (SELECT DISTINCT n FROM i),
+    dw AS (SELECT r, n, s, array_to_string(t[s : s + n - 1], ' ') AS g
+           FROM (SELECT r, t, n, unnest(range(1, len(t) - n + 2)) AS s FROM d JOIN sizes ON len(t) >= n)),
+    hits AS (SELECT r, s, n, item_id FROM dw JOIN iw USING (n, g)),
+    covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
+    named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+              FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+    SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+    """,
+    "op3_ngram_join": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {_SPACED} AS t FROM documents),
+    sh AS (SELECT DISTINCT r, array_to_string(t[s : s + 3], ' ') AS g
+           FROM (SELECT r, t, unnest(range(1, greatest(len(t) - 3, 1) + 1)) AS s FROM d WHERE len(t) > 0)),
+    n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+    pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.r <> b.r GROUP BY 1, 2),
+    link AS (SELECT x, y FROM pairs JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+    reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id
+    FROM d JOIN reach ON reach.x = d.r JOIN d o ON o.r = reach.y LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n.n
+    """,
+}

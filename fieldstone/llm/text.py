@@ -96,7 +96,7 @@ def _fields(ddl: str):
     return T.StructType.fromDDL(ddl).fields
 
 
-def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, one text at least."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]) if (
         len(texts) and texts.type == pa.binary()
