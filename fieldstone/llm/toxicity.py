@@ -4,8 +4,12 @@ noisy-or of its sentences, and only documents have labels."""
 from __future__ import annotations
 
 import math
+import re
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,9 +21,12 @@ from pyspark.sql import functions as F
 from fieldstone.llm.text import fold, per_text
 
 #: Bounds of the training sample: documents of each label, and bytes of text in all.
-MAX_PER_LABEL = 3000
-MAX_BYTES = 32 << 20
+MAX_PER_LABEL = 2000
+MAX_BYTES = 16 << 20
 
+#: Words of a sentence at most; where none ends for longer, it is cut.
+LONGEST = 32
+_WORD = re.compile(rb"[^ ]+")
 # Words as everywhere, A-Z lowered; the ends of sentences stay apart from other separators.
 _BAGS = bytes(
     10 if b in b".!?\n\r" else b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -64,19 +71,27 @@ class ToxicModel:
         clean, out, at, n = 0.0, [], 0, 0
         for bag in text.translate(_BAGS).split(b"\n"):
             words = bag.split()
-            if words:
+            for i in range(0, len(words), LONGEST):
                 n += 1
-                total = sum(map(weight, words))
+                total = sum(map(weight, set(words[i : i + LONGEST])))
                 if total == 0.0:
                     clean += calm
                 else:
                     p = _sigmoid(self.bias + total)
                     clean += math.log1p(-p)
-                    out.append((at, at + len(bag), p))
+                    out.append((*_place(bag, at, i, len(words)), p))
             at += len(bag) + 1
         return -math.expm1(clean if n else calm), out
 
 
+def _place(bag: bytes, at: int, first: int, words: int) -> tuple[int, int]:
+    """Bytes of the sentence that begins with the given word of a bag."""
+    if words <= LONGEST:
+        return at, at + len(bag)
+    found = list(islice(_WORD.finditer(bag), first, first + LONGEST))
+    return at + found[0].start(), at + found[-1].end()
+
+
 def _sigmoid(z: float) -> float:
     return 1e-12 + (1 - 2e-12) / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -84,29 +99,34 @@ def _sigmoid(z: float) -> float:
 def fit_toxic(texts: list[bytes], labels: list[int], epochs: int = 120, shrink: float = 3e-4) -> ToxicModel:
     """Full-batch proximal gradient steps on the log-loss of the documents' noisy-or."""
     ids: dict[bytes, int] = {}
-    own: dict[bytes, list[int]] = {}
-    words, sentence, doc = [], [], []
-    n = 0
+    own: dict[bytes, array] = {}
+    flat, sizes, doc = array("i"), array("i"), array("i")
+    spread: Counter = Counter()  # documents of each feature
     for d, text in enumerate(texts):
+        begin = len(flat)
         bags = [b.split() for b in text.translate(_BAGS).split(b"\n")]
-        for bag in [b for b in bags if b] or [[]]:
-            for w in bag:
+        for bag in [set(b[i : i + LONGEST]) for b in bags for i in range(0, len(b), LONGEST)] or [set()]:
+            before = len(flat)
+            for w in sorted(bag):
                 if w not in own:
-                    own[w] = [ids.setdefault(f, len(ids)) for f in features(w)]
-                words += own[w]
-                sentence += [n] * len(own[w])
+                    own[w] = array("i", [ids.setdefault(f, len(ids)) for f in features(w)])
+                flat.extend(own[w])
+            sizes.append(len(flat) - before)
             doc.append(d)
-            n += 1
-    word_of, sent_of, doc_of = np.array(words, np.int64), np.array(sentence, np.int64), np.array(doc)
+        spread.update(set(flat[begin:]))
+    n = len(sizes)
+    doc_of = np.array(doc, np.int32)
+    word_of, sent_of = np.array(flat, np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
     # What fewer than five documents have tells nothing that holds elsewhere.
-    pairs = np.unique(doc_of[sent_of] * max(1, len(ids)) + word_of) if len(word_of) else np.zeros(0, np.int64)
-    spread = np.bincount(pairs % max(1, len(ids)), minlength=len(ids))
-    keep = spread[word_of] >= 5 if len(word_of) else np.zeros(0, bool)
+    often = np.zeros(len(ids), bool)
+    often[[f for f, m in spread.items() if m >= 5]] = True
+    keep = often[word_of]
     word_of, sent_of = word_of[keep], sent_of[keep]
+    del flat, own, spread, keep
     y = np.array(labels, float)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     cost = np.where(y > 0, 0.25 / share, 0.75 / (1 - share)) / len(y)  # clean documents are the many
-    w, b = np.zeros(len(ids)), -9.0
+    w, b = np.zeros(len(ids)), -9.5
     gw, gb = np.full(len(ids), shrink**2), 1e-8
     for _ in range(epochs):
         z = b + np.bincount(sent_of, w[word_of], minlength=n)
