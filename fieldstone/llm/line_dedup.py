@@ -88,8 +88,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at_b = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
         chain = _ascending([(i, at_b[x]) for i, x in enumerate(a[a0:a1], a0) if x in at_b])
         if not chain:
-            # Nothing is unique: the longest common stretch of a common element, if there is one.
-            chain = _longest(a, b, a0, a1, b0, b1)
+            chain = _ascending(_by_turn(a, b, a0, a1, b0, b1))
         left = (a0, b0)
         for i, j in chain:
             todo.append((left[0], i, left[1], j))
@@ -100,20 +99,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _longest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """The longest common contiguous stretch, by lengths of common endings row by row."""
+def _by_turn(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Where nothing is unique: the first occurrence of an element with the first, the second with the second."""
     places: dict[int, list[int]] = {}
-    for j in range(b0, b1):
+    for j in range(b1 - 1, b0 - 1, -1):
         places.setdefault(b[j], []).append(j)
-    best, end, last = 0, (0, 0), {}
+    out = []
     for i in range(a0, a1):
-        row = {}
-        for j in places.get(a[i], ()):
-            row[j] = n = last.get(j - 1, 0) + 1
-            if n > best:
-                best, end = n, (i, j)
-        last = row
-    return [(end[0] - k, end[1] - k) for k in range(best - 1, -1, -1)]
+        left = places.get(a[i])
+        if left:
+            out.append((i, left.pop()))
+    return out
 
 
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -178,13 +174,15 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     posted = table.select("id", F.explode(F.array_distinct("runs")).alias("run")).where("run != 0")
     keepers = posted.groupBy("run").agg(F.min("id").alias("keeper"), F.max("id").alias("most")).where("keeper != most")
     keepers = written(keepers.select("run", "keeper"), "keepers")
-    pairs = written(posted.join(keepers, "run").where("id != keeper").select("id", "keeper").distinct(), "pairs")
+    # Joins of whole tables are sort-merge joins at every size, so that disk and time grow evenly.
+    pairs = posted.join(keepers.hint("merge"), "run").where("id != keeper").select("id", "keeper").distinct()
+    pairs = written(pairs, "pairs")
     paired = pairs.select("id").union(pairs.select("keeper")).distinct()
-    table = table.join(paired, "id", "left_semi").select("id", "mark", "units", "counts").dropDuplicates(["id", "mark"])
+    table = table.join(paired.hint("merge"), "id", "left_semi").select("id", "mark", "units", "counts").dropDuplicates(["id", "mark"])
     table = written(table, "paired")
     early = table.select(F.col("id").alias("keeper"), F.col("units").alias("early"))
     late = table.select("id", "mark", F.col("units").alias("late"), "counts")
-    rows = pairs.join(early, "keeper").join(late, "id").select("id", "mark", "late", "counts", "early")
+    rows = pairs.join(early.hint("merge"), "keeper").join(late.hint("merge"), "id").select("id", "mark", "late", "counts", "early")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +236,7 @@ def dedup_lines(
     i, t = names.index(id_column), names.index(text_column)
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     own = (F.col(f"c{i}") == F.col("id")) & (F.xxhash64(f"c{t}") == F.col("mark"))
-    joined = plain.join(gone, own, "left").drop("id", "mark").withColumn(f"c{t}", F.col(f"c{t}").cast("binary"))
+    joined = plain.join(gone.hint("merge"), own, "left").drop("id", "mark").withColumn(f"c{t}", F.col(f"c{t}").cast("binary"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def place(text: bytes, at: int) -> int:
