@@ -4,21 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldstone.session import checkpointed
 
-# Largest side that is sent to every executor: in rows, and measured as JSON text.
+# Largest side that is sent to every executor: in rows, and in bytes of its values.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Is the whole frame small enough to broadcast? One number at a time reaches the driver."""
-    if df.count() > BROADCAST_ROWS:
-        return False
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    size = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)).alias("b")).first()["b"]
-    return size <= BROADCAST_BYTES
+    """Is the whole frame small enough to broadcast? One job; two numbers reach the driver."""
+    weights = [_weight(f) for f in df.schema]
+    row = df.agg(F.count("*").alias("n"), *[F.sum(w).alias(f"b{i}") for i, w in enumerate(weights)]).first()
+    return row["n"] <= BROADCAST_ROWS and sum(row[f"b{i}"] or 0 for i in range(len(weights))) <= BROADCAST_BYTES
+
+
+def _weight(f: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    column = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(column).cast("bigint")
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(column))).cast("bigint")
+    return F.lit(16).cast("bigint")
 
 
 def written_side(df: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ GLOBAL_LIMIT_ROWS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower
 
 
-def dense_ids(df: DataFrame, name: str) -> DataFrame:
-    """Add 1-based dense numbers in the frame's own partition order."""
+def dense_ids(df: DataFrame, name: str, part_name: str | None = None) -> DataFrame:
+    """Add 1-based dense numbers in the frame's own partition order, and that partition if named."""
     laid = checkpointed(df.withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", _LOCAL_BITS)
     local = F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
@@ -34,12 +34,14 @@ def dense_ids(df: DataFrame, name: str) -> DataFrame:
     sizes = laid.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return (
+    numbered = (
         laid.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(name, (F.col("__base") + local + 1).cast("bigint"))
-        .drop("__part", "__base", "__mid")
     )
+    if part_name is not None:
+        numbered = numbered.withColumn(part_name, F.col("__part"))
+    return numbered.drop("__part", "__base", "__mid")
 
 
 def number_rows(
@@ -55,14 +57,17 @@ def number_rows(
         df = checkpointed(df.withColumn("__tie", F.monotonically_increasing_id()))
         keys.append(F.col("__tie").asc())
     laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    numbered = dense_ids(laid.drop("__tie"), "__g")
+    numbered = dense_ids(laid.drop("__tie"), "__g", "__piece" if group else None)
     if group is None:
         return numbered.withColumnRenamed("__g", name)
-    firsts = numbered.groupBy(F.col(group).alias("__grp")).agg(F.min("__g").alias("__first"))
+    # A group's first number, once for each partition it lies in: a hot group is
+    # joined piece by piece, and the window below sees one row for each piece.
+    pieces = numbered.groupBy(F.col(group).alias("__grp"), F.col("__piece").alias("__in")).agg(F.min("__g").alias("__low"))
+    firsts = pieces.select("__grp", "__in", F.min("__low").over(Window.partitionBy("__grp")).alias("__first"))
     return (
-        numbered.join(firsts, F.col(group).eqNullSafe(F.col("__grp")))
+        numbered.join(firsts, F.col(group).eqNullSafe(F.col("__grp")) & (F.col("__piece") == F.col("__in")))
         .withColumn(name, F.col("__g") - F.col("__first") + 1)
-        .drop("__g", "__first", "__grp")
+        .drop("__g", "__first", "__grp", "__in", "__piece")
     )
 
 
@@ -81,18 +86,27 @@ def ranked(
     limit: int | None = None,
     ties: bool = False,
     sizes: DataFrame | None = None,
+    narrow: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows of each group at positions offset+1 .. offset+limit, with their position.
 
     ``sizes`` is a cheaper frame whose groups are at least as large; it tells
-    whether one task may sort the largest of them.
+    whether one task may sort the largest of them. Where rows are numbered by
+    writing them, only the columns ``narrow`` are: the group, what ``order``
+    needs, and last a column that tells different rows of a group apart.
     """
     last = None if limit is None else offset + limit
     pruned = last is not None and last <= GROUP_LIMIT_ROWS
     if pruned or largest_group(df if sizes is None else sizes, group) <= WINDOW_GROUP_ROWS:
         out = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
-    else:
+    elif narrow is None:
         out = number_rows(df, order, name, group, ties)
+    else:
+        same = narrow[-1]
+        keys = number_rows(df.select(*narrow), order, name, group, ties)
+        keys = keys.select(F.col(group).alias("__grp"), F.col(same).alias("__same"), name)
+        on = (F.col(group) == F.col("__grp")) & F.col(same).eqNullSafe(F.col("__same"))
+        out = df.dropDuplicates([group, same]).join(keys, on).drop("__grp", "__same")
     if offset:
         out = out.where(F.col(name) > offset)
     if last is not None:

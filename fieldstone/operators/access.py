@@ -21,6 +21,7 @@ from operator import or_
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldstone.catalog import Catalog, Field
 from fieldstone.functions.registry import resolve
@@ -37,6 +38,12 @@ REFERENCE_PERMISSIONS = ("READ", "UPDATE", "MUTATE", "SET_ON_CREATE", "READ_ON_C
 ALL = "ALL"
 SUPERUSER = "__root__"
 
+# What is about an element of an array: permissions, and the operations they are asked for.
+ITEM_PERMISSIONS = ("PUSH_TO", "REMOVE_FROM", "MUTATE")
+ITEM_EVENTS = ("PUSH_TO", "PUSH_MANY_TO", "REMOVE_FROM", "REMOVE_MANY_FROM")
+# Places where rules name predicates; each becomes an expression of the plan.
+MAX_PREDICATES = 500
+
 # Rules are definitions; beyond this many they are joined without a broadcast.
 BROADCAST_RULES = 10_000
 
@@ -259,10 +266,17 @@ def match_rules(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame
 # -- predicates --------------------------------------------------------------
 
 
-def _used_predicates(rules: DataFrame) -> list:
-    """Which predicate guards which model for which role: bounded by the definition."""
-    named = rules.where(F.col("predicate_id").isNotNull())
-    return named.select("role", "model", "predicate_id").distinct().collect()
+def _used_predicates(rules: DataFrame, catalog: Catalog) -> list:
+    """Which predicate guards what for which role: ``field`` is set where the rule is about pushing to or
+    removing from that array, so that the predicate sees the item; else it sees the record."""
+    granted = expand_rules(rules, catalog).where(F.col("predicate_id").isNotNull())
+    arrays = [f"{m.name}|{f.name}" for m in catalog.models for f in m.arrays]
+    on_item = F.col("permission").isin(*ITEM_PERMISSIONS) & F.concat_ws("|", "model", "field").isin(*arrays)
+    item = F.when(on_item, F.col("field")).alias("field") if arrays else F.lit(None).cast("string").alias("field")
+    found = granted.select("role", "model", item, "predicate_id").distinct().take(MAX_PREDICATES + 1)
+    if len(found) > MAX_PREDICATES:
+        raise RuleError(f"rules name predicates in more than {MAX_PREDICATES} places")
+    return found
 
 
 def _predicate_values(
@@ -272,21 +286,36 @@ def _predicate_values(
     store: Store | None,
     predicates: Mapping[str, Predicate | str],
 ) -> DataFrame:
-    """Add ``passed``: the sorted ids of the predicates that are literally true for the operation."""
+    """Add ``passed``: the sorted ids of the predicates that are literally true for the operation.
+
+    Records are looked up for the operations that some predicate concerns; the others pass by the joins.
+    """
+    nothing = F.array().cast("array<string>")
     if not used:
-        return ops.withColumn("passed", F.array().cast("array<string>"))
+        return ops.withColumn("passed", nothing)
     if store is None:
         raise ValueError("rules with predicates need a store")
-    schemas = {name: store.scan(name).schema for row in used for name in (row["role"], row["model"]) if name}
     ops = ops.withColumn("child_model", _child_model(catalog))
+    places = []
+    for row in used:
+        here = F.col("role").eqNullSafe(F.lit(row["role"]))
+        if row["field"] is None:
+            places.append(here & _concerns(row["model"]))
+        else:
+            on_item = F.col("event").isin(*ITEM_EVENTS) & (F.col("model") == row["model"]) & (F.col("field") == row["field"])
+            places.append(here & F.coalesce(on_item, F.lit(False)))
+    concerned = F.coalesce(reduce(lambda x, y: x | y, places), F.lit(False))
+    others = ops.where(~concerned).withColumn("passed", nothing)
+    ops = ops.where(concerned)
+
+    schemas = {name: store.scan(name).schema for row in used for name in (row["role"], row["model"]) if name}
     for role in sorted({r["role"] for r in used if r["role"] is not None}):
         pk = catalog.model(role).pk
         ops = _with_record(ops, store, role, pk, F.when(F.col("role") == role, F.col("user_id")), f"__user.{role}")
     stored = F.col("event").isin("READ", "DELETE")
-    for model in sorted({r["model"] for r in used}):
-        pk = catalog.model(model).pk
+    for model in sorted({r["model"] for r in used if r["field"] is None}):
         key = F.when((F.col("model") == model) & stored, F.col("target_id"))
-        ops = _with_record(ops, store, model, pk, key, f"__stored.{model}")
+        ops = _with_record(ops, store, model, catalog.model(model).pk, key, f"__stored.{model}")
         # Parsed once, into a column of its own.
         parsed = F.from_json("arg", record_schema(catalog, model, nested=False))
         ops = ops.withColumn(f"__given.{model}", F.when(_concerns(model) & ~stored, parsed))
@@ -296,28 +325,51 @@ def _predicate_values(
             return F.lit(None)
         return F.struct(*[F.col(f"`__user.{role}.{c}`").alias(c) for c in schemas[role].names])
 
+    def given(model: str, parsed: Column, f: T.StructField) -> Column:
+        """A field of a record given as JSON; a reference may be an object or a key."""
+        field = catalog.model(model).field(f.name)
+        value = parsed[f.name].cast(f.dataType)
+        if field.ref_model is None:
+            return value
+        inner = F.get_json_object("arg", f"$.{f.name}.{catalog.model(field.ref_model).pk}")
+        return F.coalesce(inner.cast(f.dataType), value)
+
     def target_of(model: str) -> Column:
-        given = F.col(f"`__given.{model}`")
+        parsed = F.col(f"`__given.{model}`")
         return F.struct(
-            *[
-                F.coalesce(F.col(f"`__stored.{model}.{f.name}`"), given[f.name].cast(f.dataType)).alias(f.name)
-                for f in schemas[model]
-            ]
+            *[F.coalesce(F.col(f"`__stored.{model}.{f.name}`"), given(model, parsed, f)).alias(f.name) for f in schemas[model]]
         )
 
+    def item_of(model: str, name: str) -> Column:
+        """The element that is pushed or removed: a record's fields, or the value itself."""
+        f = catalog.model(model).field(name)
+        if not f.is_ref_array:
+            kind = T.StructType([T.StructField("v", catalog.value_type(f.type.of))])
+            return F.from_json(F.concat(F.lit('{"v":'), F.col("arg"), F.lit("}")), kind)["v"]
+        child = catalog.model(f.ref_model)
+        parsed = F.from_json("arg", record_schema(catalog, child.name, nested=False))
+        key = F.when(~F.col("arg").startswith("{"), F.coalesce(F.get_json_object("arg", "$"), F.col("arg")))
+        fields = []
+        for c in store.scan(child.name).schema:
+            value = given(child.name, parsed, c)
+            # An existing record may be given by its key alone.
+            fields.append((F.coalesce(value, key.try_cast(c.dataType)) if c.name == child.pk else value).alias(c.name))
+        return F.struct(*fields)
+
     passed = []
-    for row in used:
-        role, model, name = row["role"], row["model"], row["predicate_id"]
-        value = resolve(predicates.get(name, name))(user_of(role), target_of(model))
-        here = F.col("role").eqNullSafe(F.lit(role)) & _concerns(model) & value.cast("boolean")
-        passed.append(F.when(here, F.lit(name)))
+    for row, here in zip(used, places):
+        model, name = row["model"], row["predicate_id"]
+        target = target_of(model) if row["field"] is None else item_of(model, row["field"])
+        value = resolve(predicates.get(name, name))(user_of(row["role"]), target)
+        passed.append(F.when(here & value.cast("boolean"), F.lit(name)))
     ops = ops.withColumn("passed", F.array_sort(F.array_distinct(F.array_compact(F.array(*passed)))))
-    return ops.drop(*[c for c in ops.columns if c.startswith(("__user.", "__stored.", "__given."))])
+    return ops.select(*others.columns).unionByName(others)
 
 
 def _concerns(model: str) -> Column:
-    """Is the operation on the model, or does it push a new record of it?"""
-    return (F.col("model") == model) | F.coalesce(F.col("child_model") == model, F.lit(False))
+    """Is the operation on a record of the model, or does it push a new one?"""
+    own = (F.col("model") == model) & ~F.col("event").isin(*ITEM_EVENTS)
+    return own | F.coalesce(F.col("child_model") == model, F.lit(False))
 
 
 def _with_record(ops: DataFrame, store: Store, model: str, pk: str, key: Column, name: str) -> DataFrame:
@@ -352,11 +404,15 @@ def authorize(
     deny that holds. Each error names its cause, field and message.
     """
     ops = _complete(ops).withColumn("on_self", _is_self())
-    used = _used_predicates(rules)
+    used = _used_predicates(rules, catalog)
     judged = _predicate_values(ops, used, catalog, store, predicates or {})
     ids = _ids_by_role(used)
+    kinds = None
     if max(map(len, ids.values()), default=0) <= SUBSET_PREDICATES:
-        decisions = _decisions(ops.select(*_KIND).distinct(), rules, catalog, ids)
+        kinds = checkpointed(ops.select(*_KIND).distinct())
+    # Free selections can make nearly every operation a kind of its own; then each is decided itself.
+    if kinds is not None and kinds.count() <= BROADCAST_KINDS:
+        decisions = _decisions(kinds, rules, catalog, ids)
         columns = [*_KIND, "passed"]
         on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
         decided = judged.select("op_id", *columns).join(decisions, on).select("op_id", "errors")

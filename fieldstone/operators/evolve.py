@@ -107,19 +107,26 @@ def evolve(store: Store, old: Catalog, new: Catalog) -> Store:
         before = old.by_index(m.index)
         if before is None:
             continue
-        plain = all(_is_plain(before.by_index(f.index), f) for f in m.fields) and len(m.fields) == len(before.fields)
-        if plain and before.primary.index == m.primary.index:
-            _take_over(store, before, m, tables, links, locations)
-            continue
-        wide = _widened(store, old, new, before, m)
-        tables[m.name] = wide.select(*[F.col(f"`{_stage(f)}`").alias(f.name) for f in m.stored])
+        moved = before.primary.index != m.primary.index
+        # Columns are selected by name, so a dropped one leaves the stored table as it is.
+        same = not moved and all(_is_plain(before.by_index(f.index), f) for f in m.stored)
+        once_single = [f for f in m.arrays if (was := before.by_index(f.index)) is not None and not was.is_array]
+        if same:
+            _take_table(store, before, m, tables, locations)
+        if not same or once_single:
+            wide = _widened(store, old, new, before, m)
+        if not same:
+            tables[m.name] = wide.select(*[F.col(f"`{_stage(f)}`").alias(f.name) for f in m.stored])
         for f in m.arrays:
-            links[(m.name, f.name)] = _array_links(store, old, before, f, wide)
-        if before.primary.index != m.primary.index:
+            was = before.by_index(f.index)
+            if was is not None and was.is_array:
+                _take_links(store, before, was, m, f, links, locations)
+            elif was is not None:
+                links[(m.name, f.name)] = _first_elements(before, was, wide)
+        if moved:
             mappings[m.index] = wide.select(
                 F.col(f"`__old.{before.pk}`").alias("__old"), F.col(f"`{_stage(m.primary)}`").alias("__to")
             )
-    links = {k: v for k, v in links.items() if v is not None}
     evolved = store.replaced(catalog=new, tables=tables, links=links, locations=locations)
     if mappings:
         evolved = _rewrite_keys(evolved, old, new, mappings)
@@ -132,17 +139,18 @@ def _is_plain(was: Field | None, now: Field) -> bool:
     return was is not None and was.name == now.name and was.is_array == now.is_array
 
 
-def _take_over(store: Store, before: Model, m: Model, tables, links, locations) -> None:
+def _take_table(store: Store, before: Model, m: Model, tables, locations) -> None:
     if before.name in store.tables:
         tables[m.name] = store.tables[before.name]
     if before.name in store.locations:
         locations[m.name] = store.locations[before.name]
-    for f in before.arrays:
-        name = m.by_index(f.index).name
-        if (before.name, f.name) in store.link_tables:
-            links[(m.name, name)] = store.link_tables[(before.name, f.name)]
-        if f"{before.name}.{f.name}" in store.locations:
-            locations[f"{m.name}.{name}"] = store.locations[f"{before.name}.{f.name}"]
+
+
+def _take_links(store: Store, before: Model, was: Field, m: Model, f: Field, links, locations) -> None:
+    if (before.name, was.name) in store.link_tables:
+        links[(m.name, f.name)] = store.link_tables[(before.name, was.name)]
+    if f"{before.name}.{was.name}" in store.locations:
+        locations[f"{m.name}.{f.name}"] = store.locations[f"{before.name}.{was.name}"]
 
 
 def _stage(f: Field) -> str:
@@ -179,13 +187,8 @@ def _filled(wide: DataFrame, new: Catalog, f: Field) -> DataFrame:
     return wide.withColumn(name, F.lit(f.default if f.has_default else None).cast(dtype))
 
 
-def _array_links(store: Store, old: Catalog, before: Model, f: Field, wide: DataFrame) -> DataFrame | None:
-    was = before.by_index(f.index)
-    if was is None:
-        return None
-    if was.is_array:
-        return store.links(before.name, was.name)
-    # The single value becomes the first element; a null becomes the empty array.
+def _first_elements(before: Model, was: Field, wide: DataFrame) -> DataFrame:
+    """The single value becomes the first element; a null becomes the empty array."""
     value = F.col(f"`__old.{was.name}`")
     return wide.where(value.isNotNull()).select(F.col(f"`__old.{before.pk}`").alias("source"), value.alias("target"))
 
@@ -201,7 +204,7 @@ def _rewrite_keys(store: Store, old: Catalog, new: Catalog, mappings: dict[int,
             target = new.model(f.ref_model)
             if target.index in mappings and before.by_index(f.index) is not None:
                 df = store.replaced(tables=tables).scan(m.name)
-                tables[m.name] = _mapped(df, f.name, mappings[target.index])
+                tables[m.name] = _mapped(df, f.name, mappings[target.index], f"{m.name}.{f.name}")
                 locations.pop(m.name, None)
         for f in m.arrays:
             key = (m.name, f.name)
@@ -211,15 +214,19 @@ def _rewrite_keys(store: Store, old: Catalog, new: Catalog, mappings: dict[int,
             ends = [("source", m.index)] + ([("target", new.model(f.ref_model).index)] if f.is_ref_array else [])
             for end, index in ends:
                 if index in mappings:
-                    df = _mapped(df, end, mappings[index])
+                    df = _mapped(df, end, mappings[index], f"{m.name}.{f.name}")
                     locations.pop(f"{m.name}.{f.name}", None)
             links[key] = df
     return store.replaced(tables=tables, links=links, locations=locations)
 
 
-def _mapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    joined = df.join(mapping, F.col(f"`{column}`") == F.col("__old"), "left")
-    return joined.select(*[F.col("__to").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
+def _mapped(df: DataFrame, column: str, mapping: DataFrame, name: str) -> DataFrame:
+    """The new keys in a column; a key of no record is refused when the rows are read, never erased."""
+    key = F.col(f"`{column}`")
+    joined = df.join(mapping, key == F.col("__old"), "left")
+    dangling = F.raise_error(F.concat(F.lit(f"`{name}` refers to a record that does not exist: "), key.cast("string")))
+    to = F.when(key.isNull() | F.col("__old").isNotNull(), F.col("__to")).otherwise(dangling.cast(mapping.schema["__to"].dataType))
+    return joined.select(*[to.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def _check(store: Store, old: Catalog, new: Catalog) -> None:

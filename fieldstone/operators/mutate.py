@@ -28,7 +28,7 @@ from fieldstone.operators.quality import dangling, ensure, enum_violations, requ
 from fieldstone.operators.query import Result, next_key, read_many
 from fieldstone.session import checkpointed, local_frame
 from fieldstone.sources.json_records import PRESENT
-from fieldstone.sources.store import Changes, LinkKey, Store
+from fieldstone.sources.store import Changes, LinkKey, Store, remove_folders
 
 ORDER, KEY = "_ord", "_key"
 _CONTROL = {PRESENT, ORDER, KEY}
@@ -195,30 +195,51 @@ def _unpack(df: DataFrame, struct: T.StructType, column: str, *extra: Column) ->
 
 def _typed(catalog, f: Field, value):
     """Schema and value of one entry of a record given as a dict."""
-    if f.ref_model is not None:
-        child = catalog.model(f.ref_model)
-        many = f.is_array
-        items = list(value or []) if many else ([] if value is None else [value])
-        objects = [v for v in items if isinstance(v, Mapping)]
-        if objects:
-            names = [c.name for c in child.fields if any(c.name in o for o in objects)]
-            shapes = {n: next(_typed(catalog, child.field(n), o[n])[0] for o in objects if n in o) for n in names}
-            schema = T.StructType(
-                [T.StructField(n, shapes[n]) for n in names] + [T.StructField(PRESENT, T.ArrayType(T.StringType()))]
-            )
-            rows = [
-                (*[_typed(catalog, child.field(n), o.get(n))[1] for n in names], list(o)) for o in objects
-            ]
-            for o in objects:
-                for n in o:
-                    child.field(n)
-            return (T.ArrayType(schema), rows) if many else (schema, rows[0])
+    shape = _shape(catalog, f, [value])
+    return shape, _fitted(catalog, f, shape, value)
+
+
+def _shape(catalog, f: Field, values: list) -> T.DataType:
+    """A type that holds every one of the values: objects with all fields that any of them has.
+    Beside objects, a bare key counts as an object with just the key."""
+    if f.ref_model is None:
+        return catalog.value_type(f.type)
+    child = catalog.model(f.ref_model)
+    items = [v for value in values for v in (value or [] if f.is_array else [value]) if v is not None]
+    if any(isinstance(v, Mapping) for v in items):
+        objects = [_object(child, v) for v in items]
+        for name in {n for o in objects for n in o}:
+            child.field(name)
+        names = [c.name for c in child.fields if any(c.name in o for o in objects)]
+        dtype = T.StructType(
+            [T.StructField(n, _shape(catalog, child.field(n), [o[n] for o in objects if n in o])) for n in names]
+            + [T.StructField(PRESENT, T.ArrayType(T.StringType()))]
+        )
+    else:
         dtype = catalog.value_type(child.primary.type)
-        return (T.ArrayType(dtype), items) if many else (dtype, value)
-    dtype = catalog.value_type(f.type)
-    if f.type == DATE and isinstance(value, str):
-        value = dt.datetime.fromisoformat(value.replace("Z", "+00:00")).date()
-    return dtype, value
+    return T.ArrayType(dtype) if f.is_array else dtype
+
+
+def _object(child: Model, value) -> Mapping:
+    return value if isinstance(value, Mapping) else {child.pk: value}
+
+
+def _fitted(catalog, f: Field, shape: T.DataType, value):
+    """A value in the given shape."""
+    if f.ref_model is None:
+        if f.type == DATE and isinstance(value, str):
+            return dt.datetime.fromisoformat(value.replace("Z", "+00:00")).date()
+        return value
+    child = catalog.model(f.ref_model)
+
+    def one(dtype: T.DataType, item):
+        if item is None or not isinstance(dtype, T.StructType):
+            return item
+        given = _object(child, item)
+        fields = [s for s in dtype if s.name != PRESENT]
+        return (*[_fitted(catalog, child.field(s.name), s.dataType, given.get(s.name)) for s in fields], list(given))
+
+    return [one(shape.elementType, item) for item in value or []] if f.is_array else one(shape, value)
 
 
 def frame(store: Store, model: str, record: Mapping) -> DataFrame:
@@ -675,13 +696,19 @@ def run_group(store: Store, operations: Iterable[Callable[[Store], Changes]]) ->
     An operation that fails raises, and the given store is as before. With a
     stored store, what an operation changed is written before the next one runs,
     so that it is not worked out again; it stays invisible until the returned
-    store is published.
+    store is published, and goes if an operation fails. Publishing fails if
+    another writer has published a version in the meantime.
     """
     results = []
-    for operation in operations:
-        changes = operation(store)
-        store = store.apply(changes)
-        if store.path is not None:
-            store = store.settle()
-        results.append(changes.result)
+    before = set(store.locations.values())
+    try:
+        for operation in operations:
+            changes = operation(store)
+            store = store.apply(changes)
+            if store.path is not None:
+                store = store.settle()
+            results.append(changes.result)
+    except Exception:
+        remove_folders(store.spark, set(store.locations.values()) - before)
+        raise
     return store, results

@@ -117,7 +117,7 @@ def _date_test(column: Column, test: str, value: str | dt.date, stored: T.DataTy
             return column > day
         if test == "before":
             return column < day if midnight else column <= day
-        return column == day if midnight else column.isNotNull() & F.lit(False)
+        return column == day if midnight else F.when(column.isNotNull(), F.lit(False))
     if isinstance(stored, T.TimestampType):
         bound = F.lit(moment.replace(tzinfo=dt.timezone.utc))
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldstone.catalog import BOOL, DATE, FILE, FLOAT, INT, STRING, Catalog, Enumeration, Field, Model
 from fieldstone.functions.joins import rows_without
-from fieldstone.session import local_frame
+from fieldstone.session import checkpointed, local_frame
 from fieldstone.sources.store import Store
 
 VIOLATION = "model string, field string, key string, rule string, value string"
@@ -182,53 +182,116 @@ def _scalar_fits(ftype, value: Column, kind: Column) -> Column:
 def check_json(raw: DataFrame, catalog: Catalog, model: str, column: str = "value") -> DataFrame:
     """Violations of the model's type in raw JSON records (one text per row).
 
-    Rules: ``json`` (not an object), ``unknown_field``, ``missing_field``,
-    ``type`` and ``element``.
+    Rules: ``json`` (not an object), ``unknown_field``, ``missing_field``, ``type`` and ``element``.
+    Objects given for references are checked against their own model, as deep as the data goes;
+    ``field`` is then the path from the record, which ``key`` names. Each text is parsed once.
     """
     m = catalog.model(model)
-    df = raw.select(
-        F.col(column).alias("__text"),
-        F.try_parse_json(F.col(column)).alias("__v"),
-    ).withColumn("__keys", F.json_object_keys("__text"))
-    # Each value and its kind is taken out once and named, not once per use.
-    df = df.withColumns(
-        {f"__v.{f.name}": F.try_variant_get("__v", f"$.{f.name}", "variant") for f in m.fields}
-    )
-    df = df.withColumns({f"__kind.{f.name}": F.schema_of_variant(F.col(f"`__v.{f.name}`")) for f in m.fields})
-    is_object = F.col("__keys").isNotNull() & F.col("__v").isNotNull()
+    rows = raw.select(F.col(column).alias("__text"), F.try_parse_json(F.col(column)).alias("__v"))
+    rows = rows.withColumn("__map", _members(F.col("__v")))
+    broken = F.array(_violation(F.lit(None).cast("string"), "json", F.lit(None).cast("variant")))
+    every = F.when(F.col("__map").isNull(), broken).otherwise(_object_violations(F.col("__map"), catalog, m, ""))
+    # The record's key is read from the text, as it is written there, where it is needed.
     key = F.get_json_object("__text", f"$.{m.pk}")
-    found = [
-        F.when(~is_object, F.array(_violation(F.lit(None).cast("string"), "json", F.col("__text")))),
-        F.when(
-            is_object,
-            F.transform(
-                F.array_except("__keys", F.array(*[F.lit(f.name) for f in m.fields])),
-                lambda k: _violation(k, "unknown_field", F.lit(None).cast("string")),
-            ),
-        ),
-    ]
+    found = rows.select("__text", F.explode(every).alias("v")).withColumn("key", key)
+    value = F.when(F.col("v.rule") == "json", F.col("__text")).otherwise(_variant_text(F.col("v.value")))
+    shape = lambda df, text: df.select(F.lit(model).alias("model"), F.col("v.field"), "key", F.col("v.rule"), text.alias("value"))
+    parts = [shape(found, value)]
+
+    # Objects of models that refer on are unfolded level by level.
+    level = _unfolded(rows, "__text", catalog, m, "")
+    level = None if level is None else level.select(key.alias("key"), "child", "path", "v")
+    while level is not None:
+        level = checkpointed(level)
+        names = [r["child"] for r in level.select("child").distinct().collect()]  # models of the catalog
+        below = None
+        for name in names:
+            child = catalog.model(name)
+            own = level.where(F.col("child") == name).select("key", "path", _members(F.col("v")).alias("__map"))
+            every = F.transform(
+                _object_violations(F.col("__map"), catalog, child, ""),
+                lambda v: F.struct(F.concat("path", v["field"]).alias("field"), v["rule"].alias("rule"), v["value"].alias("value")),
+            )
+            bad = own.where(F.col("__map").isNotNull()).select("key", F.explode(every).alias("v"))
+            parts.append(shape(bad, _variant_text(F.col("v.value"))))
+            deeper = _unfolded(own, "key", catalog, child, F.col("path"))
+            if deeper is not None:
+                below = deeper if below is None else below.unionByName(deeper)
+        level = below
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _members(value: Column) -> Column:
+    """The members of an object; null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _variant_text(value: Column) -> Column:
+    text = F.when(F.schema_of_variant(value) == _TEXT, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    return F.when(~F.is_variant_null(value), text)
+
+
+def _unfolded(rows: DataFrame, carry: str, catalog: Catalog, m: Model, path: Column | str) -> DataFrame | None:
+    """The objects that references of ``m`` hold, where their model refers on (others were checked in place)."""
+    empty = F.array().cast("array<struct<child:string,path:string,v:variant>>")
+    held = []
     for f in m.fields:
-        found.append(F.when(is_object, F.array_compact(F.array(_field_violation(catalog, f)))))
-    none = F.array().cast("array<struct<field:string,rule:string,value:string>>")
-    every = F.concat(*[F.coalesce(c, none) for c in found])
-    return df.select(key.alias("key"), F.explode(every).alias("v")).select(
-        F.lit(m.name).alias("model"), F.col("v.field"), "key", F.col("v.rule"), F.col("v.value")
-    )
+        if f.ref_model is not None and any(c.ref_model for c in catalog.model(f.ref_model).fields):
+            value = F.try_element_at("__map", F.lit(f.name))
+            items = F.try_variant_get(value, "$", "array<variant>") if f.is_array else F.array(value)
+            where = F.concat(F.lit(path) if isinstance(path, str) else path, F.lit(f"{f.name}."))
+            objects = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+            held.append(F.coalesce(F.transform(objects, _boxed(f.ref_model, where)), empty))
+    if not held:
+        return None
+    return rows.select(carry, F.inline(F.concat(*held)))
+
+
+def _boxed(model: str, path: Column):
+    return lambda x: F.struct(F.lit(model).alias("child"), path.alias("path"), x.alias("v"))
 
 
 def _violation(field: Column, rule: str, value: Column) -> Column:
     return F.struct(field.alias("field"), F.lit(rule).alias("rule"), value.alias("value"))
 
 
-def _field_violation(catalog: Catalog, f: Field) -> Column:
-    present = F.array_contains("__keys", f.name)
-    value = F.col(f"`__v.{f.name}`")
-    kind = F.col(f"`__kind.{f.name}`")
+def _object_violations(members: Column, catalog: Catalog, m: Model, prefix: str) -> Column:
+    """Violations in one object, given its members; those in objects of models without references of
+    their own included."""
+    none = F.array().cast("array<struct<field:string,rule:string,value:variant>>")
+    names = F.array(*[F.lit(f.name) for f in m.fields])
+    unknown = F.transform(
+        F.array_except(F.map_keys(members), names),
+        lambda k: _violation(F.concat(F.lit(prefix), k), "unknown_field", F.lit(None).cast("variant")),
+    )
+    found = [unknown]
+    for f in m.fields:
+        value = F.try_element_at(members, F.lit(f.name))
+        found.append(F.array_compact(F.array(_field_violation(catalog, f, members, value, prefix))))
+        if f.ref_model is None:
+            continue
+        child = catalog.model(f.ref_model)
+        if not any(c.ref_model for c in child.fields):
+            inner = _inside(catalog, child, f"{prefix}{f.name}.", none)
+            if f.is_array:
+                items = F.try_variant_get(value, "$", "array<variant>")
+                found.append(F.flatten(F.transform(items, inner)))
+            else:
+                found.append(inner(value))
+    return F.concat(*[F.coalesce(c, none) for c in found])
+
+
+def _inside(catalog: Catalog, child: Model, prefix: str, none: Column):
+    return lambda x: F.coalesce(_object_violations(_members(x), catalog, child, prefix), none)
+
+
+def _field_violation(catalog: Catalog, f: Field, members: Column, value: Column, prefix: str) -> Column:
+    present = F.map_contains_key(members, f.name)
+    kind = F.schema_of_variant(value)
     null = F.is_variant_null(value)
-    text = F.get_json_object("__text", f"$.{f.name}")
-    name = F.lit(f.name)
-    wrong = lambda rule: _violation(name, rule, text)
-    missing = F.when(~present & F.lit(not f.optional), _violation(name, "missing_field", F.lit(None).cast("string")))
+    name = F.lit(f"{prefix}{f.name}")
+    wrong = lambda rule: _violation(name, rule, value)
+    missing = F.when(~present & F.lit(not f.optional), _violation(name, "missing_field", F.lit(None).cast("variant")))
     if f.is_array:
         items = F.try_variant_get(value, "$", "array<variant>")
         if f.is_ref_array:

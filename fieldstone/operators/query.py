@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstone.catalog import DefinitionError, Field, Model
-from fieldstone.functions.numbering import GLOBAL_LIMIT_ROWS, largest_group, number_rows, ranked
+from fieldstone.functions.numbering import GLOBAL_LIMIT_ROWS, number_rows, ranked
 from fieldstone.functions.registry import apply_read_hooks
 from fieldstone.operators.predicates import filter_model, filter_values
 from fieldstone.session import checkpointed
@@ -49,29 +49,33 @@ class Result:
     full: DataFrame | None = None
     sort: list[Column] = field(default_factory=list)
     hidden: list[str] = field(default_factory=list)
-    # Of a list: how many elements a parent may have, or a cheap frame to count them in.
-    bound: int | DataFrame | None = None
 
     def nested(self, max_items: int = 1_000) -> DataFrame:
-        """Records with their lists as arrays of structs, ``[]`` when empty.
+        """One row per record, its lists as arrays of structs, ``[]`` when empty.
 
-        An array holds at most ``max_items`` elements. A record with more comes
-        as several rows, counted by ``_part``; no element is left out.
+        The caller states how many elements a list may have: a longer one stops
+        the query with an error. ``nested_parts`` has no such bound.
         """
+        return self._nest(max_items, parts=False)
+
+    def nested_parts(self, max_items: int = 1_000) -> DataFrame:
+        """Records with their lists as arrays, in rows counted by ``_part`` (from 0): row n holds the
+        elements from ``n * max_items`` on, and a record has as many rows as its longest list needs."""
+        return self._nest(max_items, parts=True)
+
+    def _nest(self, max_items: int, parts: bool) -> DataFrame:
         if not self.lists:
-            return self.records
+            return self.records.withColumn(PART, F.lit(0).cast("bigint")) if parts else self.records
         df = self.full if self.full is not None else self.records
-        packed = {path: child._packed(max_items) for path, child in self.lists.items()}
-        if any(split for _, split in packed.values()):
+        packed = {path: child._packed(max_items, parts) for path, child in self.lists.items()}
+        if parts:
             df = self._with_parts(df, packed)
-        for path, (arrays, split) in packed.items():
+        for path, arrays in packed.items():
             parent = _column(self.parent_keys[path])
             side = arrays.select(
                 F.col(SOURCE).alias("__k"), F.col(PART).alias("__p"), F.col("items").alias("__items")
             )
-            on = parent == F.col("__k")
-            if PART in df.columns:
-                on = on & (F.col(PART) == F.col("__p"))
+            on = (parent == F.col("__k")) & (F.col(PART) == F.col("__p")) if parts else parent == F.col("__k")
             df = df.join(side, on, "left")
             empty = F.array().cast(side.schema["__items"].dataType)
             items = F.coalesce(F.col("__items"), empty)
@@ -79,49 +83,48 @@ class Result:
             value = F.col(head).withField(".".join(rest), items) if rest else items
             df = df.withColumn(head, value).drop("__k", "__p", "__items")
         if self.sort:
-            df = df.orderBy(*self.sort, *([F.col(PART)] if PART in df.columns else []))
+            df = df.orderBy(*self.sort, *([F.col(PART)] if parts else []))
         return _without(df, self.hidden)
 
     def _with_parts(self, df: DataFrame, packed: dict) -> DataFrame:
         """One row per part: as many as the longest of the record's arrays needs."""
         needed = []
-        for i, (path, (arrays, split)) in enumerate(packed.items()):
-            if split:
-                parts = (
-                    arrays.where(F.col(PART) > 0)
-                    .groupBy(F.col(SOURCE).alias("__k"))
-                    .agg(F.max(PART).alias(f"__parts{i}"))
-                )
-                df = df.join(parts, _column(self.parent_keys[path]) == F.col("__k"), "left").drop("__k")
-                needed.append(f"__parts{i}")
+        for i, (path, arrays) in enumerate(packed.items()):
+            last = arrays.where(F.col(PART) > 0).groupBy(F.col(SOURCE).alias("__k")).agg(F.max(PART).alias(f"__parts{i}"))
+            df = df.join(last, _column(self.parent_keys[path]) == F.col("__k"), "left").drop("__k")
+            needed.append(f"__parts{i}")
         last = F.greatest(F.lit(0).cast("bigint"), *[F.coalesce(F.col(n), F.lit(0)) for n in needed])
         return df.withColumn(PART, F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop(*needed)
 
-    def _packed(self, max_items: int) -> tuple[DataFrame, bool]:
-        rows = self.nested(max_items)
-        if PART in rows.columns:
-            largest = largest_group(rows, SOURCE)
-        elif isinstance(self.bound, int) and self.bound <= max_items:
-            largest = self.bound
-        else:
-            sizes = self.bound if isinstance(self.bound, DataFrame) else self.records
-            largest = largest_group(sizes, SOURCE)
-        split = largest > max_items
-        visible = [c for c in rows.columns if c not in (SOURCE, POSITION)]
+    def _packed(self, max_items: int, parts: bool) -> DataFrame:
+        rows = self._nest(max_items, parts)
+        visible = [c for c in rows.columns if c not in (SOURCE, POSITION, PART)]
         by = POSITION if POSITION in rows.columns else self.key
-        if split:
-            rows = number_rows(rows, [F.col(by).asc_nulls_last()], "__n", SOURCE, ties=True)
-            part = F.floor((F.col("__n") - 1) / max_items)
+        if parts:
+            # Parts of an element's own lists stay beside each other.
+            rows = rows.withColumnRenamed(PART, "__inner") if PART in rows.columns else rows.withColumn("__inner", F.lit(0))
+            order = [F.col(by).asc_nulls_last(), F.col("__inner").asc()]
+            rows = number_rows(rows, order, "__n", SOURCE, ties=True)
+            rows = rows.withColumn(PART, F.floor((F.col("__n") - 1) / max_items))
         else:
-            part = F.lit(0).cast("bigint")
-        element = F.col(VALUE) if visible == [VALUE] else F.struct(*[F.col(f"`{c}`") for c in visible])
-        # No task builds arrays for a parent whose elements are elsewhere: a map-side
-        # collect_list would only ship larger buffers. Groups are bounded by now.
-        rows = rows.withColumn(PART, part).repartition(SOURCE, PART)
+            # No more than one element too many is ever gathered for a parent.
+            first = Window.partitionBy(SOURCE).orderBy(F.col(by).asc_nulls_last())
+            rows = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= max_items + 1)
+            rows = rows.withColumn(PART, F.lit(0).cast("bigint"))
+        element = F.col(VALUE) if visible == [VALUE] else F.struct(*[F.col(f"`{c}`") for c in visible if not c.startswith("__")])
+        if parts:
+            # No task builds arrays for a parent whose elements are elsewhere: a map-side
+            # collect_list would only ship larger buffers.
+            rows = rows.repartition(SOURCE, PART)
         arrays = rows.groupBy(SOURCE, PART).agg(
-            F.sort_array(F.collect_list(F.struct(F.col(by).alias("by"), element.alias("item")))).alias("items")
+            F.sort_array(F.collect_list(F.struct(F.col("__n").alias("by"), element.alias("item")))).alias("items")
         )
-        return arrays.withColumn("items", F.col("items")["item"]), split
+        items = F.col("items")["item"]
+        if not parts:
+            message = F.concat(F.lit(f"more than {max_items} elements, use nested_parts(): "), F.col(SOURCE).cast("string"))
+            kind = arrays.select(items.alias("i")).schema["i"].dataType
+            items = F.when(F.size("items") <= max_items, items).otherwise(F.raise_error(message).cast(kind))
+        return arrays.withColumn("items", items)
 
 
 def _without(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
@@ -260,11 +263,15 @@ def _attach(full: DataFrame, key: str, pending: list[_PendingList], restrict, hi
     return result
 
 
-def _among(records: DataFrame):
-    """Keep only links whose source is one of the records."""
+def _among(records: DataFrame, base: DataFrame | None = None, key: str | None = None):
+    """Keep only links whose source is one of the records. The records' own keys (column ``key``)
+    come from ``base``, as they were before to-one paths were joined in."""
 
     def restrict(parent_key: str):
-        keys = records.select(_column(parent_key).alias("__parent"))
+        if base is not None and parent_key == key:
+            keys = base.toDF("__parent")
+        else:
+            keys = records.select(_column(parent_key).alias("__parent"))
         return lambda links: links.join(keys, F.col(SOURCE) == F.col("__parent"), "left_semi")
 
     return restrict
@@ -310,7 +317,7 @@ _DIRECTIONS = {
 
 
 def _ranked_list(
-    df: DataFrame, options: Mapping, order, by: Column, tie: Column, sizes: DataFrame
+    df: DataFrame, options: Mapping, order, by: Column, tie: str, sizes: DataFrame
 ) -> DataFrame:
     offset, limit = _range(options)
     if order is None and offset == 0 and limit is None:
@@ -318,8 +325,9 @@ def _ranked_list(
     direction = order[1] if order else "ASCENDING"
     key = F.rand() if direction == "SHUFFLED" else by
     df = df.withColumn("__by", key)
-    keys = [_DIRECTIONS[direction](F.col("__by")), tie.asc()]
-    return ranked(df, SOURCE, keys, POSITION, offset, limit, ties=True, sizes=sizes).drop("__by")
+    keys = [_DIRECTIONS[direction](F.col("__by")), F.col(tie).asc()]
+    narrow = None if direction == "SHUFFLED" else [SOURCE, "__by", tie]
+    return ranked(df, SOURCE, keys, POSITION, offset, limit, ties=True, sizes=sizes, narrow=narrow).drop("__by")
 
 
 def _reference_list(store: Store, f: Field, links: DataFrame, pick: _Pick) -> Result:
@@ -330,26 +338,18 @@ def _reference_list(store: Store, f: Field, links: DataFrame, pick: _Pick) -> Re
     order = _order(options)
     by = child.field(order[0]).name if order and order[0] else child.pk
     # Trim before populating, so that only kept elements are joined further.
-    rows = _ranked_list(rows, options, order, F.col(by), F.col(child.pk), links)
+    rows = _ranked_list(rows, options, order, F.col(by), child.pk, links)
     carry = [c for c in (SOURCE, POSITION) if c in rows.columns]
-    records, pending, _ = project(store, child, rows, pick.select, carry)
-    result = _attach(records, child.pk, pending, _among(records))
-    result.bound = _bound(options, links)
-    return result
-
-
-def _bound(options: Mapping, links: DataFrame) -> int | DataFrame:
-    """The links of a parent are at least as many as its filtered or ranged elements."""
-    limit = _range(options)[1]
-    return links.select(SOURCE) if limit is None else limit
+    records, pending, raw = project(store, child, rows, pick.select, carry)
+    return _attach(records, child.pk, pending, _among(records, rows.select(child.pk), raw))
 
 
 def _value_list(f: Field, links: DataFrame, pick: _Pick) -> Result:
     rows = links.withColumnRenamed("_target", VALUE)
     rows = filter_values(rows, VALUE, f.type.of, pick.options.get("filter"))
-    rows = _ranked_list(rows, pick.options, _order(pick.options), F.col(VALUE), F.col(VALUE), links)
+    rows = _ranked_list(rows, pick.options, _order(pick.options), F.col(VALUE), VALUE, links)
     columns = [c for c in (SOURCE, POSITION, VALUE) if c in rows.columns]
-    return Result(rows.select(*columns), VALUE, bound=_bound(pick.options, links))
+    return Result(rows.select(*columns), VALUE)
 
 
 # -- entry points ----------------------------------------------------------
@@ -376,8 +376,8 @@ def read_many(store: Store, model: str, keys: DataFrame, select=None) -> Result:
     m = store.catalog.model(model)
     wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias("__wanted"))
     base = store.scan(model).join(wanted, F.col(m.pk) == F.col("__wanted"), "left_semi")
-    records, pending, _ = project(store, m, base, select)
-    return _attach(records, m.pk, pending, _among(records))
+    records, pending, raw = project(store, m, base, select)
+    return _attach(records, m.pk, pending, _among(records, base.select(m.pk), raw))
 
 
 def list_(
@@ -410,31 +410,43 @@ def list_(
     sort.append(F.col(m.pk).asc())
     ranged = offset > 0 or limit is not None
     if ranged:
-        base = _page(base, sort, offset, limit)
-        if order is not None and order[1] == "SHUFFLED":
-            base = checkpointed(base)  # the nested lists must see the same draw
-    if ranged or order is not None:
+        base, sort, carry = _page(base, m.pk, sort, offset, limit, order is not None and order[1] == "SHUFFLED")
+    elif order is not None:
         base, carry = base.withColumn("__tie", F.col(m.pk)), [*carry, "__tie"]
         sort[-1] = F.col("__tie").asc()
-    records, pending, _ = project(store, m, base, select, carry)
+    records, pending, raw = project(store, m, base, select, carry)
     narrowed = ranged or bool(filter)
+    keys = base.select(m.pk)
+    if ranged and any(p.parent_key == raw for p in pending):
+        keys = checkpointed(keys)  # a page is found once, however many lists hang on it
     # Stored links have sources that exist (see quality.check_refs), so an
     # unfiltered list needs no semi-join.
-    result = _attach(records, m.pk, pending, _among(records) if narrowed else None, carry)
+    result = _attach(records, m.pk, pending, _among(records, keys, raw) if narrowed else None, carry)
     if ranged or order is not None:
         result.sort = sort
         result.records = _without(records.orderBy(*sort), result.hidden)
     return result
 
 
-def _page(df: DataFrame, sort: list[Column], offset: int, limit: int | None) -> DataFrame:
+def _page(
+    df: DataFrame, pk: str, sort: list[Column], offset: int, limit: int | None, drawn: bool
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """The rows of a page, how to sort them, and the columns that sort needs."""
     if limit is not None and offset + limit <= GLOBAL_LIMIT_ROWS:
-        return df.orderBy(*sort).offset(offset).limit(limit)
-    # A long page or an open end would pass through one task as a global limit.
-    df = number_rows(df, sort, "__row").where(F.col("__row") > offset)
+        page = df.orderBy(*sort).offset(offset).limit(limit).withColumn("__tie", F.col(pk))
+        if drawn:
+            page = checkpointed(page)  # the nested lists must see the same draw
+        by = [c for c in ("__by", "__tie") if c in page.columns]
+        return page, [*sort[:-1], F.col("__tie").asc()], by
+    # A long page or an open end would pass through one task as a global limit. Only keys and
+    # sort values are numbered; the records are looked up, and the number is their order.
+    keys = df.select(*[c for c in (pk, "__by") if c in df.columns])
+    rows = number_rows(keys, sort, "__row").where(F.col("__row") > offset)
     if limit is not None:
-        df = df.where(F.col("__row") <= offset + limit)
-    return df.drop("__row")
+        rows = rows.where(F.col("__row") <= offset + limit)
+    rows = rows.select(F.col(pk).alias("__key"), "__row")
+    page = df.drop("__by").join(rows, F.col(pk) == F.col("__key")).drop("__key")
+    return page, [F.col("__row").asc()], ["__row"]
 
 
 # -- aggregates ------------------------------------------------------------

@@ -217,9 +217,8 @@ def evo_move_pk(spark, folder):
 
 @query(
     """
-    SELECT c_custkey AS id, c_name AS title, c_acctbal AS balance, 'none' AS note, n.n AS versions
-    FROM customer, (VALUES (1), (2)) v(n), LATERAL (SELECT v.n) n WHERE n.n = 2
-    """.replace("n.n AS versions", "CAST(n.n AS BIGINT) AS versions")
+    SELECT c_custkey AS id, c_name AS title, c_acctbal AS balance, 'none' AS note, 2::BIGINT AS versions FROM customer
+    """
 )
 def evo_history(spark, folder):
     """A published store evolves; the same catalog again records no version."""
@@ -237,9 +236,9 @@ def evo_history(spark, folder):
 
 @query(
     """
-    SELECT 'Supplier' AS model, s_suppkey AS key, s_acctbal AS amount, 0 AS rank FROM supplier
+    SELECT 'Supplier' AS model, s_suppkey AS key, s_acctbal AS amount, 0::BIGINT AS rank FROM supplier
     UNION ALL SELECT 'Client', c_custkey, c_acctbal, NULL FROM customer
-    """.replace("0 AS rank", "0::BIGINT AS rank")
+    """
 )
 def evo_many(spark, folder):
     """One evolution that creates, renames, drops and changes at once."""

@@ -72,12 +72,21 @@ def change_events(spark, folder):
     )
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_custkey < 0")
+@query(
+    """
+    SELECT n_nationkey::BIGINT AS c_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer
+    ON c_nationkey = n_nationkey AND n_nationkey = 7 GROUP BY 1
+    """
+)
 def change_none(spark, folder):
-    """A snapshot compared with itself yields nothing."""
+    """A snapshot compared with one in which one nation's customers are richer: no other nation has events."""
     store = open_warehouse(spark, folder)
-    feed = change_feed(store.scan("Customer"), store.scan("Customer"), store.catalog, "Customer")
-    return feed.agg(F.count("*").alias("n"))
+    before = store.scan("Customer")
+    richer = F.when(F.col("nation") == 7, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    feed = change_feed(before, before.withColumn("c_acctbal", richer), store.catalog, "Customer")
+    changed = feed.groupBy(F.col("before.nation").alias("c_nationkey")).agg(F.count("*").alias("n"))
+    nations = store.scan("Nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("c_nationkey"))
+    return nations.join(changed, "c_nationkey", "left").select(F.col("c_nationkey").cast("bigint"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _stream(spark: SparkSession, folder: str, name: str, model: str, columns: dict[str, str]) -> DataFrame:

@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstone.catalog import Catalog
-from fieldstone.session import local_frame
+from fieldstone.session import local_frame, tune
 
 LinkKey = tuple[str, str]
 # A frame, or how to open it when it is first scanned.
@@ -48,14 +49,17 @@ class Store:
         links: Mapping[LinkKey, Table] | None = None,
         path: str | None = None,
         locations: Mapping[str, str] | None = None,
+        version: int = 0,
     ):
-        self.spark = spark
+        self.spark = tune(spark)
         self.catalog = catalog
         self.tables = dict(tables or {})
         self.link_tables = dict(links or {})
         self.path = path
         # Tables that still equal what a published version holds.
         self.locations = dict(locations or {})
+        # The published version it derives from; 0 for none.
+        self.version = version
 
     # -- scans ---------------------------------------------------------
 
@@ -90,6 +94,7 @@ class Store:
             {**self.link_tables, **changes.links},
             self.path,
             {k: v for k, v in self.locations.items() if k not in touched},
+            self.version,
         )
 
     def replaced(self, **changes) -> Store:
@@ -100,6 +105,7 @@ class Store:
             links=self.link_tables,
             path=self.path,
             locations=self.locations,
+            version=self.version,
         )
         values.update(changes)
         return Store(self.spark, **values)
@@ -122,7 +128,8 @@ class Store:
             raise ValueError(f"no such version in {path}")
         catalog = catalog or Catalog.from_dict(json.loads(row["catalog"]))
         locations = dict(row["tables"])
-        return Store(spark, catalog, path=path, locations=locations, **_opened_at(spark, catalog, locations))
+        opened = _opened_at(spark, catalog, locations)
+        return Store(spark, catalog, path=path, locations=locations, version=row["version"], **opened)
 
     def write(self, name: str, df: DataFrame, version: int) -> str:
         """Persist one table (a model's, or an array's as ``Model.field``) below a version's
@@ -141,11 +148,25 @@ class Store:
         """Write what changed as a new version and open it.
 
         Tables that still equal a published version are referred to, not
-        rewritten. Nothing is visible until the version row is appended.
+        rewritten. Nothing is visible until the version row is appended. The
+        number after the version this store derives from is claimed first: if
+        another writer has it, ``VersionConflict`` is raised and nothing is lost.
         """
-        target = self if path is None or path == self.path else self.replaced(path=path, locations={})
+        target = self
+        if path is not None and path != self.path:
+            target = self.replaced(path=path, locations={}, version=last_version(self.spark, path))
+        for m in self.catalog.models:
+            if any(callable(hook) for hook in (*m.on_write, *m.on_read, *m.on_delete)):
+                raise ValueError(f"`{m.name}` has a hook without a name: register it and give its name to publish")
+        version = target.version + 1
         settled = target.settle()
-        version = last_version(self.spark, settled.path) + 1
+        try:
+            if last_version(self.spark, settled.path) != target.version:
+                raise VersionConflict(f"version {version} of {settled.path} is already there")
+            claim_version(self.spark, settled.path, version)
+        except VersionConflict:
+            remove_folders(self.spark, set(settled.locations.values()) - set(self.locations.values()))
+            raise
         record_version(self.spark, settled.path, version, self.catalog, settled.locations)
         return Store.open(self.spark, settled.path, self.catalog, version)
 
@@ -153,7 +174,7 @@ class Store:
         """Write the tables that no published version holds, without making them visible."""
         if self.path is None:
             raise ValueError("the store has no path")
-        version = last_version(self.spark, self.path) + 1
+        version = self.version + 1
         frames = {m.name: self.scan(m.name) for m in self.catalog.models if m.name not in self.locations}
         for m in self.catalog.models:
             for f in m.arrays:
@@ -166,6 +187,33 @@ class Store:
         return self.replaced(locations=locations, **_opened_at(self.spark, self.catalog, locations))
 
 
+class VersionConflict(RuntimeError):
+    """Another writer has published since this store was opened."""
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def claim_version(spark: SparkSession, path: str, version: int) -> None:
+    """Make the next version ours by creating a file that must not exist. A claim that its writer never
+    used (no such version is recorded) stands until ``remove_folders`` takes its file away."""
+    where, files = _filesystem(spark, f"{path}/v{version}/_claim")
+    try:
+        files.create(where, False).close()
+    except Py4JJavaError as error:
+        if files.exists(where):
+            raise VersionConflict(f"version {version} of {path} is claimed by another writer") from error
+        raise
+
+
+def remove_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where, files = _filesystem(spark, path)
+        files.delete(where, True)
+
+
 def record_version(
     spark: SparkSession, path: str, version: int, catalog: Catalog, locations: Mapping[str, str]
 ) -> None:
@@ -182,8 +230,8 @@ def record_version(
 
 def last_version(spark: SparkSession, path: str) -> int:
     """Number of the newest version, 0 when nothing has been published."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    folder, files = _filesystem(spark, f"{path}/_versions")
+    if not files.exists(folder):
         return 0
     return Store.versions(spark, path).agg(F.max("version").alias("v")).first()["v"] or 0
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StatefulProcessor
 from fieldstone.catalog import Catalog
 from fieldstone.operators.predicates import filter_model
 from fieldstone.operators.query import project
+from fieldstone.session import tune
 from fieldstone.sources.store import Store
 
 NEW, CHANGE, REMOVE = "NEW", "CHANGE", "REMOVE"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_read(sdf: DataFrame, store: Store, model: str, pk, select=None) -> DataFrame:
@@ -56,13 +56,15 @@ def change_feed(prev: DataFrame, curr: DataFrame, catalog: Catalog, model: str)
     return joined.select(key, event.alias("event"), "before", "after").where(F.col("event").isNotNull())
 
 
-def stream_changes(sdf: DataFrame, catalog: Catalog, model: str) -> DataFrame:
+def stream_changes(sdf: DataFrame, catalog: Catalog, model: str, tombstone_ms: int | None = None) -> DataFrame:
     """The same events from a stream of upserts and deletes.
 
     ``sdf`` has the model's columns, ``_op`` ("upsert" or "delete") and ``_seq``,
     the order of changes to a record. Per trigger a record yields its net change;
     what is older than the last change seen is ignored. A removal carries the
-    last known record.
+    last known record. It is remembered, so that a late change does not bring the record
+    back, for ``tombstone_ms``; for ever without it. With it the stream runs on processing
+    time and never counts as finished, so it suits streams that run all the time.
     """
     m = catalog.model(model)
     fields = [f for f in sdf.schema if m.has(f.name)]
@@ -77,22 +79,18 @@ def stream_changes(sdf: DataFrame, catalog: Catalog, model: str) -> DataFrame:
     )
     # A map-side combine: a hot key sends one row per batch, not all its rows.
     rows = rows.mapInPandas(_latest_rows(), rows.schema)
-    _use_rocksdb(sdf.sparkSession)
+    tune(sdf.sparkSession)  # state of this kind lives in RocksDB
     events = rows.groupBy("__key").transformWithStateInPandas(
-        statefulProcessor=_change_processor(),
+        statefulProcessor=_change_processor(tombstone_ms),
         outputStructType=T.StructType(
             [key, T.StructField("event", T.StringType()), T.StructField("record", T.StringType())]
         ),
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if tombstone_ms is None else "ProcessingTime",
     )
     return events.select(F.col("event"), F.from_json("record", schema).alias("record")).select("event", "record.*")
 
 
-def _use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-
-
 # The two below are made by functions so that they travel to workers by value.
 
 
@@ -104,26 +102,31 @@ def _latest_rows():
     return latest
 
 
-def _change_processor() -> StatefulProcessor:
+def _change_processor(tombstone_ms: int | None) -> StatefulProcessor:
     new, change, remove = NEW, CHANGE, REMOVE
 
     class Changes(StatefulProcessor):
         def init(self, handle) -> None:
-            self.last = handle.getValueState("last", "seq bigint, gone boolean, record string")
+            self.live = handle.getValueState("live", "seq bigint, record string")
+            # Keeps the order of a removed record.
+            self.gone = handle.getValueState("gone", "seq bigint", ttlDurationMs=tombstone_ms)
 
         def handleInputRows(self, key, rows, timerValues):
-            before = self.last.get() if self.last.exists() else None
-            newest = before
-            for batch in rows:
-                for seq, gone, record in zip(batch["seq"], batch["gone"], batch["record"]):
-                    if newest is None or seq > newest[0]:
-                        newest = (int(seq), bool(gone), record)
-            if newest is None or newest is before:
+            live = self.live.get() if self.live.exists() else None
+            gone = self.gone.get() if self.gone.exists() else None
+            seen = max([s[0] for s in (live, gone) if s is not None], default=None)
+            last = pd.concat([batch.loc[[batch["seq"].idxmax()]] for batch in rows])
+            last = last.sort_values("seq").tail(1)
+            seq, removed, record = int(last["seq"].iloc[0]), bool(last["gone"].iloc[0]), last["record"].iloc[0]
+            if seen is not None and seq <= seen:
                 return
-            was = None if before is None or before[1] else before[2]
-            now = None if newest[1] else newest[2]
-            # A tombstone keeps the order, so that a late upsert does not revive the record.
-            self.last.update(newest)
+            was, now = None if live is None else live[1], None if removed else record
+            if removed:
+                self.live.clear()
+                self.gone.update((seq,))
+            else:
+                self.live.update((seq, record))
+                self.gone.clear()
             if was == now:
                 return
             event = new if was is None else remove if now is None else change

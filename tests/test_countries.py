@@ -223,8 +223,19 @@ def test_negated_twice_is_identity(store):
 def test_long_arrays_come_in_parts(spark, store):
     items = spark.range(25).select(F.lit("SE").alias("source"), F.format_string("c%02d", "id").alias("item"))
     after = store.apply(push_many_to(store, "Country", "cities", items))
-    packed = list_(after, "Country", select=["name", {"cities": True}]).nested(max_items=10)
+    packed = list_(after, "Country", select=["name", {"cities": True}]).nested_parts(max_items=10)
     parts = {(r["code"], r["_part"]): r["cities"] for r in packed.collect()}
     assert [len(parts[("SE", i)]) for i in range(3)] == [10, 10, 5]
     assert sum((parts[("SE", i)] for i in range(3)), []) == [f"c{i:02d}" for i in range(25)]
     assert parts[("US", 0)] == []
+
+
+def test_nested_has_one_shape(spark, store):
+    found = list_(store, "Country", select=["name", {"cities": True}])
+    items = spark.range(25).select(F.lit("SE").alias("source"), F.format_string("c%02d", "id").alias("item"))
+    more = list_(store.apply(push_many_to(store, "Country", "cities", items)), "Country", select=["name", {"cities": True}])
+    assert found.nested(10).dtypes == more.nested(10).dtypes and found.nested_parts(10).dtypes == more.nested_parts(10).dtypes
+    assert "_part" not in more.nested(10).columns and "_part" in found.nested_parts(10).columns
+    assert more.nested(25).count() == store.scan("Country").count()
+    with pytest.raises(Exception, match="more than 24 elements"):
+        more.nested(24).collect()

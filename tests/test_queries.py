@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 import check
 
 FOLDER = "/root/testdata/sf0.001"
+# Queries that rightly find nothing in the smallest tables.
+EMPTY: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -27,4 +29,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
     same, note = check.compare(spark, duck, FOLDER, entry.queries()[name], entry.oracle_sql().get(name))
-    assert same or note == "0 rows", note
+    assert same or (note == "0 rows" and name in EMPTY), note

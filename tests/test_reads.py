@@ -156,6 +156,7 @@ def test_json_violations(spark):
         *(("2.5", f, "element") for f in ("tags", "parts")),
         ("3.0", "tags", "type"),
         ("3.0", "odd", "unknown_field"),
+        *(("3.0", f"parts.{f}", "missing_field") for f in ("title", "state", "done", "tags", "parts")),
         ("4", "title", "type"),
         ("4", "tags", "missing_field"),
         ("4", "parts", "missing_field"),
