@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from fieldstone.llm.graph import components
 from fieldstone.llm.hashing import shingle_sets
-from fieldstone.llm.text import per_text, written
+from fieldstone.llm.text import per_text, slices, written
 
 FRAGMENTS = 8
 CELLS = 1 << 22  # cells of the table that tells frequent shingles from others: four megabytes
-_FLUSH = 4_000_000
+_FLUSH = 3_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -73,8 +73,8 @@ def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray
             cell = (found[n > 1] >> np.uint64(42)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[n > 1])], names=["cell", "n"])
 
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist(), size):
+        for part in (p for batch in batches for p in slices(batch, batch.column(0))):
+            for s in shingle_sets(part.column(0).to_pylist(), size):
                 node = node_of(s)
                 if node not in seen:
                     seen.add(node)
@@ -102,9 +102,9 @@ def prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         level = order.value
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, batch.column(0))):
             tokens, nodes, sizes = [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist(), size):
+            for s in shingle_sets(part.column(0).to_pylist(), size):
                 node = node_of(s)
                 if len(s) and node not in seen:
                     seen.add(node)
@@ -126,16 +126,29 @@ def prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text_
     return source.mapInArrow(run, "token long, node long, n int")
 
 
+def _cell(node: F.Column) -> F.Column:
+    return node.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+
+
 def fragments(docs: DataFrame, nodes: DataFrame, size: int, text_column: str) -> DataFrame:
-    """``node, fragment, part``: the sets of the given nodes, cut at fixed places of the global order."""
+    """``node, fragment, part``: the sets of the given nodes, cut at fixed places of the global order.
+
+    A table of CELLS marks leaves most other sets out before they are shuffled; the join is exact.
+    """
     wanted = docs.select(F.col(f"`{text_column}`").alias("t")).where(F.col("t").isNotNull())
+    marks = np.zeros(CELLS, bool)
+    marks[nodes.select(_cell(F.col("node")).alias("c")).distinct().toArrow()["c"].to_numpy()] = True  # CELLS rows at most
+    marked = docs.sparkSession.sparkContext.broadcast(marks)
+    none = np.zeros(0, np.int64)
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         sets = shingle_sets(texts, size)
-        return [pa.array([node_of(s) for s in sets], pa.int64()), _lists([_signed(s) for s in sets])]
+        own = np.array([node_of(s) for s in sets], np.int64)
+        near = marked.value[own & (CELLS - 1)]
+        return [pa.array(own), _lists([_signed(s) if keep else none for s, keep in zip(sets, near, strict=True)])]
 
     sets = per_text(wanted.withColumn("i", F.lit(0)), "i", "t", run, "node long, members array<long>").drop("i")
-    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = sets.where(F.size("members") > 0).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     shift = 64 - FRAGMENTS.bit_length() + 1
     cut = F.transform(
         F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)),
@@ -148,7 +161,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, na, b, nb`` whose sets reach the threshold: overlaps counted per fragment, summed per pair."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
+    counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "fragment"]).select(
         "a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("common")
     )
     whole = counted.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))

@@ -107,10 +107,11 @@ def plan_cuts(points: np.ndarray, costs: np.ndarray, capacity: int = CAPACITY) -
     A sequence between two points holds at most ``capacity`` tokens. It costs its padding (none at a
     power of two) and the cost of the cut at its end. Without powers of two the cheapest start of a
     sequence that ends at a point is the smallest ``best + position`` in the window, which a monotone
-    queue keeps at hand; starts a power of two before the point are tried beside it.
+    queue keeps at hand; starts half and a quarter of the capacity before the point, which are powers of
+    two, are tried beside it.
     """
     at, cost = points.tolist(), costs.tolist()
-    powers = [1 << k for k in range(capacity.bit_length()) if 128 <= 1 << k < capacity]
+    powers = [capacity >> 1, capacity >> 2]
     place = {p: i for i, p in enumerate(at)}
     best, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -141,17 +142,17 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> t
     """Places where a stream may be cut, with costs: ends of documents, ends of sentences, and every
     LOOSE_STEP tokens in between where neither is near."""
     total = len(ids)
-    sentences = np.flatnonzero(sentence_end[ids]) + 1
+    cost = np.full(total + 1, 255, np.uint8)  # of a cut at each place; 255: none is tried
     tail = total - (1 << np.arange(7, 12))
-    marks = np.unique(np.concatenate([[0], sentences, ends, tail[tail > 0]]))
-    gaps = np.diff(marks)
-    wide = np.flatnonzero(gaps > 2 * LOOSE_STEP)
-    loose = [np.arange(marks[i] + LOOSE_STEP, marks[i + 1], LOOSE_STEP) for i in wide]
-    points = np.unique(np.concatenate([marks, *loose])) if loose else marks
-    costs = np.full(len(points), float(LOOSE_CUT))
-    costs[np.isin(points, sentences, assume_unique=False)] = SENTENCE_CUT
-    costs[np.isin(points, ends)] = 0.0
-    return points, costs
+    cost[tail[tail > 0]] = LOOSE_CUT
+    cost[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_CUT
+    cost[ends] = 0
+    cost[0] = 0
+    marks = np.flatnonzero(cost != 255)
+    for i in np.flatnonzero(np.diff(marks) > 2 * LOOSE_STEP):
+        cost[marks[i] + LOOSE_STEP : marks[i + 1] : LOOSE_STEP] = LOOSE_CUT
+    points = np.flatnonzero(cost != 255)
+    return points, cost[points].astype(float)
 
 
 _PIECE = pa.schema([

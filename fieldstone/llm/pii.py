@@ -5,19 +5,18 @@ characters it came from, so what is found in the normalised text maps back to th
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstone.llm.text import per_text
+from fieldstone.llm.text import per_text, terms
 
 KINDS = ("email", "ip", "card", "phone")
 # What identifiers look like.
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9][0-9.]{6,}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -35,11 +34,11 @@ _ODD_WORD = re.compile(r"\S+")
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
            "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "|".join(_DIGITS)
-_SPELLED = re.compile(
-    rf"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:{_DIGIT}|[0-9])(?:[\s,.-]{{1,3}}(?:{_DIGIT}|[0-9]))+(?![^\W_])"
-)
-_SPELLED_ITEM = re.compile(rf"(?i)plus|{_DIGIT}|[0-9]")
-_HAS_SPELLED = re.compile(rf"(?i)\b(?:{_DIGIT})[\s,.-]+(?:{_DIGIT}|[0-9])\b")
+_ITEM = rf"(?:{_DIGIT}|[0-9]+)"
+_GAP = r"[\s,.()-]{1,4}"
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+)?{_ITEM}(?:{_GAP}{_ITEM})+(?![^\W_])")
+_SPELLED_ITEM = re.compile(rf"(?i)plus|{_ITEM}")
+_HAS_SPELLED = re.compile(rf"(?i)\b(?:{_DIGIT}){_GAP}{_ITEM}\b|[0-9]{_GAP}(?:{_DIGIT})\b")
 _PART = r"[A-Za-z0-9%+_-]+"
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
@@ -49,6 +48,9 @@ _HOST_DOTS = re.compile(r"(?i)(?<![0-9A-Za-z])[0-9]{1,3}(?:(?:\s*[\[({<]\s*(?:do
 _DOT_ONLY = re.compile(rf"(?i){_DOT}")
 _DOT_HINT = re.compile(r"(?i)[0-9]\s*(?:[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s)\s*[0-9]")
 
+# Ends of addresses that are no words.
+_ENDS = frozenset("com org net edu gov mil info biz io co dev app de fr es uk eu ch ca au nl jp br pl se ru cn kr mx".split())
+
 Span = tuple[str, int, int]
 
 
@@ -77,10 +79,17 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _dotted(text: str) -> Iterator[re.Match]:
+    """Four numbers joined by dots; they lie whole within a run of digits and dots."""
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") >= 3:
+            yield from _IP.finditer(text, run.start(), run.end())
+
+
 def find_plain(text: str) -> list[Span]:
     """Identifiers as they stand: leftmost and without overlap within a kind, in the order of KINDS."""
     out = _emails(text)
-    for m in _IP.finditer(text):
+    for m in _dotted(text):
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
@@ -151,9 +160,10 @@ def undo_signs(m: Mapped) -> Mapped:
     """``name [at] host dot tld`` to ``name@host.tld``, and spelled dots between the parts of an address."""
     pieces = []
     for x in _MAIL.finditer(m.text):
-        worded = len(re.findall(r"(?i)\bdot\b", x[0])) or "[" in x[0] or "(" in x[0] or "{" in x[0] or "<" in x[0]
-        if "at" in x[2].lower() and not worded:
-            continue  # "look at example.com" is prose
+        if x[2].strip().lower() == "at":  # the bare word: only an address if a dot is disguised too and its end is known
+            disguised = any(d[0] != "." for d in _DOT_ONLY.finditer(x[3]))
+            if not disguised or re.split(r"[^A-Za-z0-9-]+", x[3])[-1].lower() not in _ENDS:
+                continue
         for g in (1, 3):
             if g == 3:
                 pieces.append((x.start(2), x.end(2), "@"))
@@ -165,19 +175,24 @@ def undo_signs(m: Mapped) -> Mapped:
     return m.rewrite(sorted(pieces))
 
 
-_STEPS: tuple[tuple[re.Pattern, Callable[[Mapped], Mapped]], ...] = (
-    (_ODD, undo_looks),
-    (_HAS_SPELLED, undo_spelling),
-    (re.compile(f"{_MAIL_HINT.pattern}|{_DOT_HINT.pattern.removeprefix('(?i)')}"), undo_signs),
-)
+_SIGNS = re.compile(f"{_MAIL_HINT.pattern}|{_DOT_HINT.pattern.removeprefix('(?i)')}")
+_DIGIT_TERMS = frozenset(d.encode() for d in _DIGITS)
 
 
 def find_disguised(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that only the normalised text shows, as spans of the source."""
     mapped = None
-    for hint, step in _STEPS:
-        if hint.search(mapped.text if mapped else text):
-            mapped = step(mapped or Mapped(text))
+    now = text
+    if not text.isascii() and _ODD.search(text):
+        mapped = undo_looks(Mapped(text))
+        now = mapped.text
+    # Most texts lack the words that a disguise needs, and go no further.
+    words = frozenset(terms(now.encode("utf-8", "replace")))
+    if not _DIGIT_TERMS.isdisjoint(words) and _HAS_SPELLED.search(now):
+        mapped = undo_spelling(mapped or Mapped(text))
+        now = mapped.text
+    if (b"dot" in words or any(c in now for c in "@[({<")) and _SIGNS.search(now):
+        mapped = undo_signs(mapped or Mapped(text))
     if mapped is None or mapped.text == text:
         return []
     found = find_plain(mapped.text)
