@@ -35,9 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id; of rows that repeat both
-    that id and the text, one."""
-    grouped = written(near_components(docs), "groups")
+    """One document of each group of near copies (80 % of their shingles of five words in common), the
+    one of the smallest id; of rows that repeat both that id and the text, one."""
+    grouped = written(near_components(docs, size=5, percent=80), "groups")
     others = grouped.where("component_id != doc_id").select("doc_id").distinct()
     repeated = grouped.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     repeated = written(repeated, "repeated")

@@ -32,7 +32,7 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

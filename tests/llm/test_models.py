@@ -194,6 +194,17 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(pieces)
 
 
+def test_near_copies_of_the_stage(spark, tmp_path):
+    """Copies at 0.82 (text appended, a changed block) go, one at 0.79 stays."""
+    rng = random.Random(21)
+    base, other, third = (words(rng, 200).split() for _ in range(3))
+    block = [*other[:100], *words(rng, 15).split(), *other[115:]]
+    rows = [(1, " ".join(base)), (2, " ".join(base) + " " + words(rng, 42)), (3, " ".join(other)), (4, " ".join(block)),
+            (5, " ".join(third)), (6, " ".join(third) + " " + words(rng, 52))]
+    kept = corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
+
+
 def test_stages_of_nothing(spark, tmp_path):
     for name, columns in {"labels": LABELS, "benchmark": "item_id long, text string"}.items():
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
