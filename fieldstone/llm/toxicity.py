@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections import Counter
 from dataclasses import dataclass
@@ -15,7 +16,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldstone.llm.text import fold, per_text
@@ -23,6 +23,8 @@ from fieldstone.llm.text import fold, per_text
 #: Bounds of the training sample: documents of each label, and bytes of text in all.
 MAX_PER_LABEL = 2000
 MAX_BYTES = 16 << 20
+#: Of a document with more than this part of MAX_BYTES a hashed set of its sentences is learnt from.
+LONG_PART = 64
 
 #: Words of a sentence at most; where none ends for longer, it is cut.
 LONGEST = 32
@@ -92,10 +94,28 @@ def _place(bag: bytes, at: int, first: int, words: int) -> tuple[int, int]:
     return at + found[0].start(), at + found[-1].end()
 
 
+#: Bias of a model that learnt nothing: no text has sentences enough to reach a half.
+UNTRAINED = -30.0
+
+
 def _sigmoid(z: float) -> float:
     return 1e-12 + (1 - 2e-12) / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def some_sentences(text: bytes, most: int) -> bytes:
+    """The text, or of a longer one different sentences of the smallest hash, ``most`` bytes at most."""
+    if len(text) <= most:
+        return text
+    bags = [b.split() for b in text.translate(_BAGS).split(b"\n")]
+    cut = {b" ".join(b[i : i + LONGEST]) for b in bags for i in range(0, len(b), LONGEST)}
+    out, size = [], 0
+    for said in sorted(cut, key=lambda c: (zlib.crc32(c), c)):
+        if size + len(said) < most:
+            out.append(said)
+            size += len(said) + 1
+    return b"\n".join(out)
+
+
 def fit_toxic(texts: list[bytes], labels: list[int], epochs: int = 120, shrink: float = 3e-4) -> ToxicModel:
     """Full-batch proximal gradient steps on the log-loss of the documents' noisy-or."""
     ids: dict[bytes, int] = {}
@@ -155,19 +175,36 @@ def train_toxicity(
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     The sample holds at most ``max_per_label`` documents of each label, those of the smallest id hash,
-    and at most ``max_bytes`` of text. Rows with a null id, label or text are not learnt from.
+    and at most ``max_bytes`` of text; what doesn't fit is passed over, what comes after it is not. A
+    document longer than a LONG_PART of ``max_bytes`` takes part with so many bytes of its sentences.
+    Rows with a null id, label or text are not learnt from, repeated rows once. Without documents of
+    both labels nothing is learnt, and the model rejects nothing.
     """
+    spark, most = docs.sparkSession, max(1, max_bytes // LONG_PART)
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) > 0)).select(
         "doc_id", F.col("toxic").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")
     )
     picked = [usable.where(F.col("y") == y).orderBy("h", "doc_id").limit(max_per_label) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * max_per_label rows of three numbers
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).where(F.col("t").isNotNull())
-    rows = rows.join(chosen, "doc_id").orderBy("h", "doc_id", "t").limit(2 * max_per_label)
-    total = F.sum(F.octet_length("t").cast("long")).over(W.orderBy("h", "doc_id", "t").rowsBetween(W.unboundedPreceding, 0))
-    sample = rows.withColumn("n", total).where(F.col("n") <= max_bytes).select("t", "y").collect()
-    if not sample:
-        return ToxicModel({}, -8.0)
+    rows = rows.join(chosen, "doc_id").withColumn("mark", F.xxhash64("t"))
+    keys = ["doc_id", "y", "mark"]
+    sizes = rows.select("h", *keys, F.least(F.octet_length("t").cast("long"), F.lit(most)).alias("n")).distinct()
+    fits, total = [], 0
+    for r in sizes.orderBy("h", *keys).limit(2 * max_per_label).collect():  # numbers only
+        if total + r["n"] <= max_bytes:
+            total += r["n"]
+            fits.append((r["doc_id"], r["y"], r["mark"]))
+    if len({y for _, y, _ in fits}) < 2:
+        return ToxicModel({}, UNTRAINED)
+    fitting = F.broadcast(spark.createDataFrame(fits, rows.select(*keys).schema))
+
+    @F.pandas_udf("binary")
+    def bounded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: some_sentences(bytes(t), most))
+
+    sample = rows.join(fitting, keys).select("h", *keys, bounded("t").alias("t")).dropDuplicates(keys).collect()
+    sample.sort(key=lambda r: (r["h"], r["doc_id"], r["y"], r["mark"]))
     return fit_toxic([bytes(r["t"]) for r in sample], [r["y"] for r in sample])
 
 

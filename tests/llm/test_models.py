@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldstone.llm.ann import search
 from fieldstone.llm.line_dedup import common_blocks, dedup_lines, patience
-from fieldstone.llm.toxicity import score_toxicity, toxic_column, toxicity_digest, train_toxicity
+from fieldstone.llm.toxicity import score_toxicity, some_sentences, toxic_column, toxicity_digest, train_toxicity
 
 
 def words(rng, n):
@@ -101,6 +101,29 @@ def test_toxicity_without_labels(spark, docs_of):
     assert score_toxicity(docs_of([]), model).count() == 0
 
 
+def test_long_documents_do_not_end_the_sample(spark, docs_of):
+    docs, labels = toxic_rows()
+    rng = random.Random(3)
+    long = [(i, ". ".join(words(rng, 8) for _ in range(9000))) for i in range(3000, 3020)]
+    frame = docs_of(docs + long)
+    known = spark.createDataFrame(labels + [(i, 1, 0) for i, _ in long], LABELS)
+    model = train_toxicity(frame, known, max_bytes=400_000)
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in toxicity_digest(score_toxicity(frame, model)).collect() if r.held_out and r.doc_id in truth]
+    assert sum(truth[r.doc_id] == r.predicted for r in held) >= 0.9 * len(held)
+    text = long[0][1].encode()
+    part = some_sentences(text, 5000)
+    assert 4000 < len(part) <= 5000 and set(part.split(b"\n")) <= {b.strip() for b in text.split(b".")}
+    assert some_sentences(b"x" * 6000, 5000) == b"" and some_sentences(b"A. b", 5000) == b"A. b"
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, 1)]])
+def test_untrained_rejects_nothing(spark, docs_of, labels):
+    frame = docs_of([(1, "a b"), (2, "calm words. " * 50_000)])
+    model = train_toxicity(frame, spark.createDataFrame(labels, LABELS))
+    assert all(r.score < 0.01 for r in score_toxicity(frame, model).collect())
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
