@@ -1,6 +1,7 @@
 """Every digest against a plain version, over texts with all that is awkward."""
 
 import random
+import re
 import struct
 import zlib
 
@@ -16,7 +17,7 @@ from fieldstone.llm.ngram_join import near_components
 from fieldstone.llm.packing import pack, plan_cuts
 from fieldstone.llm.pii import pii_digest, scan_pii
 from fieldstone.llm.ppm import ppm_digest
-from fieldstone.llm.secret_scan import scan_secrets, secret_digest, train_net, window
+from fieldstone.llm.secret_scan import BEFORE, candidates, find_base, scan_secrets, secret_digest, train_net, window, windows
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -167,6 +168,34 @@ def test_secret_network(docs_of):
     assert (net.predict(other) >= net.threshold).mean() <= 0.05
 
 
+def test_every_part_of_a_run_is_a_candidate(docs_of):
+    """A secret behind a long prefix, and one beside base findings; against every character by itself."""
+    rng = random.Random(31)
+    secret = "".join(rng.choices("0123456789xyzXYZ", k=24))
+    text = f"see /usr/local/share/{'lib/' * 20}{secret} or"
+    ((a, b),) = candidates(text, [])
+    assert any(window(secret, 0, 24)[BEFORE : BEFORE + 24] in w for w in windows(text, a, b))
+    beside = f"AKIA{'A1' * 8}/{secret} {'ab12' * 6}.{secret} password={secret}"
+    found = [beside[a:b] for a, b in candidates(beside, find_base(beside))]
+    assert found == ["/" + secret, "." + secret]
+    for _ in range(300):
+        text = "".join(rng.choices(["a1b2" * 6, "AKIA" + "Q7" * 8, "token=", "word", "Zz9+/", " ", "'"], k=20))
+        base = find_base(text)
+        covered = {i for _, s, e in base for i in range(s, e)}
+        free = "".join("\n" if i in covered else c for i, c in enumerate(text))
+        assert candidates(text, base) == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", free)]
+
+    class Digits:
+        threshold = 0.5
+
+        def predict(self, x):
+            return ((x[:, BEFORE : BEFORE + 40] >= 97 + 17) & (x[:, BEFORE : BEFORE + 40] <= 97 + 26)).mean(1) * 2
+
+    long = f"{'path/' * 40}{'7' * 20}"
+    spans = scan_secrets(docs_of([(1, f"x {long} y {'path/' * 40}")]), Digits()).first().findings
+    assert [(s.kind, s.text) for s in spans] == [("network", long)]
+
+
 def test_pii(docs_of, rows):
     got = pii_digest(scan_pii(docs_of(rows)))
     same(got, "doc_id n_email n_ip n_card n_phone base_sha256", brute.pii(rows))
