@@ -17,7 +17,7 @@ from fieldstone.llm.ngram_join import near_components
 from fieldstone.llm.packing import pack, plan_cuts
 from fieldstone.llm.pii import pii_digest, scan_pii
 from fieldstone.llm.ppm import ppm_digest
-from fieldstone.llm.secret_scan import BEFORE, candidates, find_base, scan_secrets, secret_digest, train_net, window, windows
+from fieldstone.llm.secret_scan import BEFORE, candidates, find_base, fit_net, labelled_windows, scan_secrets, secret_digest, train_net, window, windows
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -196,6 +196,28 @@ def test_every_part_of_a_run_is_a_candidate(docs_of):
     assert [(s.kind, s.text) for s in spans] == [("network", long)]
 
 
+def test_threshold_keeps_the_recall():
+    """Of held-back keys without their names too, also where that takes a threshold below a half."""
+    rng = np.random.default_rng(4)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    key = lambda: pick("abcdef0123456789", 20) if rng.random() < 0.7 else pick("abcdefghijklmnop", 20)
+    yes = [window(f"password={key()}", 9, 29) for _ in range(600)]
+    no = [window(f"and {pick('abcdefghijklmnop', 20)} so", 4, 24) for _ in range(600)]
+    net = fit_net(np.array([list(w) for w in yes + no], np.int64), np.array([1] * 600 + [0] * 600), 0.98)
+    fresh = np.array([list(window(key(), 0, 20)) for _ in range(2000)], np.int64)
+    assert (net.predict(fresh) >= net.threshold).mean() >= 0.95
+
+
+def test_copies_take_no_places(docs_of):
+    """One window a thousand times beside a few others."""
+    rows = [(i, "see aaaaaaaaaaaaaaaaaaaaaaaa or") for i in range(1000)]
+    rows += [(2000 + i, f"see {chr(97 + i) * 20}zz or and password={chr(97 + i) * 9}") for i in range(20)]
+    got = [(bytes(r.w), r.y) for r in labelled_windows(docs_of(rows), "text", 30).collect()]
+    assert len(got) == len(set(got)) == 41 and sum(y for _, y in got) == 21
+    fewer = {tuple(r) for r in labelled_windows(docs_of(rows, 1), "text", 5).collect()}
+    assert len(fewer) == 10 and fewer == {tuple(r) for r in labelled_windows(docs_of(rows, 7), "text", 5).collect()}
+
+
 def test_pii(docs_of, rows):
     got = pii_digest(scan_pii(docs_of(rows)))
     same(got, "doc_id n_email n_ip n_card n_phone base_sha256", brute.pii(rows))
