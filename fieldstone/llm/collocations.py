@@ -26,7 +26,7 @@ _KIND[[*b".,;:!?", *range(10, 14)]] = 2
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 #: Bytes of text that a task hashes and counts at once.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 #: A mark table has 16 bits for each frequent fingerprint, within these bounds (8 KB and 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _CHUNK = 1 << 20
@@ -149,8 +149,9 @@ def _flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]
 def frequent_prints(
     source: DataFrame, sizes: tuple[int, ...], below: int, table, least: int, hash_bits: int
 ) -> DataFrame:
-    """``fp``: fingerprints of the n-grams of the given sizes that occur ``least`` times or more. A task
-    adds up what it sees before the shuffle."""
+    """``fp``: fingerprints of the n-grams of the given sizes that occur ``least`` times or more. A task adds
+    up what it sees of a few megabytes before the shuffle; most pairs of words are rare, and a second
+    map-side combine would only hold them in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = table.value if table is not None else None
@@ -165,7 +166,7 @@ def frequent_prints(
                         [pa.array(found[part].view(np.int64)), pa.array(counts[part])], names=["fp", "n"]
                     )
 
-    counted = source.select("lang", "text").mapInArrow(run, "fp long, n long")
+    counted = source.select("lang", "text").mapInArrow(run, "fp long, n long").repartition("fp")
     return counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
 
 
