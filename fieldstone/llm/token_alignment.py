@@ -3,9 +3,11 @@ equal work that diagonal searches cut out, and groups that cross a cut are stitc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,17 @@ PIECE = 1 << 16
 BROADCAST_PAIRS = 1 << 20
 _SLICE = 1 << 20  # bytes of text tokenized at once
 _LINKS = 4_000_000  # links expanded at once
-_SHIFT = 32  # a pair of ids is one number: A's in the upper half
+_SHIFT = 20  # a pair of ids is one number, B's in the lower bits; vocabularies have fewer than 2**20 tokens
 
 
 # -- tokenizers --------------------------------------------------------------
 
+# How byte-level vocabularies of this kind split a text into words, and the first bytes of
+# characters beyond Latin letters. Up to there two engines give the same ids and the quicker one is taken;
+# beyond, they may know different versions of Unicode, and only the tokenizers library is asked.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND_LATIN = re.compile(rb"[\xca-\xff]")
+
 
 def _byte_of_symbol() -> dict[str, int]:
     """Bytes behind the symbols of a byte-level vocabulary: printable ones stand for themselves, the others
@@ -40,6 +48,7 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -49,6 +58,9 @@ class Pair:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
+        added = self.a.get_added_tokens_decoder()
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if i not in added}
+        self.quick = tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -62,7 +74,10 @@ class Pair:
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each text; none where a text is empty or its tokens do not spell it."""
         strings = [t.decode("utf-8", "replace") for t in texts]
-        left = [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in strings], add_special_tokens=False)]
+        left = [None if _BEYOND_LATIN.search(t) else self.quick.encode_ordinary(f" {s}") for t, s in zip(texts, strings, strict=True)]
+        rest = [k for k, ids in enumerate(left) if ids is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([f" {strings[k]}" for k in rest], add_special_tokens=False), strict=True):
+            left[k] = e.ids
         right = self.b.encode(strings, num_threads=1)
         out = []
         for text, a, b in zip(texts, left, right, strict=True):
@@ -96,16 +111,14 @@ def diagonal_cuts(a: np.ndarray, b: np.ndarray, piece: int) -> tuple[np.ndarray,
     return low, diagonal - low
 
 
-def piece_overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One piece: the ends of either side in order, each the end of an overlap of an A and a B token (their
-    places in the piece), and whether both end there."""
-    ends = np.union1d(a, b)
-    i, j = np.searchsorted(a, ends), np.searchsorted(b, ends)
-    in_a = i < len(a)
-    in_a[in_a] = a[i[in_a]] == ends[in_a]
-    in_b = j < len(b)
-    in_b[in_b] = b[j[in_b]] == ends[in_b]
-    return ends, i, j, in_a & in_b
+def piece_overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece: for the end of each A token, the place of the B token that overlaps it there, and whether
+    that ends there as well. Overlaps that end inside an A token border no group."""
+    j = np.searchsorted(b, a)
+    both = np.zeros(len(a), bool)
+    inside = j < len(b)
+    both[inside] = b[j[inside]] == a[inside]
+    return j, both
 
 
 def merged_groups(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -115,33 +128,30 @@ def merged_groups(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.
     such pieces are stitched at that end.
     """
     cut_a, cut_b = diagonal_cuts(a, b, piece)
-    borders_a, borders_b, last = [], [], None
+    borders_a, borders_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(len(cut_a) - 1):
         i0, i1, j0, j1 = cut_a[k], cut_a[k + 1], cut_b[k], cut_b[k + 1]
-        ends, i, j, both = piece_overlaps(a[i0:i1], b[j0:j1])
-        if last is not None and len(ends) and ends[0] == last:
+        if 0 < i0 and j0 < len(b) and b[j0] == a[i0 - 1] and j0 < j1:
             borders_a.append(np.array([i0]))
             borders_b.append(np.array([j0 + 1]))
-        borders_a.append(i0 + i[both] + 1)
+        j, both = piece_overlaps(a[i0:i1], b[j0:j1])
+        borders_a.append(i0 + np.flatnonzero(both) + 1)
         borders_b.append(j0 + j[both] + 1)
-        last = ends[-1] if len(ends) else last
-    return np.concatenate([np.zeros(0, np.int64), *borders_a]), np.concatenate([np.zeros(0, np.int64), *borders_b])
+    return np.concatenate(borders_a), np.concatenate(borders_b)
 
 
-def _links(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every A-B pair of each group, as (group, pair of ids), some groups at a time."""
-    na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
+def _links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+    """Every A-B pair of each group, as owner and pair of ids in one number, some groups at a time."""
     total = np.cumsum(na * nb)
+    end_a, begin_b = np.cumsum(na), np.cumsum(nb) - nb
     g = 0
     while g < len(na):
         stop = max(g + 1, int(np.searchsorted(total, (total[g - 1] if g else 0) + _LINKS, "right")))
-        before = ga[g - 1] if g else 0
-        group = np.repeat(np.arange(g, stop), na[g:stop])  # of each A token
-        times = nb[group]
-        left = np.repeat(np.arange(before, before + len(group)), times)
-        first = np.repeat((gb - nb)[group], times)
-        within = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-        yield np.repeat(group, times), a[left].astype(np.int64) << _SHIFT | b[first + within].astype(np.int64)
+        times = np.repeat(nb[g:stop], na[g:stop])  # links of each A token
+        left = a[end_a[g] - na[g] : end_a[stop - 1]] << _SHIFT | np.repeat(owner[g:stop], na[g:stop]) << 2 * _SHIFT
+        ends = np.cumsum(times)
+        at = np.arange(ends[-1]) + np.repeat(np.repeat(begin_b[g:stop], na[g:stop]) - (ends - times), times)
+        yield np.repeat(left, times) | b[at]
         g = stop
 
 
@@ -149,32 +159,30 @@ def aligned(pair: Pair, texts: list[bytes], piece: int = PIECE) -> list[tuple]:
     """Of each text: numbers of A and B tokens, groups and links, the groups as text, and its different pairs
     of linked ids with how often each is linked."""
     tokens = pair.encode(texts)
-    na, nb = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-    a, b = (np.array([i for t in tokens for i in t[k]], np.int64) for k in (0, 1))
+    na, nb = (np.fromiter((len(t[k]) for t in tokens), np.int64, len(tokens)) for k in (0, 1))
+    a, b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64, int(n.sum())) for k, n in ((0, na), (1, nb)))
     # Laid end to end, texts end where tokens of both sides end, so no group spans two of them.
     ga, gb = merged_groups(np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]), piece)
+    own_a, own_b = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     last_a[ga - 1] = last_b[gb - 1] = True
     codes = np.empty(len(a) + len(b), np.int64)
     size = len(pair.a_size)
-    group_a, group_b = np.searchsorted(ga, np.arange(len(a)), "right"), np.searchsorted(gb, np.arange(len(b)), "right")
-    codes[np.arange(len(a)) + np.append(0, gb)[group_a]] = a + size * last_a
-    codes[np.arange(len(b)) + ga[group_b]] = 2 * size + b + len(pair.b_size) * last_b
+    codes[np.arange(len(a)) + np.repeat(gb - own_b, own_a)] = a + size * last_a
+    codes[np.arange(len(b)) + np.repeat(ga, own_b)] = 2 * size + b + len(pair.b_size) * last_b
     codes = codes.tolist()
     ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
-    upto = np.searchsorted(ga, ends_a, "right")  # groups up to the end of each text
-    n_groups = np.diff(upto, prepend=0)
+    n_groups = np.diff(np.searchsorted(ga, ends_a, "right"), prepend=0)
+    owner = np.repeat(np.arange(len(texts)), n_groups)
     links = np.zeros(len(texts), np.int64)
-    np.add.at(links, np.searchsorted(upto, np.arange(len(ga)), "right"), np.diff(ga, prepend=0) * np.diff(gb, prepend=0))
+    np.add.at(links, owner, own_a * own_b)
     owners, pairs, times = [], [], []
-    for group, linked in _links(a, b, ga, gb):
-        owner = np.searchsorted(upto, group, "right")
-        order = np.lexsort((linked, owner))
-        owner, linked = owner[order], linked[order]
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (linked[1:] != linked[:-1])]))
-        owners.append(owner[first])
-        pairs.append(linked[first])
-        times.append(np.diff(np.append(first, len(owner))))
+    for linked in _links(a, b, own_a, own_b, owner):
+        linked.sort()
+        first = np.flatnonzero(np.concatenate([[True], linked[1:] != linked[:-1]]))
+        times.append(np.diff(np.append(first, len(linked))))
+        owners.append(linked[first] >> 2 * _SHIFT)
+        pairs.append(linked[first] & ((1 << 2 * _SHIFT) - 1))
     whose, which, often = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owners, pairs, times))
     bounds = np.searchsorted(whose, np.arange(len(texts) + 1))
     out, start = [], 0

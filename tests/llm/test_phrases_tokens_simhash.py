@@ -141,6 +141,19 @@ def test_alignment(spark, docs_of):
     assert alignment_digest(docs_of([(1, "x")]).limit(0), A, B).count() == 0
 
 
+def test_both_engines_give_the_ids_of_a(monkeypatch):
+    r, pair = random.Random(9), Pair(A, B)
+    texts = [t for t in TEXTS if t]
+    for _ in range(3000):
+        kind = r.choice(["".join(map(chr, range(0x280))), " \t\n\r\x0b\x1c\x85\xa0aA0's-.éª²", "etaoin shrdlu's 12\n"])
+        texts.append("".join(r.choices(kind, k=r.randint(1, 90))))
+    for text in texts:
+        whole = pair.a.encode(f" {text}", add_special_tokens=False).ids
+        assert pair.quick.encode_ordinary(f" {text}") == whole, text
+        got = pair.encode([text.encode()])[0][0]
+        assert got in (whole, [])
+
+
 @pytest.mark.parametrize("piece", [1, 2, 3, 7, 1000])
 def test_merge_path_pieces(piece):
     r = random.Random(piece)
