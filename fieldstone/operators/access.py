@@ -1,7 +1,7 @@
 """Allow and deny rules over logs of operations, and as secured views of tables.
 
-Rules are grouped to one row per role, and a kind of operation (who does what to
-which fields) looks up its rules there. Every kind is decided once per outcome of
+A kind of operation (who does what to which fields) looks up its rules by role
+and key. Every kind is decided once per outcome of
 the predicates, so a log of any length is only hashed against few decisions. The
 user and target records are joined in only for predicates that look at them. The
 log is never exploded or shuffled by role.
@@ -148,15 +148,19 @@ def _key(model: Column, field: Column, permission: str, scope: Column | str) ->
     return F.concat_ws("|", model, field, F.lit(permission), scope)
 
 
-def rule_sets(expanded: DataFrame) -> DataFrame:
-    """One row per role: a map from (model, field, permission, scope) to the rules there."""
+def rules_by_key(expanded: DataFrame) -> DataFrame:
+    """``set_role, key, hits``: the rules of each role at each (model, field, permission, scope)."""
     scope = F.when(F.col("is_self"), F.lit("self")).otherwise(F.lit("any"))
     hit = F.struct("kind", "field", "permission", "predicate_id")
     key = F.concat_ws("|", "model", F.coalesce("field", F.lit("")), "permission", scope)
-    per_key = expanded.groupBy(F.coalesce("role", F.lit("")).alias("set_role"), key.alias("key")).agg(
+    return expanded.groupBy(F.coalesce("role", F.lit("")).alias("set_role"), key.alias("key")).agg(
         F.collect_set(hit).alias("hits")
     )
-    return per_key.groupBy("set_role").agg(F.map_from_entries(F.collect_list(F.struct("key", "hits"))).alias("rules"))
+
+
+def rule_sets(expanded: DataFrame) -> DataFrame:
+    """One row per role: a map from the keys to the rules there."""
+    return rules_by_key(expanded).groupBy("set_role").agg(F.map_from_entries(F.collect_list(F.struct("key", "hits"))).alias("rules"))
 
 
 # Optional columns of an operation log and what their absence means.
@@ -255,12 +259,22 @@ def rules_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def match_rules(ops: DataFrame, rules: DataFrame, catalog: Catalog) -> DataFrame:
-    """Join each operation with its role's rule set (``rules``, null when the role has none)."""
+    """Add ``rules``, a map from keys to the rules there, to each operation; null when there are none.
+
+    A few rules are broadcast, each role's in one map. Otherwise operations meet rules key by key, and an
+    operation's map holds what it asks for, so a role may have any number of rules.
+    """
     expanded = expand_rules(rules, catalog)
-    sets = rule_sets(expanded)
     if expanded.count() <= BROADCAST_RULES:
-        sets = F.broadcast(sets)
-    return ops.join(sets, F.coalesce(ops["role"], F.lit("")) == F.col("set_role"), "left").drop("set_role")
+        sets = F.broadcast(rule_sets(expanded))
+        return ops.join(sets, F.coalesce(ops["role"], F.lit("")) == F.col("set_role"), "left").drop("set_role")
+    ops = checkpointed(ops.withColumn("__no", F.monotonically_increasing_id()))
+    keys = F.array_distinct(F.concat("own_keys", F.flatten(F.transform("read_keys", lambda r: r["keys"]))))
+    asked = ops.select("__no", F.coalesce("role", F.lit("")).alias("set_role"), F.explode(keys).alias("key"))
+    found = asked.join(rules_by_key(expanded), ["set_role", "key"]).groupBy("__no").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "hits"))).alias("rules")
+    )
+    return ops.join(found, "__no", "left").drop("__no")
 
 
 # -- predicates --------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import BOOL, DATE, FILE, FLOAT, INT, STRING, Catalog, Enumeration, Field, Model
@@ -179,46 +179,122 @@ def _scalar_fits(ftype, value: Column, kind: Column) -> Column:
     raise ValueError(f"no check for {ftype}")
 
 
+# Levels of objects inside objects that a plan unfolds at first where models refer to each other in a circle;
+# twice as many each time that turns out to be too few. Records are rarely deep, and plans grow with the levels.
+LEVELS = 1
+
+
 def check_json(raw: DataFrame, catalog: Catalog, model: str, column: str = "value") -> DataFrame:
     """Violations of the model's type in raw JSON records (one text per row).
 
     Rules: ``json`` (not an object), ``unknown_field``, ``missing_field``, ``type`` and ``element``.
     Objects given for references are checked against their own model, as deep as the data goes;
-    ``field`` is then the path from the record, which ``key`` names. Each text is parsed once.
+    ``field`` is then the path from the record, which ``key`` names. The plan reads and parses each text
+    once. Only where models refer to each other in a circle, one job finds how deep the data goes.
     """
-    m = catalog.model(model)
-    rows = raw.select(F.col(column).alias("__text"), F.try_parse_json(F.col(column)).alias("__v"))
-    rows = rows.withColumn("__map", _members(F.col("__v")))
+    levels = _depth(catalog, model)
+    if levels is None:
+        levels = LEVELS
+        while json_objects(raw, catalog, model, levels, column).agg(F.max("deeper").alias("d")).first()["d"]:
+            levels *= 2
+    return object_violations(json_objects(raw, catalog, model, levels, column), catalog, model)
+
+
+def check_and_look(raw: DataFrame, catalog: Catalog, model: str, column: str = "value") -> tuple[DataFrame, set[str]]:
+    """The violations, written, and the paths of references that some record gives as an object with more
+    than its key: both from one pass over the texts."""
+    levels = _depth(catalog, model)
+    given, levels = levels, LEVELS if levels is None else levels
+    while True:
+        seen = Observation()
+        objects = json_objects(raw, catalog, model, levels, column)
+        more = F.collect_set(F.when(_says_more(catalog), F.col("path")))  # paths of the catalog
+        objects = objects.observe(seen, more.alias("paths"), F.max("deeper").alias("deeper"))
+        found = checkpointed(object_violations(objects, catalog, model))
+        if given is not None or not seen.get["deeper"]:
+            return found, {path[:-1] for path in seen.get["paths"] if path}
+        levels *= 2
+
+
+def _depth(catalog: Catalog, model: str, above: tuple[str, ...] = ()) -> int | None:
+    """How many objects can lie inside each other below a record; None for any number."""
+    if model in above:
+        return None
+    inner = [_depth(catalog, f.ref_model, (*above, model)) for f in catalog.model(model).fields if f.ref_model]
+    return None if None in inner else max((n + 1 for n in inner), default=0)
+
+
+def json_objects(raw: DataFrame, catalog: Catalog, model: str, levels: int, column: str = "value") -> DataFrame:
+    """``text, child, path, v, deeper``: each record, and each object in it down to ``levels``, with the model it
+    is to be of and its path; ``deeper`` says on a record's row whether there are objects below that."""
+    rows = raw.select(F.col(column).alias("text"), F.try_parse_json(F.col(column)).alias("__v"))
+    rows = rows.withColumn("__0", F.array(F.struct(F.lit(model).alias("child"), F.lit("").alias("path"), F.col("__v").alias("v"))))
+    known = {model}
+    for k in range(levels):
+        inner = _inner_objects(catalog, known)
+        rows = rows.withColumn(f"__{k + 1}", F.flatten(F.transform(f"__{k}", inner)))
+        known = {f.ref_model for name in known for f in catalog.model(name).fields if f.ref_model}
+    deeper = F.exists(f"__{levels}", lambda x: F.size(_inner_objects(catalog, known)(x)) > 0) if known else F.lit(False)
+    every = F.concat(*[F.col(f"__{k}") for k in range(levels + 1)])
+    rows = rows.select("text", deeper.alias("__deeper"), F.inline(every))
+    return rows.select("text", "child", "path", "v", ((F.col("path") == "") & F.col("__deeper")).alias("deeper"))
+
+
+def _inner_objects(catalog: Catalog, names: set[str]):
+    """The objects that the references of an object hold, by the model it is of."""
+    empty = F.array().cast("array<struct<child:string,path:string,v:variant>>")
+
+    def inner(x: Column) -> Column:
+        found = F.when(F.lit(False), empty)
+        for name in sorted(names):
+            held = []
+            for f in catalog.model(name).fields:
+                if f.ref_model is not None:
+                    kind = "array<variant>" if f.is_array else "variant"
+                    value = F.try_variant_get(x["v"], f"$.{f.name}", kind)
+                    items = value if f.is_array else F.array(value)
+                    objects = F.filter(items, lambda y: F.schema_of_variant(y).startswith("OBJECT"))
+                    held.append(F.coalesce(F.transform(objects, _boxed(f.ref_model, F.concat(x["path"], F.lit(f"{f.name}.")))), empty))
+            if held:
+                found = found.when(x["child"] == name, F.concat(*held))
+        return found.otherwise(empty)
+
+    return inner
+
+
+def _boxed(model: str, path: Column):
+    return lambda y: F.named_struct(F.lit("child"), F.lit(model), F.lit("path"), path, F.lit("v"), y)
+
+
+def _says_more(catalog: Catalog) -> Column:
+    """Does an object have more than its key?"""
+    keys = F.map_keys(_members(F.col("v")))
+    pk = F.create_map(*[F.lit(x) for m in catalog.models for x in (m.name, m.pk)])[F.col("child")]
+    return F.coalesce(F.size(F.array_except(keys, F.array(pk))) > 0, F.lit(False))
+
+
+def object_violations(objects: DataFrame, catalog: Catalog, model: str) -> DataFrame:
+    """Violations in unfolded objects, each against its own model."""
+    rows = objects.withColumn("__map", _members(F.col("v")))
     broken = F.array(_violation(F.lit(None).cast("string"), "json", F.lit(None).cast("variant")))
-    every = F.when(F.col("__map").isNull(), broken).otherwise(_object_violations(F.col("__map"), catalog, m, ""))
+    every = F.when((F.col("path") == "") & F.col("__map").isNull(), broken)
+    for name in sorted(_below(catalog, model)):
+        every = every.when((F.col("child") == name) & F.col("__map").isNotNull(), _object_violations(F.col("__map"), catalog.model(name)))
+    found = rows.select("text", "path", F.explode(every).alias("v"))
     # The record's key is read from the text, as it is written there, where it is needed.
-    key = F.get_json_object("__text", f"$.{m.pk}")
-    found = rows.select("__text", F.explode(every).alias("v")).withColumn("key", key)
-    value = F.when(F.col("v.rule") == "json", F.col("__text")).otherwise(_variant_text(F.col("v.value")))
-    shape = lambda df, text: df.select(F.lit(model).alias("model"), F.col("v.field"), "key", F.col("v.rule"), text.alias("value"))
-    parts = [shape(found, value)]
-
-    # Objects of models that refer on are unfolded level by level.
-    level = _unfolded(rows, "__text", catalog, m, "")
-    level = None if level is None else level.select(key.alias("key"), "child", "path", "v")
-    while level is not None:
-        level = checkpointed(level)
-        names = [r["child"] for r in level.select("child").distinct().collect()]  # models of the catalog
-        below = None
-        for name in names:
-            child = catalog.model(name)
-            own = level.where(F.col("child") == name).select("key", "path", _members(F.col("v")).alias("__map"))
-            every = F.transform(
-                _object_violations(F.col("__map"), catalog, child, ""),
-                lambda v: F.struct(F.concat("path", v["field"]).alias("field"), v["rule"].alias("rule"), v["value"].alias("value")),
-            )
-            bad = own.where(F.col("__map").isNotNull()).select("key", F.explode(every).alias("v"))
-            parts.append(shape(bad, _variant_text(F.col("v.value"))))
-            deeper = _unfolded(own, "key", catalog, child, F.col("path"))
-            if deeper is not None:
-                below = deeper if below is None else below.unionByName(deeper)
-        level = below
-    return reduce(DataFrame.unionByName, parts)
+    key = F.get_json_object("text", f"$.{catalog.model(model).pk}")
+    value = F.when(F.col("v.rule") == "json", F.col("text")).otherwise(_variant_text(F.col("v.value")))
+    field = F.concat("path", F.col("v.field"))
+    return found.select(F.lit(model).alias("model"), field.alias("field"), key.alias("key"), F.col("v.rule").alias("rule"), value.alias("value"))
+
+
+def _below(catalog: Catalog, model: str) -> set[str]:
+    """The model and all that it refers to."""
+    found, new = set(), {model}
+    while new:
+        found |= new
+        new = {f.ref_model for name in new for f in catalog.model(name).fields if f.ref_model} - found
+    return found
 
 
 def _members(value: Column) -> Column:
@@ -231,65 +307,26 @@ def _variant_text(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), text)
 
 
-def _unfolded(rows: DataFrame, carry: str, catalog: Catalog, m: Model, path: Column | str) -> DataFrame | None:
-    """The objects that references of ``m`` hold, where their model refers on (others were checked in place)."""
-    empty = F.array().cast("array<struct<child:string,path:string,v:variant>>")
-    held = []
-    for f in m.fields:
-        if f.ref_model is not None and any(c.ref_model for c in catalog.model(f.ref_model).fields):
-            value = F.try_element_at("__map", F.lit(f.name))
-            items = F.try_variant_get(value, "$", "array<variant>") if f.is_array else F.array(value)
-            where = F.concat(F.lit(path) if isinstance(path, str) else path, F.lit(f"{f.name}."))
-            objects = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-            held.append(F.coalesce(F.transform(objects, _boxed(f.ref_model, where)), empty))
-    if not held:
-        return None
-    return rows.select(carry, F.inline(F.concat(*held)))
-
-
-def _boxed(model: str, path: Column):
-    return lambda x: F.struct(F.lit(model).alias("child"), path.alias("path"), x.alias("v"))
-
-
 def _violation(field: Column, rule: str, value: Column) -> Column:
     return F.struct(field.alias("field"), F.lit(rule).alias("rule"), value.alias("value"))
 
 
-def _object_violations(members: Column, catalog: Catalog, m: Model, prefix: str) -> Column:
-    """Violations in one object, given its members; those in objects of models without references of
-    their own included."""
-    none = F.array().cast("array<struct<field:string,rule:string,value:variant>>")
+def _object_violations(members: Column, m: Model) -> Column:
+    """Violations in one object, given its members."""
     names = F.array(*[F.lit(f.name) for f in m.fields])
     unknown = F.transform(
         F.array_except(F.map_keys(members), names),
-        lambda k: _violation(F.concat(F.lit(prefix), k), "unknown_field", F.lit(None).cast("variant")),
+        lambda k: _violation(k, "unknown_field", F.lit(None).cast("variant")),
     )
-    found = [unknown]
-    for f in m.fields:
-        value = F.try_element_at(members, F.lit(f.name))
-        found.append(F.array_compact(F.array(_field_violation(catalog, f, members, value, prefix))))
-        if f.ref_model is None:
-            continue
-        child = catalog.model(f.ref_model)
-        if not any(c.ref_model for c in child.fields):
-            inner = _inside(catalog, child, f"{prefix}{f.name}.", none)
-            if f.is_array:
-                items = F.try_variant_get(value, "$", "array<variant>")
-                found.append(F.flatten(F.transform(items, inner)))
-            else:
-                found.append(inner(value))
-    return F.concat(*[F.coalesce(c, none) for c in found])
-
-
-def _inside(catalog: Catalog, child: Model, prefix: str, none: Column):
-    return lambda x: F.coalesce(_object_violations(_members(x), catalog, child, prefix), none)
-
-
-def _field_violation(catalog: Catalog, f: Field, members: Column, value: Column, prefix: str) -> Column:
+    return F.concat(unknown, F.array_compact(F.array(*[_field_violation(f, members) for f in m.fields])))
+
+
+def _field_violation(f: Field, members: Column) -> Column:
+    value = F.try_element_at(members, F.lit(f.name))
     present = F.map_contains_key(members, f.name)
     kind = F.schema_of_variant(value)
     null = F.is_variant_null(value)
-    name = F.lit(f"{prefix}{f.name}")
+    name = F.lit(f.name)
     wrong = lambda rule: _violation(name, rule, value)
     missing = F.when(~present & F.lit(not f.optional), _violation(name, "missing_field", F.lit(None).cast("variant")))
     if f.is_array:

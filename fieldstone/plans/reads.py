@@ -170,9 +170,9 @@ def date_range(spark, folder):
     return found.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate = TIMESTAMP '1997-05-28'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate = TIMESTAMP '1995-01-06'")
 def date_eq(spark, folder):
-    filters = [{"o_orderdate": {"eq": "1997-05-28T00:00:00Z"}}]
+    filters = [{"o_orderdate": {"eq": "1995-01-06T00:00:00Z"}}]
     return list_(open_warehouse(spark, folder), "Order", filters, select=[]).records
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldstone.catalog import Catalog, Field
-from fieldstone.operators.quality import check_json, ensure
+from fieldstone.catalog import Catalog
+from fieldstone.operators.quality import check_and_look, check_json, ensure
 
 PRESENT = "_present"
 
@@ -23,12 +23,14 @@ def read_records(
     explicit null stay apart. A reference may be given as an object and arrays as lists; both
     keep their nested shape, as deep as the data goes. Text that is no JSON object, unknown
     fields and values of a wrong type raise ``ConstraintError`` with all violations
-    (see ``record_violations``); without ``check`` such values read as null.
+    (see ``record_violations``); without ``check`` such values read as null. One job over the
+    texts finds the violations and what nested shape the records need.
     """
     raw = spark.read.text(source) if isinstance(source, str) else source.select("value")
+    found, objects = check_and_look(raw, catalog, model)
     if check:
-        ensure(record_violations(raw, catalog, model))
-    schema = record_schema(catalog, model, objects=_object_paths(raw, catalog, model))
+        ensure(found.where("rule != 'missing_field'"))
+    schema = record_schema(catalog, model, objects=objects)
     parsed = raw.select(F.from_json("value", schema).alias("r"), F.json_object_keys("value").alias(PRESENT))
     return parsed.select("r.*", PRESENT)
 
@@ -61,47 +63,6 @@ def record_schema(
     return T.StructType(fields)
 
 
-def _object_paths(raw: DataFrame, catalog: Catalog, model: str) -> set[str]:
-    """Paths of references that some record gives as an object with more than its key. One pass
-    finds one level; there are as many as the deepest record has, and no fixed limit."""
-    found: set[str] = set()
-    whole = F.array(F.try_parse_json("value"))
-    level = [("", catalog.model(model), whole)]
-    while True:
-        below = []
-        for path, m, objects in level:
-            for f in m.fields:
-                if f.ref_model is not None:
-                    below.append((f"{path}{f.name}", catalog.model(f.ref_model), _objects_at(objects, f)))
-        if not below:
-            return found
-        more = [F.max(F.exists(objects, _says_more(m.pk))) for _, m, objects in below]
-        row = raw.agg(*[c.alias(f"c{i}") for i, c in enumerate(more)]).first()
-        level = [(f"{path}.", m, objects) for i, (path, m, objects) in enumerate(below) if row[f"c{i}"]]
-        found |= {path[:-1] for path, _, _ in level}
-
-
-def _objects_at(objects: Column, f: Field) -> Column:
-    """All values of a reference field of the given objects."""
-    kind = "array<variant>" if f.is_array else "variant"
-
-    def values(x: Column) -> Column:
-        value = F.try_variant_get(x, f"$.{f.name}", kind)
-        return F.coalesce(value if f.is_array else F.array(value), F.array().cast("array<variant>"))
-
-    return F.filter(F.flatten(F.transform(objects, values)), lambda x: x.isNotNull())
-
-
-def _says_more(pk: str):
-    """Does an object have more than its key?"""
-
-    def more(x: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
-        return F.coalesce(F.size(F.array_except(keys, F.array(F.lit(pk)))) > 0, F.lit(False))
-
-    return more
-
-
 def to_response(df: DataFrame, aliases: Mapping[str, str] | None = None, name: str = "json") -> DataFrame:
     """One JSON text per row, fields renamed by ``aliases`` (field -> alias), dates in ISO form."""
     aliases = aliases or {}

@@ -4,6 +4,7 @@ import pytest
 
 from fieldstone.catalog import STRING, ArrayOf, Catalog, Field, Model, Ref
 from fieldstone.functions.secrets import hash_secret
+from fieldstone.operators import access
 from fieldstone.operators.access import (
     AuthorizationError,
     Rule,
@@ -73,7 +74,10 @@ def op(name, event, model, **more):
     return {"op_id": name, "event": event, "model": model, **more}
 
 
-def test_decisions(spark):
+@pytest.mark.parametrize("few", [access.BROADCAST_RULES, 0])
+def test_decisions(spark, monkeypatch, few):
+    """With few rules each role's lie in one map; beyond that operations meet them key by key."""
+    monkeypatch.setattr(access, "BROADCAST_RULES", few)
     me = {"role": "User", "user_id": "jo"}
     admin = {"role": "Admin", "user_id": "root"}
     got = decide(
@@ -243,3 +247,17 @@ def test_credentials(spark):
     )
     got = {r["attempt_id"]: r["verified"] for r in verify_credentials(attempts, _store(spark), "User").collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_a_role_of_many_rules(spark, monkeypatch):
+    """Rules of one role beyond any map: most are about predicates of their own and never asked for."""
+    monkeypatch.setattr(access, "BROADCAST_RULES", 1000)
+    wide = Catalog((Model("Wide", 1, (Field("id", STRING, 1, primary=True), *[Field(f"f{i}", STRING, i + 2) for i in range(300)]), user=True),))
+    rules = [Rule("allow" if i % 2 else "deny", ("READ", "UPDATE", "SET_ON_CREATE", "READ_ON_CREATE"), "Wide", f"f{i}", role="Wide") for i in range(300)]
+    rules += [Rule("allow", ("READ", "UPDATE"), "Wide", role="Wide")]
+    ops = spark.range(200).select(
+        F.col("id").cast("string").alias("op_id"), F.lit("Wide").alias("role"), F.lit("u").alias("user_id"), F.lit("READ").alias("event"),
+        F.lit("Wide").alias("model"), F.lit("x").alias("target_id"), F.array(F.format_string("f%d", "id")).alias("selected_fields"),
+    )
+    got = {int(r["op_id"]): r["allowed"] for r in authorize(ops, rules_frame(spark, rules), wide).collect()}
+    assert got == {i: i % 2 == 1 for i in range(200)}
