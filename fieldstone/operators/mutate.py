@@ -28,7 +28,9 @@ from fieldstone.operators.quality import dangling, ensure, enum_violations, requ
 from fieldstone.operators.query import Result, next_key, read_many
 from fieldstone.session import checkpointed, local_frame
 from fieldstone.sources.json_records import PRESENT
-from fieldstone.sources.store import Changes, LinkKey, Store, remove_folders
+from fieldstone.sources.files import Edit, Touch, folder_of
+from fieldstone.sources.history import remove_folders
+from fieldstone.sources.store import Changes, LinkKey, Store
 
 ORDER, KEY = "_ord", "_key"
 _CONTROL = {PRESENT, ORDER, KEY}
@@ -59,6 +61,9 @@ class _Work:
         self.changed: list[tuple[str, DataFrame, set[str]]] = []
         self.new_links: list[tuple[LinkKey, DataFrame, frozenset[str]]] = []
         self.violations: list[DataFrame] = []
+        self.edits: dict[str, list[Edit]] = {}
+        self.marks: list[DataFrame] = []
+        self.sequences: dict = {}
 
     def near(self, df: DataFrame) -> DataFrame:
         """A frame derived from the batch, as the side of a join."""
@@ -67,20 +72,57 @@ class _Work:
     def missing(self, rows: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
         return rows_without(rows, column, keys, self.small)
 
-    def set_table(self, model: str, df: DataFrame) -> None:
-        self.tables[model] = df
-        self.store = self.store.apply(Changes({model: df}))
+    def edit_table(self, model: str, apply: Callable[[DataFrame], DataFrame], *touches: Touch, adds: bool = False) -> None:
+        """Change a model's table: ``apply`` makes new rows of old ones, and only of those in ``touches``."""
+        df = self.tables[model] = apply(self.store.scan(model))
+        self._edited(model, Changes({model: df}), Edit(apply, touches, adds))
+
+    def edit_links(self, key: LinkKey, apply: Callable[[DataFrame], DataFrame], *touches: Touch, adds: bool = False) -> None:
+        df = self.links[key] = apply(self.store.links(*key))
+        self._edited(".".join(key), Changes(links={key: df}), Edit(apply, touches, adds))
+
+    def _edited(self, name: str, changes: Changes, edit: Edit) -> None:
+        self.edits.setdefault(name, []).append(edit)
+        changes.edits[name] = [edit]
+        self.store = self.store.apply(changes)
+
+    def mark(self, kind: str, model: str, field: str, df: DataFrame, column: Column) -> None:
+        """Note values that the operation changes or relies on, for writers that work at the same time."""
+        if self.store.path is not None:
+            rows = df.where(column.isNotNull())
+            self.marks.append(
+                rows.select(F.lit(f"{model}.{field}").alias("name"), column.cast("string").alias("value"), F.lit(kind).alias("kind"))
+            )
 
-    def set_links(self, key: LinkKey, df: DataFrame) -> None:
-        self.links[key] = df
-        self.store = self.store.apply(Changes(links={key: df}))
+    def mark_rows(self, kind: str, m: Model, rows: DataFrame, fields: set[str]) -> None:
+        """Note records that are there from now on, or have new values in the fields."""
+        self.mark(kind, m.name, m.pk, rows, F.col(f"`{m.pk}`"))
+        for f in m.stored:
+            if f.name in fields and f.is_unique and not f.primary:
+                self.mark("exists", m.name, f.name, rows, F.col(f"`{f.name}`"))
+            if f.name in fields and f.is_ref:
+                target = self.store.catalog.model(f.ref_model)
+                self.mark("read", target.name, target.pk, rows, F.col(f"`{f.name}`"))
+
+    def use_numbers(self, m: Model, f: Field, mark) -> None:
+        """Set the highest number ever used (or how to find it)."""
+        name = f"{m.name}.{f.name}"
+        self.sequences[name] = mark
+        self.store = self.store.apply(Changes(sequences={name: mark}))
 
     def add_links(self, key: LinkKey, links: DataFrame, unchecked: frozenset[str] = frozenset()) -> None:
         """Append links; ends in ``unchecked`` exist by construction."""
         schema = self.store.catalog.link_struct(*key)
         links = links.select(*[F.col(f.name).cast(f.dataType) for f in schema])
         self.new_links.append((key, links, unchecked))
-        self.set_links(key, self.store.links(*key).unionByName(links))
+        self.edit_links(key, lambda base: base.unionByName(links), adds=True)
+        model, f = self.store.catalog.model(key[0]), self.store.catalog.model(key[0]).field(key[1])
+        self.mark("adds", *key, links, F.col("source"))
+        if "source" not in unchecked:
+            self.mark("read", model.name, model.pk, links, F.col("source"))
+        if "target" not in unchecked and f.is_ref_array:
+            target = self.store.catalog.model(f.ref_model)
+            self.mark("read", target.name, target.pk, links, F.col("target"))
 
     def finish(self, check: bool, result=None) -> Changes:
         if check:
@@ -91,7 +133,7 @@ class _Work:
                 found += _link_violations(self, key, links, unchecked)
             if found:
                 ensure(reduce(DataFrame.unionByName, found))
-        return Changes(self.tables, self.links, result)
+        return Changes(self.tables, self.links, result, self.edits, self.marks, self.sequences)
 
 
 def _row_violations(work: _Work, model: str, rows: DataFrame, fields: set[str]) -> list[DataFrame]:
@@ -108,9 +150,7 @@ def _row_violations(work: _Work, model: str, rows: DataFrame, fields: set[str])
         column = F.col(f"`{f.name}`")
         if (f.primary and not f.uuid or f.is_unique) and (f.name in fields or f.has_default):
             values = rows.where(column.isNotNull()).select(column.alias("__value"))
-            same = store.scan(model, [f.name]).join(
-                work.near(values), column == F.col("__value"), "left_semi"
-            )
+            same = _same_values(work, model, f, values)
             twice = same.groupBy(f.name).agg(F.count("*").alias("__n")).where("__n > 1")
             rule = "primary_duplicate" if f.primary else "unique"
             found.append(violation_rows(twice, model, f.name, rule, F.lit(None), column))
@@ -125,6 +165,24 @@ def _row_violations(work: _Work, model: str, rows: DataFrame, fields: set[str])
     return found
 
 
+# Values of a batch that are looked for by their bloom filters, and as many as Spark sends to one.
+_PROBED, _AT_ONCE = 500, 10
+
+
+def _same_values(work: _Work, model: str, f: Field, values: DataFrame) -> DataFrame:
+    """Rows of the model whose field has one of the values. A few values go into the scan of a stored table as
+    literals, so that files and row groups whose ranges and bloom filters exclude them are not read."""
+    column = F.col(f"`{f.name}`")
+    rows = work.store.scan(model, [f.name])
+    if work.small and model in work.before.locations:
+        few = values.distinct().take(_PROBED + 1)
+        if len(few) <= _PROBED:
+            chunks = [few[i : i + _AT_ONCE] for i in range(0, len(few), _AT_ONCE)]
+            tests = [column.isin([r["__value"] for r in chunk]) for chunk in chunks]
+            return rows.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    return rows.join(work.near(values), column == F.col("__value"), "left_semi")
+
+
 def _link_violations(
     work: _Work, key: LinkKey, links: DataFrame, unchecked: frozenset[str]
 ) -> list[DataFrame]:
@@ -287,7 +345,8 @@ def _insert(work: _Work, m: Model, df: DataFrame) -> DataFrame:
             df = _insert_reference(work, m, f, df)
     rows = df.select(*[_stored_value(work.store, m, f, df).alias(f.name) for f in m.stored])
     work.changed.append((m.name, rows, {*supplied, *([m.pk] if m.pk in df.columns else [])}))
-    work.set_table(m.name, work.store.scan(m.name).unionByName(rows))
+    work.edit_table(m.name, lambda base: base.unionByName(rows), adds=True)
+    work.mark_rows("exists", m, rows, {f.name for f in m.stored})
     for f in m.arrays:
         if f.name in df.columns:
             items = df.select(
@@ -345,23 +404,31 @@ def _secret_violations(m: Model, f: Field, df: DataFrame) -> DataFrame:
 
 
 def _number(work: _Work, m: Model, f: Field, df: DataFrame) -> DataFrame:
-    """Give records without a number the next ones after the maximum."""
+    """Give records without a number the next ones after the highest ever used."""
 
     def numbered(rows: DataFrame) -> DataFrame:
         if ORDER in rows.columns:
             return number_rows(rows, [F.col(ORDER).asc()], "__no", ties=True)
         return dense_ids(rows, "__no")
 
-    if f.name in df.columns and df.where(F.col(f"`{f.name}`").isNull()).isEmpty():
+    before = work.store
+    given = df.where(F.col(f"`{f.name}`").isNotNull()) if f.name in df.columns else None
+    if given is not None and df.where(F.col(f"`{f.name}`").isNull()).isEmpty():
+        work.use_numbers(m, f, lambda: max(before.sequence(m.name, f.name), _highest(df, f.name)))
         return df
-    first = next_key(work.store.scan(m.name, [f.name]), f.name).first()["next_key"]
-    if f.name not in df.columns:
-        return numbered(df).withColumn(f.name, F.col("__no") + F.lit(first - 1)).drop("__no")
-    given = df.where(F.col(f"`{f.name}`").isNotNull())
-    first = max(first, next_key(given, f.name).first()["next_key"])
-    filled = numbered(df.where(F.col(f"`{f.name}`").isNull()))
-    filled = filled.withColumn(f.name, F.col("__no") + F.lit(first - 1)).drop("__no")
-    return given.unionByName(filled)
+    last = before.sequence(m.name, f.name)
+    if given is not None:
+        last = max(last, _highest(given, f.name))
+        new = numbered(df.where(F.col(f"`{f.name}`").isNull()))
+    else:
+        new = numbered(df)
+    work.use_numbers(m, f, lambda: last + new.count())
+    new = new.withColumn(f.name, F.col("__no") + F.lit(last)).drop("__no")
+    return new if given is None else given.unionByName(new)
+
+
+def _highest(df: DataFrame, name: str) -> int:
+    return next_key(df, name).first()["next_key"] - 1
 
 
 def _insert_reference(work: _Work, m: Model, f: Field, df: DataFrame) -> DataFrame:
@@ -481,22 +548,33 @@ def _patch(work: _Work, m: Model, df: DataFrame) -> DataFrame:
         return F.when(new.isNotNull(), new["v"]).otherwise(F.col(f"`{f.name}`")).alias(f.name)
 
     changed = {f.name for f in fields}
-    joined = base.join(work.near(folded), F.col(m.pk) == F.col("__key"), "left")
-    patched = joined.select(*[after(f) if f.name in changed else F.col(f"`{f.name}`") for f in m.stored])
-    work.set_table(m.name, patched)
-    rows = base.join(work.near(folded), F.col(m.pk) == F.col("__key")).select(
-        *[after(f) if f.name in changed else F.col(f"`{f.name}`") for f in m.stored]
-    )
+    columns = [after(f) if f.name in changed else F.col(f"`{f.name}`") for f in m.stored]
+    match = F.col(f"`{m.pk}`") == F.col("__key")
+    keys = work.near(folded.select("__key"))
+    work.edit_table(m.name, lambda rows: rows.join(work.near(folded), match, "left").select(*columns), Touch((m.pk,), keys))
+    rows = base.join(work.near(folded), match).select(*columns)
     work.changed.append((m.name, rows, changed))
+    work.mark_rows("value", m, rows, changed - {m.pk})
+    for f in fields:
+        if f.auto_increment:
+            _keep_above(work, m, f)
     if moves_key:
         moved = F.col(f"`__new.{m.pk}`")
         mapping = folded.where(moved.isNotNull() & (moved["v"] != F.col("__key"))).select(
             F.col("__key").alias("__old"), moved["v"].alias("__to")
         )
+        for column in ("__old", "__to"):
+            work.mark("exists", m.name, m.pk, mapping, F.col(column))
         _move_keys(work, m, mapping)
     return rows.select(m.pk)
 
 
+def _keep_above(work: _Work, m: Model, f: Field) -> None:
+    """Numbers given by hand may lie above those handed out."""
+    before, after = work.before, work.store
+    work.use_numbers(m, f, lambda: max(before.sequence(m.name, f.name), _highest(after.scan(m.name, [f.name]), f.name)))
+
+
 def _patched(df: DataFrame, name: str) -> Column:
     flag = f"__set.{name}"
     return F.col(f"`{flag}`") if flag in df.columns else _present(df, name)
@@ -543,9 +621,9 @@ def _replace_items(work: _Work, m: Model, f: Field, df: DataFrame) -> None:
         F.max_by(F.col(f"`{f.name}`"), F.when(_present(df, f.name), F.col(ORDER))).alias("__items")
     )
     last = last.where(F.col("__items").isNotNull())
-    links = work.store.links(m.name, f.name)
-    kept = links.join(work.near(last.select("__key")), F.col("source") == F.col("__key"), "left_anti")
-    work.set_links((m.name, f.name), kept)
+    key, given = (m.name, f.name), work.near(last.select("__key"))
+    work.edit_links(key, lambda links: links.join(given, F.col("source") == F.col("__key"), "left_anti"), Touch(("source",), given))
+    work.mark("value", *key, last, F.col("__key"))
     added = last.select(F.col("__key").alias("source"), F.explode("__items").alias("target"))
     # The source is the patched record itself, whose absence is reported as such.
     work.add_links((m.name, f.name), added, frozenset({"source"}))
@@ -554,17 +632,19 @@ def _replace_items(work: _Work, m: Model, f: Field, df: DataFrame) -> None:
 def _move_keys(work: _Work, m: Model, mapping: DataFrame) -> None:
     """Carry changed primary keys (``__old``, ``__to``) into references and links."""
     catalog = work.store.catalog
+    old = work.near(mapping.select("__old"))
     for other, f in catalog.referrers(m.name):
-        table = work.store.scan(other.name)
-        work.set_table(other.name, _remapped(table, f.name, work.near(mapping)))
+        work.edit_table(other.name, _remapped(f.name, work.near(mapping)), Touch((f.name,), old))
     for other, f, end in catalog.links_touching(m.name):
-        key = (other.name, f.name)
-        work.set_links(key, _remapped(work.store.links(*key), end, work.near(mapping)))
+        work.edit_links((other.name, f.name), _remapped(end, work.near(mapping)), Touch((end,), old))
+
 
+def _remapped(column: str, mapping: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def apply(df: DataFrame) -> DataFrame:
+        joined = df.join(mapping, F.col(f"`{column}`") == F.col("__old"), "left")
+        return joined.withColumn(column, F.coalesce(F.col("__to"), F.col(f"`{column}`"))).select(*df.columns)
 
-def _remapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    joined = df.join(mapping, F.col(f"`{column}`") == F.col("__old"), "left")
-    return joined.withColumn(column, F.coalesce(F.col("__to"), F.col(f"`{column}`"))).select(*df.columns)
+    return apply
 
 
 # -- delete ------------------------------------------------------------------
@@ -613,21 +693,34 @@ def _delete(store: Store, model: str, keys: DataFrame, select, cascade: bool, ch
 def _remove(work: _Work, m: Model, keys: DataFrame) -> None:
     catalog = work.store.catalog
     keys = work.near(keys)
-    base = work.store.scan(m.name)
-    work.set_table(m.name, base.join(keys, F.col(m.pk) == F.col("__key"), "left_anti"))
+    before = work.before
+    for f in m.stored:
+        if f.auto_increment and f"{m.name}.{f.name}" not in before.sequences:
+            # The deleted numbers stay used.
+            work.use_numbers(m, f, lambda name=f.name: before.sequence(m.name, name))
+    work.mark("exists", m.name, m.pk, keys, F.col("__key"))
+    work.edit_table(m.name, _without_keys(m.pk, keys), Touch((m.pk,), keys))
     for other, f in catalog.referrers(m.name):
-        table = work.store.scan(other.name)
         column = F.col(f"`{f.name}`")
         if f.optional:
-            marked = table.join(keys, column == F.col("__key"), "left")
-            nulled = marked.withColumn(f.name, F.when(F.col("__key").isNull(), column))
-            work.set_table(other.name, nulled.select(*table.columns))
+            work.edit_table(other.name, _nulled(f.name, keys), Touch((f.name,), keys))
         else:
-            held = table.join(keys, column == F.col("__key"), "left_semi")
+            held = work.store.scan(other.name).join(keys, column == F.col("__key"), "left_semi")
             work.violations.append(violation_rows(held, other.name, f.name, "still_referenced", F.col(f"`{other.pk}`"), column))
     for other, f, end in catalog.links_touching(m.name):
-        key = (other.name, f.name)
-        work.set_links(key, work.store.links(*key).join(keys, F.col(end) == F.col("__key"), "left_anti"))
+        work.edit_links((other.name, f.name), _without_keys(end, keys), Touch((end,), keys))
+
+
+def _without_keys(column: str, keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.join(keys, F.col(f"`{column}`") == F.col("__key"), "left_anti")
+
+
+def _nulled(column: str, keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def apply(df: DataFrame) -> DataFrame:
+        marked = df.join(keys, F.col(f"`{column}`") == F.col("__key"), "left")
+        return marked.withColumn(column, F.when(F.col("__key").isNull(), F.col(f"`{column}`"))).select(*df.columns)
+
+    return apply
 
 
 # -- arrays ------------------------------------------------------------------
@@ -673,11 +766,21 @@ def remove_many_from(store: Store, model: str, field: str, pairs: DataFrame, sel
     f = store.catalog.model(model).field(field)
     pairs = written_side(pairs.select("source", "target"))
     gone = pairs.select(F.col("source").alias("__source"), F.col("target").alias("__target")).distinct()
-    links = store.links(model, field)
-    kept = links.join(
-        gone, (F.col("source") == F.col("__source")) & (F.col("target") == F.col("__target")), "left_anti"
+    same = (F.col("source") == F.col("__source")) & (F.col("target") == F.col("__target"))
+    key, name = (model, field), f"{model}.{field}"
+
+    def apply(links: DataFrame) -> DataFrame:
+        return links.join(gone, same, "left_anti")
+
+    marks = pairs.where(F.col("source").isNotNull()).select(
+        F.lit(name).alias("name"), F.col("source").cast("string").alias("value"), F.lit("value").alias("kind")
+    )
+    return Changes(
+        links={key: apply(store.links(*key))},
+        result=_elements(store, f, pairs, select),
+        edits={name: [Edit(apply, (Touch(("source", "target"), gone),))]},
+        footprint=[marks],
     )
-    return Changes(links={(model, field): kept}, result=_elements(store, f, pairs, select))
 
 
 def _elements(store: Store, f: Field, links: DataFrame, select) -> Result:
@@ -696,8 +799,9 @@ def run_group(store: Store, operations: Iterable[Callable[[Store], Changes]]) ->
     An operation that fails raises, and the given store is as before. With a
     stored store, what an operation changed is written before the next one runs,
     so that it is not worked out again; it stays invisible until the returned
-    store is published, and goes if an operation fails. Publishing fails if
-    another writer has published a version in the meantime.
+    store is published, and goes if an operation fails. If another writer has
+    published a version in the meantime, publishing fails, or with ``rebase`` puts
+    the group on top of it.
     """
     results = []
     before = set(store.locations.values())
@@ -709,6 +813,6 @@ def run_group(store: Store, operations: Iterable[Callable[[Store], Changes]]) ->
                 store = store.settle()
             results.append(changes.result)
     except Exception:
-        remove_folders(store.spark, set(store.locations.values()) - before)
+        remove_folders(store.spark, {folder_of(x) for x in set(store.locations.values()) - before})
         raise
     return store, results

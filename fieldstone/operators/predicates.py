@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstone.catalog import BOOL, DATE, FILE, FLOAT, INT, STRING, Enumeration, FieldType, Model
+from fieldstone.sources.derived import element_counts
 from fieldstone.sources.store import Store
 
 _TREE_KEYS = {"predicate", "and", "or", "negated"}
@@ -171,6 +172,9 @@ class _Joined:
 
 def array_length(store: Store, model: str, field: str) -> DataFrame:
     """Elements per parent (``source``, ``length``); parents without elements are absent."""
+    known = element_counts(store, model, field)
+    if known is not None:
+        return known
     return store.links(model, field).groupBy("source").agg(F.count("*").alias("length"))
 
 

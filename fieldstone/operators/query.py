@@ -19,6 +19,7 @@ from fieldstone.functions.numbering import GLOBAL_LIMIT_ROWS, number_rows, ranke
 from fieldstone.functions.registry import apply_read_hooks
 from fieldstone.operators.predicates import filter_model, filter_values
 from fieldstone.session import checkpointed
+from fieldstone.sources.derived import ordered_page
 from fieldstone.sources.store import Store
 
 SOURCE, POSITION, VALUE, PART = "_source", "_pos", "value", "_part"
@@ -190,7 +191,8 @@ class _PendingList:
     parent_key: str
     # Paths of struct fields that exist for this list alone.
     hidden: tuple[str, ...]
-    build: Callable[[Callable[[DataFrame], DataFrame] | None], Result]
+    # Given what restricts the links: a function of them, the key of the one parent, or nothing.
+    build: Callable[[Callable[[DataFrame], DataFrame] | Column | None], Result]
 
 
 def project(
@@ -279,10 +281,10 @@ def _among(records: DataFrame, base: DataFrame | None = None, key: str | None =
 
 def _pending_list(store: Store, model: Model, f: Field, pick: _Pick, key: str) -> _PendingList:
     def build(limit) -> Result:
-        links = store.links(model.name, f.name).select(
-            F.col("source").alias(SOURCE), F.col("target").alias("_target")
-        )
-        if limit is not None:
+        one = isinstance(limit, Column)
+        links = store.links_of(model.name, f.name, limit) if one else store.links(model.name, f.name)
+        links = links.select(F.col("source").alias(SOURCE), F.col("target").alias("_target"))
+        if limit is not None and not one:
             links = limit(links)
         if f.is_ref_array:
             return _reference_list(store, f, links, pick)
@@ -356,17 +358,19 @@ def _value_list(f: Field, links: DataFrame, pick: _Pick) -> Result:
 
 
 def read(store: Store, model: str, pk, select=None) -> Result:
-    """The record whose primary key is ``pk``; raises ``RecordNotFound`` when there is none."""
+    """The record whose primary key is ``pk``; raises ``RecordNotFound`` when there is none.
+
+    Of a stored table, and of the lists of the record, only files that may hold the key are opened.
+    """
     m = store.catalog.model(model)
     key = F.lit(pk).cast(store.catalog.value_type(m.primary.type))
-    records, pending, raw = project(store, m, store.scan(model).where(F.col(m.pk) == key), select)
-    if store.scan(model, [m.pk]).where(F.col(m.pk) == key).isEmpty():
+    found = store.lookup(model, key)
+    if found.select(m.pk).isEmpty():
         raise RecordNotFound(f"{model} of key {pk!r} does not exist")
+    records, pending, raw = project(store, m, found, select)
 
     def restrict(parent_key: str):
-        if parent_key == raw:
-            return lambda links: links.where(F.col(SOURCE) == key)
-        return _among(records)(parent_key)
+        return key if parent_key == raw else _among(records)(parent_key)
 
     return _attach(records, m.pk, pending, restrict)
 
@@ -380,6 +384,16 @@ def read_many(store: Store, model: str, keys: DataFrame, select=None) -> Result:
     return _attach(records, m.pk, pending, _among(records, base.select(m.pk), raw))
 
 
+def populated(store: Store, model: str, rows: DataFrame, select=None) -> Result:
+    """Given records of the model (its stored columns) with the selected fields looked up in the store.
+
+    A record that is given more than once stays so; its lists belong to its key and come once.
+    """
+    m = store.catalog.model(model)
+    records, pending, raw = project(store, m, rows, select)
+    return _attach(records, m.pk, pending, _among(records, rows.select(m.pk), raw))
+
+
 def list_(
     store: Store,
     model: str,
@@ -398,20 +412,27 @@ def list_(
     options = {"from_": from_, "to": to, "order_by": order_by}
     order = _order(options)
     offset, limit = _range(options)
+    ranged = offset > 0 or limit is not None
     base = filter_model(store, model, store.scan(model), filter)
     sort, carry = [], []
-    if order is not None:
+    known = None
+    if ranged and not filter and order is not None and order[0] is not None and order[1] != "SHUFFLED":
+        if not m.field(order[0]).secret_credential:
+            known = ordered_page(store, model, m.field(order[0]).name, order[1], offset, limit)
+    if known is not None:
+        base, sort, carry = _kept_page(store, m, known, limit)
+    elif order is not None:
         name, direction = order
         if name is not None and m.field(name).secret_credential:
             raise DefinitionError(f"`{model}.{name}` is secret")
         by = F.rand() if direction == "SHUFFLED" else F.col(m.field(name).name if name else m.pk)
         base, carry = base.withColumn("__by", by), ["__by"]
         sort = [_DIRECTIONS[direction](F.col("__by"))]
-    sort.append(F.col(m.pk).asc())
-    ranged = offset > 0 or limit is not None
-    if ranged:
+    if known is None:
+        sort.append(F.col(m.pk).asc())
+    if ranged and known is None:
         base, sort, carry = _page(base, m.pk, sort, offset, limit, order is not None and order[1] == "SHUFFLED")
-    elif order is not None:
+    elif order is not None and known is None:
         base, carry = base.withColumn("__tie", F.col(m.pk)), [*carry, "__tie"]
         sort[-1] = F.col("__tie").asc()
     records, pending, raw = project(store, m, base, select, carry)
@@ -428,6 +449,21 @@ def list_(
     return result
 
 
+# Records of a page up to which the files that hold them are looked up first.
+_PAGE_KEYS = 1_000
+
+
+def _kept_page(store: Store, m: Model, known: DataFrame, limit: int | None) -> tuple[DataFrame, list[Column], list[str]]:
+    """The records of a page whose keys and places (``key``, ``row``) a kept order has given."""
+    rows = known.select(F.col("key").alias("__key"), F.col("row").alias("__row"))
+    if limit is not None and limit <= _PAGE_KEYS:
+        rows = F.broadcast(checkpointed(rows))
+        base = store.holding(m.name, rows.select("__key"))
+    else:
+        base = store.scan(m.name)
+    return base.join(rows, F.col(m.pk) == F.col("__key")).drop("__key"), [F.col("__row").asc()], ["__row"]
+
+
 def _page(
     df: DataFrame, pk: str, sort: list[Column], offset: int, limit: int | None, drawn: bool
 ) -> tuple[DataFrame, list[Column], list[str]]:

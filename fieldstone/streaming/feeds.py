@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from fieldstone.catalog import Catalog
 from fieldstone.operators.predicates import filter_model
-from fieldstone.operators.query import project
-from fieldstone.session import tune
+from fieldstone.operators.query import Result, populated, project
+from fieldstone.session import checkpointed, tune
+from fieldstone.sources.files import files_apart, frame_of
 from fieldstone.sources.store import Store
 
 NEW, CHANGE, REMOVE = "NEW", "CHANGE", "REMOVE"
@@ -37,6 +40,28 @@ def _selected(sdf: DataFrame, store: Store, model: str, select) -> DataFrame:
     return records.drop("__raw")
 
 
+def subscribe(
+    sdf: DataFrame, path: str, model: str, deliver: Callable[[Result, int], None], filter=None, select=None, pk=None
+) -> DataStreamWriter:
+    """A stream of records that are looked up anew in every micro-batch.
+
+    Each batch opens the newest version of the store at ``path``, fills to-one and to-many fields from it and
+    gives the result to ``deliver`` with the batch's number, so a change of a referenced record shows in the next
+    batch. ``filter`` and ``pk`` choose among the arriving records. The batch is written once, since several
+    frames of the result read it. Start the returned writer, with a checkpoint location of its own.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        store = Store.open(rows.sparkSession, path)
+        m = store.catalog.model(model)
+        arrived = filter_model(store, model, checkpointed(rows), filter)
+        if pk is not None:
+            arrived = arrived.where(F.col(m.pk) == F.lit(pk).cast(store.catalog.value_type(m.primary.type)))
+        deliver(populated(store, model, arrived, select), number)
+
+    return sdf.writeStream.foreachBatch(batch)
+
+
 def change_feed(prev: DataFrame, curr: DataFrame, catalog: Catalog, model: str) -> DataFrame:
     """What happened between two snapshots: key, ``event``, ``before`` and ``after``."""
     m = catalog.model(model)
@@ -56,6 +81,32 @@ def change_feed(prev: DataFrame, curr: DataFrame, catalog: Catalog, model: str)
     return joined.select(key, event.alias("event"), "before", "after").where(F.col("event").isNotNull())
 
 
+def version_feed(spark: SparkSession, path: str, model: str, since: int, until: int | None = None) -> DataFrame:
+    """What happened to a model's records between two published versions, as ``change_feed`` tells it.
+
+    The manifests of both are compared first. A record in a file that both refer to is the same in both, so
+    only the files of one side are read and joined.
+    """
+    old, new = (Store.open(spark, path, version=v) for v in (since, until))
+    kept = old.catalog.by_index(new.catalog.model(model).index)
+    fields = new.catalog.model(model).stored
+    if kept is None:
+        prev = new.scan(model).where(F.lit(False))
+        return change_feed(prev, new.scan(model), new.catalog, model)
+    before, after = old.locations[kept.name], new.locations[model]
+    gone, fresh = files_apart(spark, before, after)
+    prev, curr = frame_of(spark, before, gone), frame_of(spark, after, fresh)
+    # A field is the one of the same index, whatever it was called; a new one was null.
+    was = {f.name: kept.by_index(f.index) for f in fields}
+    columns = [
+        (F.col(f"`{was[f.name].name}`") if was[f.name] is not None and not was[f.name].is_array else F.lit(None))
+        .cast(curr.schema[f.name].dataType)
+        .alias(f.name)
+        for f in fields
+    ]
+    return change_feed(prev.select(*columns), curr, new.catalog, model)
+
+
 def stream_changes(sdf: DataFrame, catalog: Catalog, model: str, tombstone_ms: int | None = None) -> DataFrame:
     """The same events from a stream of upserts and deletes.
 
