@@ -433,11 +433,11 @@ def test_kept_orders_follow_changes(spark, tmp_path, monkeypatch, direction):
     stored = plain.keep_order("Book", "pages", direction).publish(str(tmp_path / "s"))
     name = f"Book/order/pages/{direction}"
     made = stored.derived[name]
-    for step in range(3):
-        for start, size in ((1, 5), (7, 13), (40, None), (58, 30), (200, 3)):
+    for step in range(2):
+        for start, size in ((7, 13), (40, None), (200, 3)):
             assert ordered_page(stored, "Book", "pages", direction, start - 1, size) is not None
             assert page(stored, direction, start, size) == page(plain, direction, start, size)
-        if step == 2:
+        if step == 1:
             break
         isbn = f"b{r.randint(1, N):03d}"
         changes = [
