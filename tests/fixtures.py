@@ -28,21 +28,21 @@ COUNTRIES = Catalog(
 
 def countries(spark) -> Store:
     country = [
-        ("SY", "Syria", 6000, 10.0),
-        ("US", "America", 100000, 999999.0),
-        ("JO", "Jordan", 5505, 12343.0),
-        ("SE", "Sweden", 20, 300.0),
+        ("KE", "Kenya", 5400, 113.0),
+        ("PE", "Peru", 33000, 268.5),
+        ("FJ", "Fiji", 930, 5.4),
+        ("IS", "Iceland", 38, 31.0),
     ]
     return Store(
         spark,
         COUNTRIES,
         {
             "Country": spark.createDataFrame(country, COUNTRIES.struct("Country")),
-            "Citizen": spark.createDataFrame([("John", None), ("Ali", None)], COUNTRIES.struct("Citizen")),
+            "Citizen": spark.createDataFrame([("Nuria", None), ("Bela", None)], COUNTRIES.struct("Citizen")),
         },
         {
             ("Country", "citizens"): spark.createDataFrame(
-                [("US", "John"), ("SY", "Ali")], COUNTRIES.link_struct("Country", "citizens")
+                [("PE", "Nuria"), ("KE", "Bela")], COUNTRIES.link_struct("Country", "citizens")
             )
         },
     )

@@ -79,16 +79,16 @@ def test_bad_records_are_refused(spark, text, field, rule):
 
 def test_mixed_and_unequal_items(spark):
     store = Store(spark, COUNTRIES, countries(spark).tables, countries(spark).link_tables)
-    after = store.apply(create(store, "Country", {"code": "X", "name": "X", "citizens": ["John", {"name": "Ann", "home": "US"}]}))
-    assert rows(after.links("Country", "citizens").where("source = 'X'")) == [("X", "Ann"), ("X", "John")]
-    people = [{"name": "A1", "home": {"code": "US"}}, {"name": "A2", "home": {"code": "Y", "name": "Why"}}, "Ali"]
+    after = store.apply(create(store, "Country", {"code": "X", "name": "X", "citizens": ["Nuria", {"name": "Ann", "home": "PE"}]}))
+    assert rows(after.links("Country", "citizens").where("source = 'X'")) == [("X", "Ann"), ("X", "Nuria")]
+    people = [{"name": "A1", "home": {"code": "PE"}}, {"name": "A2", "home": {"code": "Y", "name": "Why"}}, "Bela"]
     after = store.apply(create(store, "Country", {"code": "Z", "name": "Z", "citizens": people}))
     assert ("Y", "Why") in rows(after.scan("Country", ["code", "name"]))
-    assert {("A1", "US"), ("A2", "Y"), ("Ali", None)} <= set(rows(after.scan("Citizen")))
-    changed = store.apply(update(store, "Country", "US", {"citizens": ["Ali", {"name": "John", "home": "SE"}]}))
-    assert {t for s, t in rows(changed.links("Country", "citizens")) if s == "US"} == {"John"}
-    assert ("John", "SE") in rows(changed.scan("Citizen"))
-    pushed = store.apply(push_to(store, "Country", "citizens", "US", {"name": "Deep", "home": {"code": "Q", "name": "Q"}}))
+    assert {("A1", "PE"), ("A2", "Y"), ("Bela", None)} <= set(rows(after.scan("Citizen")))
+    changed = store.apply(update(store, "Country", "PE", {"citizens": ["Bela", {"name": "Nuria", "home": "IS"}]}))
+    assert {t for s, t in rows(changed.links("Country", "citizens")) if s == "PE"} == {"Nuria"}
+    assert ("Nuria", "IS") in rows(changed.scan("Citizen"))
+    pushed = store.apply(push_to(store, "Country", "citizens", "PE", {"name": "Deep", "home": {"code": "Q", "name": "Q"}}))
     assert ("Deep", "Q") in rows(pushed.scan("Citizen")) and ("Q", "Q") in rows(pushed.scan("Country", ["code", "name"]))
 
 
@@ -162,15 +162,15 @@ def test_unchanged_tables_stay_where_they_are(spark, tmp_path):
 def test_a_rule_about_pushing_sees_the_item(spark):
     store = countries(spark)
     ops = spark.createDataFrame(
-        [(1, "PUSH_TO", '{"name":"Ann","home":{"code":"US"}}'), (2, "PUSH_TO", '{"name":"Bob","home":"SY"}'), (3, "REMOVE_FROM", "Ann"),
+        [(1, "PUSH_TO", '{"name":"Ann","home":{"code":"PE"}}'), (2, "PUSH_TO", '{"name":"Bob","home":"KE"}'), (3, "REMOVE_FROM", "Ann"),
          (4, "REMOVE_FROM", "Bob"), (5, "PUSH_TO", '{"name":"Ann"}')],
         "op_id int, event string, arg string",
-    ).withColumns({"model": F.lit("Country"), "field": F.lit("citizens"), "target_id": F.lit("US"), "role": F.lit(None).cast("string")})
+    ).withColumns({"model": F.lit("Country"), "field": F.lit("citizens"), "target_id": F.lit("PE"), "role": F.lit(None).cast("string")})
     rules = [
         Rule("allow", ("PUSH_TO",), "Country", "citizens", predicate="here"),
         Rule("allow", ("REMOVE_FROM",), "Country", "citizens", predicate="ann"),
     ]
-    predicates = {"here": lambda user, item: item["home"] == "US", "ann": lambda user, item: item["name"] == "Ann"}
+    predicates = {"here": lambda user, item: item["home"] == "PE", "ann": lambda user, item: item["name"] == "Ann"}
     got = authorize(ops, rules_frame(spark, rules), COUNTRIES, store, predicates)
     assert {r.op_id: r.allowed for r in got.collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
 
@@ -180,8 +180,8 @@ def test_only_keys_are_numbered(spark, monkeypatch):
     monkeypatch.setattr(query_module, "GLOBAL_LIMIT_ROWS", 1)
     session._SCRATCH.clear()
     found = list_(countries(spark), "Country", order_by="population", from_=2, select=["name", {"citizens": ["name"]}])
-    assert [r.code for r in found.records.select("code").collect()] == ["JO", "SY", "US"]
-    assert rows(found.lists["citizens"].records.select("name")) == [("Ali",), ("John",)]
+    assert [r.code for r in found.records.select("code").collect()] == ["FJ", "KE", "PE"]
+    assert rows(found.lists["citizens"].records.select("name")) == [("Bela",), ("Nuria",)]
     columns = [spark.read.parquet(p).columns for p in session._SCRATCH]
     assert columns[0][:2] == ["code", "__by"] and not any("name" in c for c in columns)
 
