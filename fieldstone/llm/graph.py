@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstone.llm.text import written
+from fieldstone.llm.text import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         large = _star(edges.union(edges.select("v", "u")), F.col("w") > F.col("u"))
-        edges = written(_star(large, F.lit(True)), "links")  # large-star leaves u > v: the small star's input
+        before, edges = edges, written(_star(large, F.lit(True)), "links")  # large-star leaves u > v: the small star's input
+        dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from fieldstone.llm.graph import components
 from fieldstone.llm.hashing import shingle_sets
-from fieldstone.llm.text import per_text, slices, written
+from fieldstone.llm.text import dropped, per_text, slices, written
 
 FRAGMENTS = 8
 CELLS = 1 << 22  # cells of the table that tells frequent shingles from others: four megabytes
+MARKS = 1 << 25  # bits of a table that tells rows of some nodes from others: four megabytes
 _FLUSH = 3_000_000
 
 
@@ -126,48 +127,97 @@ def prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text_
     return source.mapInArrow(run, "token long, node long, n int")
 
 
-def _cell(node: F.Column) -> F.Column:
-    return node.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+def marks_of(rows: DataFrame, column: F.Column) -> np.ndarray:
+    """A table of MARKS bits, set where a value of the column falls; four megabytes whatever the rows."""
+    cell = column.bitwiseAND(F.lit(MARKS - 1))
+    bits = rows.select(F.shiftright(cell, 6).cast("int").alias("w"), cell.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    found = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
+    out = np.zeros(MARKS >> 6, np.uint64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def fragments(docs: DataFrame, nodes: DataFrame, size: int, text_column: str) -> DataFrame:
-    """``node, fragment, part``: the sets of the given nodes, cut at fixed places of the global order.
+def is_marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    cell = values & (MARKS - 1)
+    return (marks[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
 
-    A table of CELLS marks leaves most other sets out before they are shuffled; the join is exact.
+
+def fragment_of(levels: np.ndarray, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The fragment of each shingle: the global order (level, then value) is cut where the cells of the
+    table of levels divide into FRAGMENTS equal parts."""
+    level = levels[shingles >> np.uint64(42)]
+    place = starts[level] + (starts[level.astype(np.int64) + 1] - starts[level]) * (shingles / 2.0**64)
+    return np.minimum(place * FRAGMENTS / CELLS, FRAGMENTS - 1).astype(np.int32)
+
+
+def fragments(docs: DataFrame, chosen: DataFrame, levels: np.ndarray, size: int, id_column: str, text_column: str) -> DataFrame:
+    """``node, fragment, part``: the sets of the nodes in ``chosen`` (node, key), cut along the global order.
+
+    A set is taken from the rows whose id hashes to ``key``, so copies don't repeat it. A table of marks tells
+    those rows; a row let through by chance adds a node that no pair names, or repeats one that is named.
     """
-    wanted = docs.select(F.col(f"`{text_column}`").alias("t")).where(F.col("t").isNotNull())
-    marks = np.zeros(CELLS, bool)
-    marks[nodes.select(_cell(F.col("node")).alias("c")).distinct().toArrow()["c"].to_numpy()] = True  # CELLS rows at most
-    marked = docs.sparkSession.sparkContext.broadcast(marks)
-    none = np.zeros(0, np.int64)
+    spark = docs.sparkSession
+    marks = marks_of(chosen, F.col("node").bitwiseXOR(F.col("key")))
+    shared = spark.sparkContext.broadcast((marks, levels))
+    source = docs.select(F.xxhash64(f"`{id_column}`").alias("key"), F.col(f"`{text_column}`").cast("binary").alias("t"))
 
-    def run(texts: list[bytes]) -> list[pa.Array]:
-        sets = shingle_sets(texts, size)
-        own = np.array([node_of(s) for s in sets], np.int64)
-        near = marked.value[own & (CELLS - 1)]
-        return [pa.array(own), _lists([_signed(s) if keep else none for s, keep in zip(sets, near, strict=True)])]
-
-    sets = per_text(wanted.withColumn("i", F.lit(0)), "i", "t", run, "node long, members array<long>").drop("i")
-    sets = sets.where(F.size("members") > 0).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    shift = 64 - FRAGMENTS.bit_length() + 1
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)),
-        lambda f: F.struct(f.alias("fragment"), F.filter("members", lambda x: F.shiftrightunsigned(x, shift) == f).alias("part")),
-    )
-    return sets.select("node", F.inline(cut)).where(F.size("part") > 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, levels = shared.value
+        starts = np.concatenate([[0], np.cumsum(np.bincount(levels, minlength=256))]).astype(float)
+        seen: set[int] = set()
+        for part in (p for batch in batches for p in slices(batch, batch.column(1))):
+            sets = shingle_sets(part.column(1).to_pylist(), size)
+            own = np.array([node_of(s) for s in sets], np.int64)
+            near = is_marked(marks, own ^ part.column(0).to_numpy())
+            nodes, places, rows = [], [], []
+            for s, node, keep in zip(sets, own.tolist(), near.tolist(), strict=True):
+                if keep and len(s) and node not in seen:
+                    seen.add(node)
+                    of = fragment_of(levels, s, starts)
+                    order = np.argsort(of, kind="stable")
+                    found, first = np.unique(of[order], return_index=True)
+                    rows += np.split(_signed(s)[order], first[1:])
+                    places += found.tolist()
+                    nodes += [node] * len(found)
+            if nodes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), _lists(rows)], names=["node", "fragment", "part"]
+                )
+
+    return source.where(F.col("t").isNotNull()).mapInArrow(run, "node long, fragment int, part array<long>")
+
+
+def _among(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Parts whose node is marked for the given ones: what the join would drop mostly stays out of its shuffle."""
+    marked = parts.sparkSession.sparkContext.broadcast(marks_of(nodes, F.col("node")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(marked.value, batch.column(0).to_numpy())))
+
+    return parts.mapInArrow(run, parts.schema)
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, na, b, nb`` whose sets reach the threshold: overlaps counted per fragment, summed per pair."""
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
+    """The pairs ``a, na, b, nb`` whose sets reach the threshold: overlaps counted per fragment, summed per
+    pair. The set of ``a`` travels to ``b``, fragment by fragment, once for each of its pairs."""
+    left = _among(parts, pairs.select(F.col("a").alias("node"))).toDF("a", "fragment", "pa")
+    right = _among(parts, pairs.select(F.col("b").alias("node"))).toDF("b", "fragment", "pb")
     counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "fragment"]).select(
-        "a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("common")
+        "a", "na", "b", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).alias("common")
     )
-    whole = counted.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+    each = counted.groupBy("b", "fragment", "a", "na", "nb").agg(F.max("common").alias("common"))  # repeated rows repeat a part
+    whole = each.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     return whole.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def possible(percent: int) -> F.Column:
+    """Whether sets of ``na`` and ``nb`` shingles with ``c`` of their prefixes in common can reach the threshold.
+    Beyond what both prefixes hold, the set whose prefix ends first has only the rest of it to share."""
+    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    return (100 + percent) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= percent * (F.col("na") + F.col("nb"))
+
+
 def near_components(
     docs: DataFrame, size: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -177,7 +227,8 @@ def near_components(
     Equal sets are one node. Within a bucket of nodes that share a prefix shingle, each is first
     compared with one pivot; rounds with other pivots follow while they connect most of a large bucket;
     then every pair not yet in one component is compared, so no link between components is missed and a
-    large group of near copies needs few comparisons.
+    large group of near copies needs few comparisons. Pairs that have too few prefix shingles in common to
+    reach the threshold go before any set travels.
 
     One row for each row of ``docs``. A null text, or one without words, has no shingles and is its own
     component; repeated rows share a component; a null id stays null and never names a component;
@@ -189,12 +240,12 @@ def near_components(
     shared = prefixes(docs, levels, size, percent, text_column)
     shared = shared.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     shared = written(shared.where("low != high").select("token", "node", "n").distinct(), "buckets")
-    parts = written(fragments(docs, shared.select("node").distinct(), size, text_column), "fragments")
+    keys = base.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("key"))
+    keys = written(keys, "keys")
+    parts = written(fragments(docs, keys, levels, size, id_column, text_column), "fragments")
+    dropped(keys)
     fits = (100 * F.col("nb") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("nb"))
-    pair = [
-        F.least("x", "y").alias("a"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-        F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-    ]
+    ordered = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
     labels = links = tried = None
     for turn in range(MAX_TURNS):
         if labels is None:
@@ -209,28 +260,35 @@ def near_components(
         open_ = written(open_, "open")
         left = open_.agg(F.sum(F.col("m") * F.col("m") - F.col("q")).alias("pairs"), F.sum("m").alias("rows")).first()
         if not left["rows"]:
+            dropped(open_)
             break
         rest = rest.join(open_, "token")
         last = left["pairs"] <= 32 * left["rows"] or turn == MAX_TURNS - 1
         if last:  # every pair of two components
-            one = rest.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            two = rest.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            pairs = one.join(two, "token").where("x < y and rx != ry")
+            one = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            two = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            pairs = one.join(two, "token").where("a < b and ra != rb")
         else:
             pairs = rest.where(F.col("root") != F.col("pivot.root")).select(
-                F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pivot.p.node").alias("y"), F.col("pivot.p.n").alias("ny")
+                F.col("node").alias("a"), F.col("n").alias("na"), F.col("pivot.p.node").alias("b"), F.col("pivot.p.n").alias("nb")
             )
-        pairs = pairs.select(*pair).where(fits).distinct()
+        pairs = pairs.where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(possible(percent))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti")
+        if not last:  # the likeliest pivot of each node, so that its set travels once; the last turn takes the others
+            best = F.max(F.struct("c", "b", "na", "nb")).alias("best")
+            pairs = pairs.groupBy("a").agg(best).select("a", "best.na", "best.b", "best.nb")
+        pairs = written(pairs.select("a", "na", "b", "nb"), "pairs")
         found = written(verified(pairs, parts, percent), "linked")
         links = found if links is None else links.union(found)
         labels = components(links)
+        dropped(open_)
         if last:
+            dropped(pairs)
             break
-        done = pairs.select("a", "b")
+        done = pairs.select(*ordered)
         tried = done if tried is None else tried.union(done)
+    dropped(parts, shared)
     if labels is None:
         labels = base.sparkSession.createDataFrame([], "node long, root long")
     named = base.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -18,6 +18,7 @@ _TERMS = bytes(
 )
 #: The same words as a pattern for Spark: everything that separates them.
 TERM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values of the splitmix64 finalizer
 
 
@@ -27,10 +28,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once, cuts the
-    lineage, survives a lost executor, and the optimizer knows its size."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, survives a lost executor, and the optimizer knows its size. Shuffle files of the job go when
+    it ends, as nothing reads them again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and no later job reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(column: Column) -> Column:
