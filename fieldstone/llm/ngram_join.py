@@ -211,6 +211,17 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return whole.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _with(links: DataFrame | None, found: DataFrame) -> DataFrame:
+    return found if links is None else links.union(found)
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes no link connects yet."""
+    one, two = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    roots = pairs.join(one, "a", "left").join(two, "b", "left")
+    return roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb", "c")
+
+
 def possible(percent: int) -> F.Column:
     """Whether sets of ``na`` and ``nb`` shingles with ``c`` of their prefixes in common can reach the threshold.
     Beyond what both prefixes hold, the set whose prefix ends first has only the rest of it to share."""
@@ -272,20 +283,29 @@ def near_components(
             pairs = rest.where(F.col("root") != F.col("pivot.root")).select(
                 F.col("node").alias("a"), F.col("n").alias("na"), F.col("pivot.p.node").alias("b"), F.col("pivot.p.n").alias("nb")
             )
-        pairs = pairs.where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(possible(percent))
+        pairs = pairs.where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
+        if last:  # all buckets of a pair are here, so the count is whole
+            pairs = pairs.where(possible(percent))
         if tried is not None:
             pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti")
         if not last:  # the likeliest pivot of each node, so that its set travels once; the last turn takes the others
             best = F.max(F.struct("c", "b", "na", "nb")).alias("best")
             pairs = pairs.groupBy("a").agg(best).select("a", "best.na", "best.b", "best.nb")
-        pairs = written(pairs.select("a", "na", "b", "nb"), "pairs")
-        found = written(verified(pairs, parts, percent), "linked")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        pairs = written(pairs.select("a", "na", "b", "nb", *["c"] * last), "pairs")
         dropped(open_)
         if last:
+            for _ in range(BEST_ROUNDS):  # most pairs are in one component once each node has met its likeliest partner
+                likely = pairs.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("best")).select("a", "best.na", "best.b", "best.nb")
+                likely = written(likely, "likely")
+                links = _with(links, written(verified(likely, parts, percent), "linked"))
+                pairs, before = written(_apart(pairs.join(likely, ["a", "b"], "left_anti"), components(links)), "pairs"), pairs
+                dropped(likely, before)
+            links = _with(links, written(verified(pairs, parts, percent), "linked"))
+            labels = components(links)
             dropped(pairs)
             break
+        links = _with(links, written(verified(pairs, parts, percent), "linked"))
+        labels = components(links)
         done = pairs.select(*ordered)
         tried = done if tried is None else tried.union(done)
     dropped(parts, shared)
@@ -300,3 +320,5 @@ def near_components(
 
 #: Rounds of comparisons; the last one is complete.
 MAX_TURNS = 5
+#: Rounds of the last turn in which each node meets the partner with most of its prefix, before all others.
+BEST_ROUNDS = 2
