@@ -157,7 +157,7 @@ def search(
     ranged = ranged.withColumn("low", low).withColumn("high", F.col("low") + F.expr(f"shiftleft(1L, {BITS} - level)"))
     ranged = ranged.withColumn("q_piece", F.explode(pieces("q_dim", "q_tree", "low", "high")))
     held = points.select("point", "vector")
-    array_side = placed.select(*same, "code", "point").join(held, "point")
+    array_side = placed.select(*same, "code", "point").join(points.select("point", "vector", "first"), "point")
     asked_for = held.select(F.col("point").alias("q_point"), F.col("vector").alias("q_vector"))
     query_side = ranged.select(*theirs, "low", "high", F.col("point").alias("q_point")).join(asked_for, "q_point")
     wanted = k + 1
@@ -165,21 +165,28 @@ def search(
     def score(key: tuple, stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """The best of each query among the codes of the piece in its range."""
         stored = stored.sort_values("code", kind="stable")
-        array, ids = stored["code"].to_numpy(), stored["point"].to_numpy()
+        array, ids, least = (stored[c].to_numpy() for c in ("code", "point", "first"))
         x = np.array(stored["vector"].tolist(), float)
         first = np.searchsorted(array, asked["low"].to_numpy())
         last = np.searchsorted(array, asked["high"].to_numpy())
-        vectors_ = np.array(asked["q_vector"].tolist(), float)
+        vectors_, names = np.array(asked["q_vector"].tolist(), float), asked["q_point"].to_numpy()
+        longest = np.sqrt((x * x).sum(1).max(initial=0))
         out: list[pd.DataFrame] = []
         for (a, b), at in pd.DataFrame({"a": first, "b": last}).groupby(["a", "b"]).groups.items():
             if a == b:
                 continue
             for part in np.array_split(np.asarray(at), -(-len(at) * (b - a) // 4_000_000)):
-                near = vectors_[part] @ x[a:b].T
-                n = min(wanted + 8, b - a)  # a few more, for sums that round differently
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n] + a
-                exact = (x[top] * vectors_[part][:, None, :]).sum(2)
-                out.append(pd.DataFrame({"point": np.repeat(asked["q_point"].to_numpy()[part], n), "near": ids[top].ravel(), "score": exact.ravel()}))
+                q = vectors_[part]
+                near = q @ x[a:b].T
+                n = min(wanted, b - a)
+                # All that may tie with the last one kept: sums round differently.
+                cut = np.partition(near, b - a - n, axis=1)[:, b - a - n] - 1e-12 * longest * np.sqrt((q * q).sum(1))
+                row, col = np.nonzero(near >= cut[:, None])
+                exact = np.concatenate([(x[a + c] * q[r]).sum(1) for r, c in zip(*(np.array_split(i, -(-len(row) // 100_000)) for i in (row, col)))])
+                order = np.lexsort((least[a + col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < wanted
+                out.append(pd.DataFrame({"point": names[part][row[kept]], "near": ids[a + col[kept]], "score": exact[kept]}))
         return pd.concat(out) if out else pd.DataFrame({"point": [], "near": [], "score": []})
 
     found = array_side.groupBy(*same).cogroup(query_side.groupBy(*theirs)).applyInPandas(score, "point long, near long, score double")

@@ -161,6 +161,13 @@ def test_search_is_exact_where_all_are_candidates(spark):
         assert all(abs(got[q][i + 1][1] + s) < 1e-9 for i, (s, _) in enumerate(near))
 
 
+def test_search_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0] + [0.0] * 15, 0)] + [(i, [1.0, *rng.normal(size=15).tolist()], 0) for i in range(1, 401)]
+    found = search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_search_recall(spark):
     """Few candidates of many, over several pieces."""
     rows = vector_rows(4000)
