@@ -16,6 +16,7 @@ from fieldstone.llm.licenses import evaluate, license_digest, postfix, scan_lice
 from fieldstone.llm.ngram_join import near_components
 from fieldstone.llm.packing import pack, plan_cuts
 from fieldstone.llm.pii import pii_digest, scan_pii
+from fieldstone.llm import ppm
 from fieldstone.llm.ppm import ppm_digest
 from fieldstone.llm.secret_scan import BEFORE, candidates, find_base, fit_net, labelled_windows, scan_secrets, secret_digest, train_net, window, windows
 
@@ -267,6 +268,21 @@ def test_ppm(docs_of, rows):
     assert ppm_digest(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("share", [None, 1 / 20000])
+def test_ppm_of_rare_contexts(docs_of, monkeypatch, share):
+    """Contexts below every share, seen in training, by held-out texts alone, or not at all."""
+    if share:  # others are joined
+        monkeypatch.setattr(ppm, "GRAM_SHARE", share)
+    own = ["zqx zqx zqy", "zqx\xe9 zqw", "Zq7 qqq", "", None]
+    docs = [(i, "ab" * 8000 + t) for i, t in enumerate(["", " c", " zqv"] * 3)] + [(100 + i, t) for i, t in enumerate(own * 6)]
+    docs += [(100, own[0])]
+    got = ppm_digest(docs_of(docs)).collect()
+    held = {r.doc_id: r.held_out for r in got}
+    assert len(got) == len(docs) and len(set(held.values())) == 2
+    want = dict(zip([d for d, _ in docs], brute.ppm([t for _, t in docs], [held[d] for d, _ in docs]), strict=True))
+    assert all(abs(r.score - want[r.doc_id]) <= 1e-4 * max(1, abs(want[r.doc_id])) for r in got)
+
+
 def test_packing(docs_of, rows):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     docs = [(i, t) for i, (_, t) in enumerate(rows)] + [(900, "İstanbul ς Σ 'tis don't ... <|endoftext|> x́ 12.5"), (901, "no.stop " * 9000)]
