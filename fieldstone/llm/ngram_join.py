@@ -19,6 +19,7 @@ FRAGMENTS = 8
 CELLS = 1 << 22  # cells of the table that tells frequent shingles from others: four megabytes
 MARKS = 1 << 25  # bits of a table that tells rows of some nodes from others: four megabytes
 _FLUSH = 3_000_000
+_SLICE = 1 << 20  # bytes of text whose shingles a task makes at once
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def document_nodes(docs: DataFrame, size: int, id_column: str, text_column: str)
             pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
         ]
 
-    return per_text(docs, id_column, text_column, run, "n_shingles long, node long").withColumnRenamed(id_column, "id")
+    return per_text(docs, id_column, text_column, run, "n_shingles long, node long", _SLICE).withColumnRenamed(id_column, "id")
 
 
 def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray:
@@ -70,11 +71,15 @@ def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray
         size_now = 0
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(waiting), return_counts=True)
-            cell = (found[n > 1] >> np.uint64(42)).astype(np.int32)
+            found = np.concatenate(waiting)
+            waiting.clear()
+            found.sort()
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            n = np.diff(first, append=len(found))
+            cell = (found[first[n > 1]] >> np.uint64(42)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[n > 1])], names=["cell", "n"])
 
-        for part in (p for batch in batches for p in slices(batch, batch.column(0))):
+        for part in (p for batch in batches for p in slices(batch, batch.column(0), _SLICE)):
             for s in shingle_sets(part.column(0).to_pylist(), size):
                 node = node_of(s)
                 if node not in seen:
@@ -83,7 +88,7 @@ def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray
                     size_now += len(s)
             if size_now > _FLUSH:
                 yield counted()
-                waiting, size_now = [], 0
+                size_now = 0
         if waiting:
             yield counted()
 
@@ -95,15 +100,15 @@ def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text_column: str) -> DataFrame:
-    """``token, node, n``: the first shingles of each set in the global order (rare ones first), as
-    many as two sets that link cannot both lack. Copies within a task are left out once seen."""
+    """``token, node, n, at``: the first shingles of each set in the global order (rare ones first), as
+    many as two sets that link cannot both lack, and their places. Copies within a task are left out once seen."""
     order = docs.sparkSession.sparkContext.broadcast(levels)
     source = docs.select(F.col(f"`{text_column}`").cast("binary").alias("t")).where(F.col("t").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         level = order.value
-        for part in (p for batch in batches for p in slices(batch, batch.column(0))):
+        for part in (p for batch in batches for p in slices(batch, batch.column(0), _SLICE)):
             tokens, nodes, sizes = [], [], []
             for s in shingle_sets(part.column(0).to_pylist(), size):
                 node = node_of(s)
@@ -120,11 +125,12 @@ def prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int, text_
                         pa.array(_signed(np.concatenate(tokens))),
                         pa.array(np.repeat(np.array(nodes, np.int64), reps)),
                         pa.array(np.repeat(np.array(sizes, np.int32), reps)),
+                        pa.array(np.concatenate([np.arange(r, dtype=np.int32) for r in reps])),
                     ],
-                    names=["token", "node", "n"],
+                    names=["token", "node", "n", "at"],
                 )
 
-    return source.mapInArrow(run, "token long, node long, n int")
+    return source.mapInArrow(run, "token long, node long, n int, at int")
 
 
 def marks_of(rows: DataFrame, column: F.Column) -> np.ndarray:
@@ -165,7 +171,7 @@ def fragments(docs: DataFrame, chosen: DataFrame, levels: np.ndarray, size: int,
         marks, levels = shared.value
         starts = np.concatenate([[0], np.cumsum(np.bincount(levels, minlength=256))]).astype(float)
         seen: set[int] = set()
-        for part in (p for batch in batches for p in slices(batch, batch.column(1))):
+        for part in (p for batch in batches for p in slices(batch, batch.column(1), _SLICE)):
             sets = shingle_sets(part.column(1).to_pylist(), size)
             own = np.array([node_of(s) for s in sets], np.int64)
             near = is_marked(marks, own ^ part.column(0).to_numpy())
@@ -222,11 +228,19 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb", "c")
 
 
-def possible(percent: int) -> F.Column:
-    """Whether sets of ``na`` and ``nb`` shingles with ``c`` of their prefixes in common can reach the threshold.
-    Beyond what both prefixes hold, the set whose prefix ends first has only the rest of it to share."""
-    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    return (100 + percent) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= percent * (F.col("na") + F.col("nb"))
+def reachable(percent: int, n: str, at: str, other: F.Column) -> F.Column:
+    """Whether a shingle can be the first that a set of ``n`` shingles, where it stands at place ``at`` of the
+    global order, has in common with a set of ``other`` shingles that it links with: no shared one is
+    before it, so all of them must find room from there on."""
+    size = F.col(n).cast("long")
+    return (100 + percent) * (size - F.col(at)) >= percent * (size + other)
+
+
+def meet(percent: int) -> F.Column:
+    """Whether sets of ``na`` and ``nb`` shingles can link and have this bucket's shingle, at ``pa`` and ``pb``, in common first."""
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    fits = (100 * nb >= percent * na) & (100 * na >= percent * nb)
+    return fits & reachable(percent, "na", "pa", F.col("nb")) & reachable(percent, "nb", "pb", F.col("na"))
 
 
 def near_components(
@@ -236,10 +250,11 @@ def near_components(
     least ``percent`` in a hundred: ``doc_id, n_shingles, component_id`` (the smallest id reachable).
 
     Equal sets are one node. Within a bucket of nodes that share a prefix shingle, each is first
-    compared with one pivot; rounds with other pivots follow while they connect most of a large bucket;
-    then every pair not yet in one component is compared, so no link between components is missed and a
-    large group of near copies needs few comparisons. Pairs that have too few prefix shingles in common to
-    reach the threshold go before any set travels.
+    compared with one pivot: the node with fewest rarer shingles of its own, which is the text that the
+    others are copies of or close to it. Rounds with other pivots follow while they connect much of what a
+    large bucket leaves open; then every pair not yet in one component is compared, so no link between components is
+    missed and a large group of near copies needs few comparisons. A pair counts in a bucket only where its
+    shingle can be the first that the two share.
 
     One row for each row of ``docs``. A null text, or one without words, has no shingles and is its own
     component; repeated rows share a component; a null id stays null and never names a component;
@@ -249,64 +264,64 @@ def near_components(
     levels = frequency_levels(docs, size, text_column)
     bucket = W.partitionBy("token")
     shared = prefixes(docs, levels, size, percent, text_column)
-    shared = shared.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-    shared = written(shared.where("low != high").select("token", "node", "n").distinct(), "buckets")
+    shared = shared.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "least": F.min("n").over(bucket)})
+    near = reachable(percent, "n", "at", F.greatest(F.col("least"), F.ceil(percent * F.col("n").cast("long") / 100)))
+    shared = written(shared.where("low != high").where(near).select("token", "node", "n", "at").distinct(), "buckets")
     keys = base.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("key"))
     keys = written(keys, "keys")
     parts = written(fragments(docs, keys, levels, size, id_column, text_column), "fragments")
     dropped(keys)
-    fits = (100 * F.col("nb") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("nb"))
-    ordered = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
     labels = links = tried = None
     for turn in range(MAX_TURNS):
         if labels is None:
             rest = shared.withColumn("root", F.col("node"))
         else:
-            rest = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        own = rest.groupBy("token", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("p"))
+            rest = written(shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        chosen = F.struct((F.col("at") / 2**turn).cast("int"), F.xxhash64("node", F.lit(turn)))  # other pivots in each turn
+        own = rest.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct(chosen.alias("o"), "node", "n", "at")).alias("p"))
         open_ = own.groupBy("token").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"),
-            F.min_by(F.struct("p", "root"), F.xxhash64("p.node", F.lit(turn))).alias("pivot"),
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.min(F.struct("p", "root")).alias("pivot")
         ).where(F.col("m") * F.col("m") > F.col("q"))
         open_ = written(open_, "open")
         left = open_.agg(F.sum(F.col("m") * F.col("m") - F.col("q")).alias("pairs"), F.sum("m").alias("rows")).first()
         if not left["rows"]:
-            dropped(open_)
+            dropped(open_, *[rest] * (labels is not None))
             break
-        rest = rest.join(open_, "token")
-        last = left["pairs"] <= 32 * left["rows"] or turn == MAX_TURNS - 1
+        one = rest.join(open_.select("token", "pivot"), "token").select(
+            "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"), "pivot"
+        )
+        last = turn > 0 and (left["pairs"] <= 32 * left["rows"] or turn == MAX_TURNS - 1 or found * SLOW < left["rows"])
         if last:  # every pair of two components
-            one = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            two = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            two = one.drop("pivot").toDF("token", "b", "nb", "pb", "rb")
             pairs = one.join(two, "token").where("a < b and ra != rb")
         else:
-            pairs = rest.where(F.col("root") != F.col("pivot.root")).select(
-                F.col("node").alias("a"), F.col("n").alias("na"), F.col("pivot.p.node").alias("b"), F.col("pivot.p.n").alias("nb")
-            )
-        pairs = pairs.where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-        if last:  # all buckets of a pair are here, so the count is whole
-            pairs = pairs.where(possible(percent))
+            pivot = {"b": "node", "nb": "n", "pb": "at"}
+            pairs = one.where(F.col("ra") != F.col("pivot.root")).withColumns({k: F.col(f"pivot.p.{v}") for k, v in pivot.items()})
+        pairs = pairs.where(meet(percent)).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
         if tried is not None:
-            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti")
+            pairs = pairs.join(tried, [F.least("a", "b") == F.col("lo"), F.greatest("a", "b") == F.col("hi")], "left_anti")
         if not last:  # the likeliest pivot of each node, so that its set travels once; the last turn takes the others
             best = F.max(F.struct("c", "b", "na", "nb")).alias("best")
-            pairs = pairs.groupBy("a").agg(best).select("a", "best.na", "best.b", "best.nb")
-        pairs = written(pairs.select("a", "na", "b", "nb", *["c"] * last), "pairs")
-        dropped(open_)
+            pairs = pairs.groupBy("a").agg(best).select("a", "best.na", "best.b", "best.nb", "best.c")
+        pairs = written(pairs, "pairs")
+        dropped(open_, *[rest] * (labels is not None))
         if last:
             for _ in range(BEST_ROUNDS):  # most pairs are in one component once each node has met its likeliest partner
+                size_ = pairs.agg(F.count("*").alias("pairs"), F.approx_count_distinct("a").alias("nodes")).first()
+                if size_["pairs"] <= 4 * size_["nodes"]:
+                    break
                 likely = pairs.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("best")).select("a", "best.na", "best.b", "best.nb")
                 likely = written(likely, "likely")
                 links = _with(links, written(verified(likely, parts, percent), "linked"))
                 pairs, before = written(_apart(pairs.join(likely, ["a", "b"], "left_anti"), components(links)), "pairs"), pairs
                 dropped(likely, before)
-            links = _with(links, written(verified(pairs, parts, percent), "linked"))
-            labels = components(links)
+        linked = written(verified(pairs, parts, percent), "linked")
+        links, found = _with(links, linked), linked.count()
+        labels = components(links)
+        if last:
             dropped(pairs)
             break
-        links = _with(links, written(verified(pairs, parts, percent), "linked"))
-        labels = components(links)
-        done = pairs.select(*ordered)
+        done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tried = done if tried is None else tried.union(done)
     dropped(parts, shared)
     if labels is None:
@@ -320,5 +335,7 @@ def near_components(
 
 #: Rounds of comparisons; the last one is complete.
 MAX_TURNS = 5
+#: A turn with other pivots follows if the one before linked at least one in so many of the rows that are open.
+SLOW = 32
 #: Rounds of the last turn in which each node meets the partner with most of its prefix, before all others.
 BEST_ROUNDS = 2

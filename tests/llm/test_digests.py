@@ -16,7 +16,7 @@ from fieldstone.llm.licenses import evaluate, license_digest, postfix, scan_lice
 from fieldstone.llm.ngram_join import near_components
 from fieldstone.llm.packing import pack, plan_cuts
 from fieldstone.llm.pii import pii_digest, scan_pii
-from fieldstone.llm import ppm
+from fieldstone.llm import ngram_join, ppm
 from fieldstone.llm.ppm import ppm_digest
 from fieldstone.llm.secret_scan import BEFORE, candidates, find_base, fit_net, labelled_windows, scan_secrets, secret_digest, train_net, window, windows
 
@@ -110,6 +110,49 @@ def test_ngram_join_of_chains(docs_of):
     same(near_components(docs_of(docs)), "doc_id n_shingles component_id", brute.near(docs))
 
 
+def near_copies(n, words=150):
+    """Copies of one text, most with so many changed words that few pairs link, but all with the text."""
+    rng = random.Random(7)
+    out = [[f"v{j}" for j in range(words)]]
+    for i in range(n):
+        own = list(out[0])
+        for j in rng.sample(range(words), rng.choice([0, 1, 1, 2, 2, 3, 6, 9])):
+            own[j] = f"e{i}.{j}"
+        out.append(own[: words - rng.choice([0, 0, 0, 5, 20])])
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_ngram_join_of_a_large_group(docs_of, monkeypatch):
+    """Pairs left after the pivots grow with the group, not with its square; nothing is lost."""
+    made, plain_of = [], ngram_join.verified
+
+    def verified(pairs, parts, percent):
+        made.append(pairs.count())
+        return plain_of(pairs, parts, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    docs = near_copies(400)
+    same(near_components(docs_of(docs)), "doc_id n_shingles component_id", brute.near(docs))
+    assert sum(made) <= 4 * len(docs)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_first_shared_shingles(spark, percent):
+    """Sets that link meet in the bucket of the first shingle that they share."""
+    rng, rows = random.Random(percent), []
+    while len(rows) < 400:
+        a = set(rng.sample(range(60), rng.randint(1, 40)))
+        b = {x for x in a if rng.random() < 0.97} | set(rng.sample(range(60), rng.choice([0, 0, 1, 2])))
+        common = len(a & b)
+        if common and 100 * common >= percent * len(a | b):
+            x, y = sorted(a), sorted(b)
+            first = min(a & b)
+            pa, pb = x.index(first), y.index(first)
+            assert pa <= len(a) - (percent * len(a) + 99) // 100 and pb <= len(b) - (percent * len(b) + 99) // 100
+            rows.append((len(a), pa, len(b), pb))
+    assert spark.createDataFrame(rows, "na int, pa int, nb int, pb int").where(~ngram_join.meet(percent)).count() == 0
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert near_components(docs_of([])).count() == 0
     same(near_components(docs_of([(1, None), (2, "")])), "doc_id n_shingles component_id", [(1, 0, 1), (2, 0, 2)])
