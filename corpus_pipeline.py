@@ -68,6 +68,9 @@ STAGES = [
     ("packing", packing),
 ]
 
+#: Batches of texts that Spark hands to Python end at four megabytes: each task of an executor holds one twice.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
 #: A trained classifier decides in the first stage, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
 
@@ -75,6 +78,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(BATCH[0], before)
     return docs

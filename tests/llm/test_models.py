@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,18 @@ def test_components_of_few_links(spark, n):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 3), (9, 8)][: n * 4], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == ({1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8} if n else {})
+
+
+def test_pipeline_hands_on_small_batches(spark, tmp_path, monkeypatch):
+    """Tasks of a stage hold a few megabytes of texts at once; the session's own setting comes back."""
+    spark.range(200, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 10000) text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "size long"))])
+    before = spark.conf.get(corpus_pipeline.BATCH[0])
+    found = [r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(found) > 20_000_000 and max(found) < 8_000_000
+    assert spark.conf.get(corpus_pipeline.BATCH[0]) == before
