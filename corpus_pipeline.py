@@ -6,6 +6,9 @@ null id or text pass the filters; a stage without input gives no rows; extra col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,31 @@ from fieldstone.llm.queries import VOCABULARY
 from fieldstone.llm.text import table, written
 from fieldstone.llm.toxicity import toxic_column, train_toxicity
 
+#: Batches of texts that Spark hands to Python end at four megabytes: each task of an executor holds one twice.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose session hands on small batches, also when its caller writes the frame later; a size
+    that the application's configuration names stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not spark.sparkContext.getConf().contains(BATCH[0]):
+            spark.conf.set(*BATCH)
+        return stage(spark, docs, sf_dir)
 
+    return run
+
+
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below a half."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxic_column(model, F.col("text")) < 0.5)
 
 
+@in_small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that an earlier one has; those of which no word is left go."""
     kept = dedup_lines(docs)
@@ -34,6 +55,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@in_small_batches
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (80 % of their shingles of five words in common), the
     one of the smallest id; of rows that repeat both that id and the text, one."""
@@ -47,6 +69,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(more).select(*docs.columns)
 
 
+@in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
     _, matches, _ = find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -55,6 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(leaked, mark == leaked["mark"], "left_anti").select(*docs.columns)
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
     return pack(docs, VOCABULARY)
@@ -68,9 +92,6 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Batches of texts that Spark hands to Python end at four megabytes: each task of an executor holds one twice.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
-
 #: A trained classifier decides in the first stage, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
 

@@ -266,3 +266,23 @@ def test_pipeline_hands_on_small_batches(spark, tmp_path, monkeypatch):
     found = [r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sum(found) > 20_000_000 and max(found) < 8_000_000
     assert spark.conf.get(corpus_pipeline.BATCH[0]) == before
+
+
+def test_stages_hand_on_small_batches(spark, monkeypatch):
+    """A stage called alone hands on small batches too, also when its frame is computed later."""
+    key = corpus_pipeline.BATCH[0]
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, vocabulary: docs.mapInArrow(sizes, "size long"))
+    docs = spark.range(200, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 10000) text")
+    try:
+        spark.conf.set(key, "256MB")
+        found = [r[0] for r in corpus_pipeline.packing(spark, docs, "").collect()]
+        assert sum(found) > 20_000_000 and max(found) < 8_000_000
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set(key, before)
