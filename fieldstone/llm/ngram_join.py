@@ -1,9 +1,10 @@
 """N-gram Jaccard join by vertical partitioning: the global order of shingles is cut into fragments,
-overlaps are counted in each fragment apart and summed per pair."""
+overlaps are counted in each fragment apart and summed per pair. Sketches of a few bits a shingle tell
+most pairs that cannot link, so only sets of the others are moved."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from fieldstone.llm.text import dropped, per_text, slices, written
 FRAGMENTS = 8
 CELLS = 1 << 22  # cells of the table that tells frequent shingles from others: four megabytes
 MARKS = 1 << 25  # bits of a table that tells rows of some nodes from others: four megabytes
+SKETCH = 1 << 20  # bits of a sketch at most: 128 kilobytes
 _FLUSH = 3_000_000
 _SLICE = 1 << 20  # bytes of text whose shingles a task makes at once
 
@@ -74,10 +76,10 @@ def frequency_levels(docs: DataFrame, size: int, text_column: str) -> np.ndarray
             found = np.concatenate(waiting)
             waiting.clear()
             found.sort()
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            n = np.diff(first, append=len(found))
-            cell = (found[first[n > 1]] >> np.uint64(42)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[n > 1])], names=["cell", "n"])
+            edge = np.diff((found[1:] == found[:-1]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # of those seen more than once
+            cell = (found[first] >> np.uint64(42)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(last - first + 1)], names=["cell", "n"])
 
         for part in (p for batch in batches for p in slices(batch, batch.column(0), _SLICE)):
             for s in shingle_sets(part.column(0).to_pylist(), size):
@@ -156,41 +158,96 @@ def fragment_of(levels: np.ndarray, shingles: np.ndarray, starts: np.ndarray) ->
     return np.minimum(place * FRAGMENTS / CELLS, FRAGMENTS - 1).astype(np.int32)
 
 
-def fragments(docs: DataFrame, chosen: DataFrame, levels: np.ndarray, size: int, id_column: str, text_column: str) -> DataFrame:
-    """``node, fragment, part``: the sets of the nodes in ``chosen`` (node, key), cut along the global order.
+def sets_of(docs: DataFrame, chosen: DataFrame, size: int, id_column: str, text_column: str) -> tuple[DataFrame, Callable]:
+    """The rows of ``docs``, and a function that makes the sets of the nodes in ``chosen`` (node, key) from batches of them.
 
-    A set is taken from the rows whose id hashes to ``key``, so copies don't repeat it. A table of marks tells
-    those rows; a row let through by chance adds a node that no pair names, or repeats one that is named.
+    A set is taken from the rows whose id hashes to ``key``, so copies don't repeat it, and texts of other
+    ids are not hashed. A table of marks tells those rows; a row let through by chance adds a node that no
+    pair names, or repeats one that is named.
     """
-    spark = docs.sparkSession
-    marks = marks_of(chosen, F.col("node").bitwiseXOR(F.col("key")))
-    shared = spark.sparkContext.broadcast((marks, levels))
+    both = chosen.select(F.explode(F.array("key", F.col("node").bitwiseXOR(F.col("key")))).alias("mark"))
+    shared = docs.sparkSession.sparkContext.broadcast(marks_of(both, F.col("mark")))
     source = docs.select(F.xxhash64(f"`{id_column}`").alias("key"), F.col(f"`{text_column}`").cast("binary").alias("t"))
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        marks = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(is_marked(marks, batch.column(0).to_numpy())))
+            for part in slices(batch, batch.column(1), _SLICE):
+                sets = shingle_sets(part.column(1).to_pylist(), size)
+                own = np.array([node_of(s) for s in sets], np.int64)
+                near = is_marked(marks, own ^ part.column(0).to_numpy())
+                found = []
+                for s, node, keep in zip(sets, own.tolist(), near.tolist(), strict=True):
+                    if keep and len(s) and node not in seen:
+                        seen.add(node)
+                        found.append((node, s))
+                yield found
+
+    return source.where(F.col("t").isNotNull()), made
+
+
+def fragments(docs: DataFrame, chosen: DataFrame, levels: np.ndarray, size: int, id_column: str, text_column: str) -> DataFrame:
+    """``node, fragment, part``: the sets of the nodes in ``chosen`` (node, key), cut along the global order."""
+    order = docs.sparkSession.sparkContext.broadcast(levels)
+    source, made = sets_of(docs, chosen, size, id_column, text_column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, levels = shared.value
+        levels = order.value
         starts = np.concatenate([[0], np.cumsum(np.bincount(levels, minlength=256))]).astype(float)
-        seen: set[int] = set()
-        for part in (p for batch in batches for p in slices(batch, batch.column(1), _SLICE)):
-            sets = shingle_sets(part.column(1).to_pylist(), size)
-            own = np.array([node_of(s) for s in sets], np.int64)
-            near = is_marked(marks, own ^ part.column(0).to_numpy())
+        for found in made(batches):
             nodes, places, rows = [], [], []
-            for s, node, keep in zip(sets, own.tolist(), near.tolist(), strict=True):
-                if keep and len(s) and node not in seen:
-                    seen.add(node)
-                    of = fragment_of(levels, s, starts)
-                    order = np.argsort(of, kind="stable")
-                    found, first = np.unique(of[order], return_index=True)
-                    rows += np.split(_signed(s)[order], first[1:])
-                    places += found.tolist()
-                    nodes += [node] * len(found)
+            for node, s in found:
+                of = fragment_of(levels, s, starts)
+                by = np.argsort(of, kind="stable")
+                at, first = np.unique(of[by], return_index=True)
+                rows += np.split(_signed(s)[by], first[1:])
+                places += at.tolist()
+                nodes += [node] * len(at)
             if nodes:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), _lists(rows)], names=["node", "fragment", "part"]
                 )
 
-    return source.where(F.col("t").isNotNull()).mapInArrow(run, "node long, fragment int, part array<long>")
+    return source.mapInArrow(run, "node long, fragment int, part array<long>")
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A table of two to four bits for each shingle, SKETCH at most, set where the low bits of one point."""
+    cells = np.zeros(min(SKETCH, max(64, 1 << int(2 * len(shingles) - 1).bit_length())), bool)
+    cells[(shingles & np.uint64(len(cells) - 1)).astype(np.int64)] = True
+    return np.packbits(cells, bitorder="little").tobytes()
+
+
+def can_link(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
+    """Whether sets of ``na`` and ``nb`` shingles with these sketches can reach the threshold: each bit that only
+    one of them has stands for one shingle at least that the other lacks."""
+    bits = 8 * min(len(a), len(b))
+    x, y = (_folded(int.from_bytes(s, "little"), 8 * len(s), bits) for s in (a, b))
+    common = min(na - (x & ~y).bit_count(), nb - (y & ~x).bit_count())
+    return 100 * common >= percent * (na + nb - common)
+
+
+def _folded(cells: int, bits: int, to: int) -> int:
+    """The sketch that the same set has in a table of fewer bits."""
+    while bits > to:
+        bits //= 2
+        cells = cells >> bits | cells & ((1 << bits) - 1)
+    return cells
+
+
+def sketches(docs: DataFrame, chosen: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    """``node, sketch`` of the nodes in ``chosen`` (node, key)."""
+    source, made = sets_of(docs, chosen, size, id_column, text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in made(batches):
+            if found:
+                rows = [pa.array([n for n, _ in found], pa.int64()), pa.array([sketch_of(s) for _, s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["node", "sketch"])
+
+    return source.mapInArrow(run, "node long, sketch binary")
 
 
 def _among(parts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,6 +261,21 @@ def _among(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, parts.schema)
 
 
+def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, na, b, nb`` that can reach the threshold by their ``known`` sketches; no other can."""
+    left = _among(known, pairs.select(F.col("a").alias("node"))).toDF("a", "sa")
+    right = _among(known, pairs.select(F.col("b").alias("node"))).toDF("b", "sb")
+    met = pairs.select("a", "na", "b", "nb").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)
+            keep = pa.array([can_link(*row, percent) for row in rows], pa.bool_())
+            yield batch.select(["a", "na", "b", "nb"]).filter(keep)
+
+    return met.mapInArrow(run, pairs.select("a", "na", "b", "nb").schema).distinct()
+
+
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, na, b, nb`` whose sets reach the threshold: overlaps counted per fragment, summed per
     pair. The set of ``a`` travels to ``b``, fragment by fragment, once for each of its pairs."""
@@ -254,7 +326,8 @@ def near_components(
     others are copies of or close to it. Rounds with other pivots follow while they connect much of what a
     large bucket leaves open; then every pair not yet in one component is compared, so no link between components is
     missed and a large group of near copies needs few comparisons. A pair counts in a bucket only where its
-    shingle can be the first that the two share.
+    shingle can be the first that the two share, and sets are made and moved only for pairs whose sketches leave
+    room for a link.
 
     One row for each row of ``docs``. A null text, or one without words, has no shingles and is its own
     component; repeated rows share a component; a null id stays null and never names a component;
@@ -269,8 +342,18 @@ def near_components(
     shared = written(shared.where("low != high").where(near).select("token", "node", "n", "at").distinct(), "buckets")
     keys = base.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("key"))
     keys = written(keys, "keys")
-    parts = written(fragments(docs, keys, levels, size, id_column, text_column), "fragments")
-    dropped(keys)
+    known = written(sketches(docs, keys, size, id_column, text_column), "sketches")
+
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        near = written(bounded(pairs, known, percent), "near")
+        if near.isEmpty():
+            return near.select("a", "b")
+        ends = keys.join(near.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
+        parts = written(fragments(docs, ends, levels, size, id_column, text_column), "fragments")
+        links = written(verified(near, parts, percent), "linked")
+        dropped(near, parts)
+        return links
+
     labels = links = tried = None
     for turn in range(MAX_TURNS):
         if labels is None:
@@ -312,10 +395,10 @@ def near_components(
                     break
                 likely = pairs.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("best")).select("a", "best.na", "best.b", "best.nb")
                 likely = written(likely, "likely")
-                links = _with(links, written(verified(likely, parts, percent), "linked"))
+                links = _with(links, linked_of(likely))
                 pairs, before = written(_apart(pairs.join(likely, ["a", "b"], "left_anti"), components(links)), "pairs"), pairs
                 dropped(likely, before)
-        linked = written(verified(pairs, parts, percent), "linked")
+        linked = linked_of(pairs)
         links, found = _with(links, linked), linked.count()
         labels = components(links)
         if last:
@@ -323,7 +406,7 @@ def near_components(
             break
         done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tried = done if tried is None else tried.union(done)
-    dropped(parts, shared)
+    dropped(known, keys, shared)
     if labels is None:
         labels = base.sparkSession.createDataFrame([], "node long, root long")
     named = base.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -136,6 +136,44 @@ def test_ngram_join_of_a_large_group(docs_of, monkeypatch):
     assert sum(made) <= 4 * len(docs)
 
 
+def test_ngram_join_moves_sets_that_can_link(docs_of, monkeypatch):
+    """Texts with a third of their words in common meet in a bucket, but only sets of near copies are made and moved."""
+    rng, texts, sets, plain_of = random.Random(9), [], set(), ngram_join.verified
+    for i in range(40):
+        shared = [f"s{i}.{j}" for j in range(60)]
+        texts += [" ".join(shared + [f"o{i}.{side}.{j}" for j in range(rng.randint(110, 130))]) for side in (0, 1)]
+    copy = texts[0].rsplit(" ", 3)[0]
+
+    def verified(pairs, parts, percent):
+        sets.update(r.node for r in parts.select("node").collect())
+        return plain_of(pairs, parts, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    docs = list(enumerate([*texts, copy]))
+    same(near_components(docs_of(docs)), "doc_id n_shingles component_id", brute.near(docs))
+    assert len(sets) == 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_sketches_lose_no_link(percent, monkeypatch):
+    """Sets that link can do so by their sketches, however far these are folded or cut; unlike sets can't."""
+    rng = np.random.default_rng(percent)
+    linked = apart = 0
+    for most in (1 << 20, 128):
+        monkeypatch.setattr(ngram_join, "SKETCH", most)
+        for _ in range(1500):
+            a = rng.integers(0, 1 << 63, rng.integers(1, 300), np.uint64)
+            more = rng.integers(0, 1 << 63, rng.integers(0, max(2, len(a) // 3)) * rng.integers(0, 2), np.uint64)
+            b = np.concatenate([a[rng.random(len(a)) < rng.choice([0.4, 0.9, 0.97, 1])], more])
+            common = len(np.intersect1d(a, b))
+            links = 100 * common >= percent * (len(a) + len(b) - common)
+            can = ngram_join.can_link(len(a), ngram_join.sketch_of(a), len(b), ngram_join.sketch_of(b), percent)
+            assert can or not links or not len(b)
+            linked += links
+            apart += most > 128 and len(a) > 50 and common < 0.45 * len(a) and not can
+    assert linked > 200 and (apart > 200 or percent == 50)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_first_shared_shingles(spark, percent):
     """Sets that link meet in the bucket of the first shingle that they share."""
