@@ -59,14 +59,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (80 % of their shingles of five words in common), the
     one of the smallest id; of rows that repeat both that id and the text, one."""
-    grouped = written(near_components(docs, size=5, percent=80), "groups")
-    others = grouped.where("component_id != doc_id").select("doc_id").distinct()
-    repeated = grouped.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = written(repeated, "repeated")
-    kept = docs.join(others, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    more = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).select(*docs.columns)
+    grouped = written(near_components(docs, size=5, percent=80), "groups").where("doc_id is not null")
+    fate = grouped.groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("goes"), (F.count("*") > 1).alias("again"))
+    fate = written(fate.where("goes or again"), "fate")
+    # A sort-merge join at every size moves the texts once, so that disk and time grow evenly.
+    kept = docs.join(fate.hint("merge"), docs["doc_id"] == fate["doc_id"], "left").where(~F.coalesce(fate["goes"], F.lit(False)))
+    if fate.where("again and not goes").isEmpty():
+        return kept.select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    kept = written(kept.select(row, F.coalesce(fate["again"], F.lit(False)).alias("again")), "kept")
+    once, more = (kept.where(again).select("row.*") for again in ("not again", "again"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
 @in_small_batches

@@ -236,6 +236,36 @@ def test_near_copies_of_the_stage(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
 
 
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_the_stage_moves_texts_once(spark, tmp_path, limit):
+    """At every size of the tables: one shuffle of the texts, one of the ids that go."""
+    rng = random.Random(11)
+    texts = [words(rng, 40) for _ in range(6)]
+    rows = list(enumerate([*texts, texts[0], texts[1] + " end"]))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, limit)
+        kept = corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == rows[:6]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_repeated_rows_of_the_stage(spark, tmp_path):
+    """Of rows that repeat id and text one stays, of other rows all, with columns of any name."""
+    one, two = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
+    rows = [(3, one), (3, one), (5, one), (4, two), (7, None), (7, None), (8, None), (None, two), (None, two), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' goes", "'y' again", "'z' `row`", "0 count")
+    kept = corpus_pipeline.ngram_join(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = sorted((tuple(r) for r in kept.collect()), key=str)
+    left = [(3, one), (4, two), (7, None), (8, None), (None, two), (None, two), (None, None), (9, "")]
+    assert found == sorted([(*r, "x", "y", "z", 0) for r in left], key=str)
+
+
 def test_stages_of_nothing(spark, tmp_path):
     for name, columns in {"labels": LABELS, "benchmark": "item_id long, text string"}.items():
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
