@@ -17,12 +17,9 @@ from fieldstone.llm.line_dedup import dedup_lines
 from fieldstone.llm.ngram_join import near_components
 from fieldstone.llm.packing import pack
 from fieldstone.llm.queries import VOCABULARY
-from fieldstone.llm.text import table, written
+from fieldstone.llm.text import BATCH, table, written
 from fieldstone.llm.toxicity import toxic_column, train_toxicity
 
-#: Batches of texts that Spark hands to Python end at four megabytes: each task of an executor holds one twice.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
-
 
 def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A stage whose session hands on small batches, also when its caller writes the frame later; a size

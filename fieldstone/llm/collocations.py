@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldstone.llm.hashing import powers
-from fieldstone.llm.text import mix, slices, written
+from fieldstone.llm.text import mix, slices, small_batches, written
 
 _BASE = 0xD6E8FEB86659FD93
 _PHRASE_BASE = 0xA24BAED4963EE407
@@ -25,20 +25,28 @@ _KIND[[9, 32]] = 1
 _KIND[[*b".,;:!?", *range(10, 14)]] = 2
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
-#: Bytes of text that a task hashes and counts at once.
-FLUSH = 4 << 20
+#: Bytes of text that a task hashes at once, and those whose fingerprints it counts at once.
+PART, FLUSH = 1 << 20, 4 << 20
 #: A mark table has 16 bits for each frequent fingerprint, within these bounds (8 KB and 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
-_CHUNK = 1 << 20
+_CHUNK = (1 << 18) - 1
+#: Tables of powers up to this length are kept; those of a very long text go with it.
+_KEPT_POWERS = 1 << 19
 #: Candidates of a language that one task ranks.
 _RANKED = 500_000
 
 
-@lru_cache(maxsize=4)
+def _both_powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(n, base), powers(n, pow(base, -1, 1 << 64))
+
+
+_kept_powers = lru_cache(maxsize=4)(_both_powers)
+
+
 def _power_table(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64; a rounded-up length, so few tables are made."""
     n = 1 << max(10, (n - 1).bit_length())
-    return powers(n, base), powers(n, pow(base, -1, 1 << 64))
+    return _kept_powers(n, base) if n <= _KEPT_POWERS else _both_powers(n, base)
 
 
 def _prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +163,30 @@ def frequent_prints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = table.value if table is not None else None
-        for flush in _flushes(batches, FLUSH):
-            words = Words(flush.column(1).to_pylist(), hash_bits)
-            seeds = np.array([_seed(x) for x in flush.column(0).to_pylist()], np.uint64)
-            for n in sizes:
-                found, counts = np.unique(_candidates(words, seeds, n, below, marks), return_counts=True)
-                for k in range(0, len(found), 200_000):
-                    part = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found[part].view(np.int64)), pa.array(counts[part])], names=["fp", "n"]
-                    )
+        held: list[np.ndarray] = []
+        size = 0
+        for part in _flushes(batches, PART):
+            words = Words(part.column(1).to_pylist(), hash_bits)
+            seeds = np.array([_seed(x) for x in part.column(0).to_pylist()], np.uint64)
+            held += [_candidates(words, seeds, n, below, marks) for n in sizes]
+            size += part.column(1).nbytes
+            if size >= FLUSH:
+                yield from counted(held)
+                size = 0
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        found = np.concatenate(held)
+        held.clear()
+        found, counts = np.unique(found, return_counts=True)
+        for k in range(0, len(found), 200_000):
+            part = slice(k, k + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(counts[part])], names=["fp", "n"])
 
-    counted = source.select("lang", "text").mapInArrow(run, "fp long, n long").repartition("fp")
-    return counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
+    counts = source.select("lang", "text").mapInArrow(run, "fp long, n long").repartition("fp")
+    return counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
 
 
 def mark_table(prints: DataFrame):
@@ -211,7 +230,7 @@ def phrase_counts(source: DataFrame, tables: dict[int, object], hash_bits: int)
     document and word where each stands; for n = 0 the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flush in _flushes(batches, FLUSH):
+        for flush in _flushes(batches, PART):
             langs, texts, owners = (c.to_pylist() for c in flush.columns)
             # A language at a time: equal fingerprints of two languages never meet.
             for lang in sorted(set(langs)):
@@ -289,10 +308,13 @@ def mine_collocations(
     while size <= longest:
         # Words with pairs, then the third, then two sizes at a time.
         sizes = (size,) if size == 3 or size == longest else (size, size + 1)
-        table_now = mark_table(written(frequent_prints(source, sizes, below, table, least, hash_bits), "prints"))
+        with small_batches(docs.sparkSession):
+            prints = written(frequent_prints(source, sizes, below, table, least, hash_bits), "prints")
+        table_now = mark_table(prints)
         tables |= dict.fromkeys(sizes, table_now)
         table, below, size = table_now, sizes[-1], sizes[-1] + 1
-    counts = written(phrase_counts(source, tables, hash_bits).where((F.col("a") >= least) | (F.col("n") == 0)), "phrases")
+    with small_batches(docs.sparkSession):
+        counts = written(phrase_counts(source, tables, hash_bits).where((F.col("a") >= least) | (F.col("n") == 0)), "phrases")
     words = counts.where("n = 0").select("lang", F.col("a").alias("n_words"))
     found = counts.where("n > 1").join(words, "lang").withColumn("w", F.split("phrase", " "))
 

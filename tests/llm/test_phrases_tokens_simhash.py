@@ -7,13 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstone.llm import collocations
 from fieldstone.llm.collocations import cut_score, mine_collocations
 from fieldstone.llm.simhash_join import fingerprint, near_links, simhash_components, simhash_digest
+from fieldstone.llm.text import BATCH
 from fieldstone.llm.token_alignment import Pair, alignment_digest, align_texts, diagonal_cuts, merged_groups
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -88,6 +91,44 @@ def test_collocations_of_a_long_text_and_of_none(spark):
     assert empty.count() == 0 and empty.columns[:4] == ["lang", "rank", "phrase", "a"]
 
 
+def test_collocations_hash_a_megabyte_at_a_time(monkeypatch):
+    """A task holds the words of few texts, and adds up over more; tables of powers are made once a length."""
+    texts = [f"{'common words ' * 400}t{i % 7}".encode() for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts, pa.binary())], names=["lang", "text"])
+    sizes, plain = [], collocations.Words
+
+    class Source:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.found = pa.Table.from_batches(run(iter([batch])))
+            raise StopIteration
+
+    monkeypatch.setattr(collocations, "Words", lambda texts, bits: sizes.append(sum(map(len, texts))) or plain(texts, bits))
+    source = Source()
+    with pytest.raises(StopIteration):
+        collocations.frequent_prints(source, (1, 2), 0, None, 100, 64)
+    assert sum(sizes) == sum(map(len, texts)) > 10_000_000 and max(sizes) < 2_200_000
+    counts = Counter()
+    for fp, n in zip(*(c.to_pylist() for c in source.found.columns), strict=True):
+        counts[fp] += n
+    # Each text: "common" and "words" 400 times each, one t, the pairs of both orders, one pair with t.
+    assert sorted(counts.values()) == sorted([800_000, 800_000, 800_000, 798_000, *2 * [2000 // 7 + (i < 2000 % 7) for i in range(7)]])
+    assert source.found.num_rows <= 18 * 3
+    assert collocations._power_table(1500, 3)[0] is collocations._power_table(1600, 3)[0]
+
+
+def test_collocations_take_small_batches(spark, monkeypatch):
+    seen, plain = [], collocations.written
+    before = spark.conf.get(BATCH[0])
+    monkeypatch.setattr(collocations, "written", lambda df, name: seen.append((name, spark.conf.get(BATCH[0]))) or plain(df, name))
+    rows = [(1, "en", "one two three " * 200)]
+    assert mine_collocations(spark.createDataFrame(rows, "doc_id long, lang string, text string")).count() > 0
+    assert {size for name, size in seen if name in ("prints", "phrases")} == {BATCH[1]}
+    assert spark.conf.get(BATCH[0]) == before
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [(10**12, 10**15, 10**12 + 7, 3 * 10**12), (100, 10**10, 100, 100), (123456789012, 9 * 10**14, 10**14 + 1, 10**13 + 3)]
     df = spark.createDataFrame(rows, "a long, n long, l long, r long")
