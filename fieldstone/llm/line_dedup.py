@@ -19,6 +19,7 @@ from fieldstone.llm.text import mix, per_text, slices, written
 MIN_WORDS = 30
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SLICE = 1 << 20  # bytes of text whose units a task makes at once
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -159,7 +160,7 @@ def unit_table(docs: DataFrame, min_words: int, id_column: str, text_column: str
         F.struct(F.col(f"`{id_column}`").alias("id"), F.xxhash64(f"`{text_column}`").alias("mark")).alias("key"),
         F.col(f"`{text_column}`").alias("text"),
     )
-    found = per_text(rows, "key", "text", run, "units array<long>, counts array<int>, runs array<long>")
+    found = per_text(rows, "key", "text", run, "units array<long>, counts array<int>, runs array<long>", _SLICE)
     return found.where(F.size("units") > 0).select("key.*", "units", "counts", "runs")
 
 

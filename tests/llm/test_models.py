@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fieldstone.llm import line_dedup
 from fieldstone.llm.ann import search
 from fieldstone.llm.line_dedup import common_blocks, dedup_lines, patience
 from fieldstone.llm.toxicity import score_toxicity, some_sentences, toxic_column, toxicity_digest, train_toxicity
@@ -47,6 +48,23 @@ def test_line_dedup_of_nothing(docs_of):
     assert dedup_lines(docs_of([])).count() == 0
 
 
+def test_line_dedup_makes_units_of_a_megabyte(docs_of, monkeypatch):
+    seen, plain = [], line_dedup.per_text
+
+    def per_text(docs, id_column, text_column, fn, columns, most=4 << 20):
+        seen.append(most)
+        return plain(docs, id_column, text_column, fn, columns, most)
+
+    monkeypatch.setattr(line_dedup, "per_text", per_text)
+    rng = random.Random(12)
+    shared = f"{words(rng, 40)}.\n"
+    rows = [(i, f"{words(rng, 15000)}.\n{shared}{words(rng, 15000)}.\n") for i in range(8)]
+    found = {r["doc_id"]: r for r in dedup_lines(docs_of(rows, 1)).collect()}
+    assert [found[i]["removed_words"] for i, _ in rows] == [0, *[40] * 7]
+    assert all(found[i]["text"] == (text.replace(shared, "") if i else text).rstrip() + "\n" for i, text in rows)
+    assert max(seen) <= 1 << 20
+
+
 def test_patience():
     assert patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert patience([1, 1, 1], [1, 1]) == [(0, 0), (1, 1)]
